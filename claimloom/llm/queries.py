@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, merkle, source_mixing, token_counts
+from claimloom.llm import byte_bpe, line_dedup, merkle, ngram_join, source_mixing, token_counts
 from claimloom.llm.frames import documents
 
 
@@ -24,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), pattern())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir)).withColumnRenamed("component", "component_id")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,11 +37,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    kept = line_dedup.kept(line_dedup.build(docs), docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mixing, op4_byte_bpe, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_source_mixing, op4_byte_bpe, op6_line_dedup, op10_merkle_fingerprints)}
 
 _TREE = """list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
     list_transform(regexp_extract_all(p, '[^.!?]{{1,200}}[.!?]*|[.!?]+'), lambda x: sha256(x))))"""
@@ -54,6 +65,27 @@ def _parts(name: str) -> str:
 
 
 ORACLE_SQL = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN []::VARCHAR[] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) END AS g FROM w),
+c AS (SELECT doc_id, len(g) AS n, list_sort(g) AS g FROM s),
+t AS (SELECT doc_id, n, unnest(g) AS tok FROM c),
+f AS (SELECT tok FROM t GROUP BY tok HAVING count(*) > 1),
+u AS (SELECT doc_id, n, tok FROM t JOIN f USING (tok)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.tok = b.tok AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r AS (SELECT doc_id AS id, doc_id AS m FROM c UNION SELECT e.y AS id, r.m FROM r JOIN e ON e.x = r.id)
+SELECT c.doc_id, c.n::BIGINT AS n_shingles, min(r.m) AS component_id FROM c JOIN r ON r.id = c.doc_id GROUP BY 1, 2""",
+    "op6_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT k.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM k LEFT JOIN o USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM j GROUP BY doc_id""",
     "op10_merkle_fingerprints": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER o AS nt, first_value(coalesce(text, '')) OVER o AS ft
            FROM documents WINDOW o AS (ORDER BY doc_id)),
