@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, line_dedup, merkle, ngram_join, source_mixing, token_counts
+from claimloom.llm import byte_bpe, language_model, line_dedup, merkle, ngram_join, source_mixing, token_counts, toxicity
 from claimloom.llm.frames import documents
 
 
@@ -43,11 +43,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_source_mixing, op4_byte_bpe, op6_line_dedup, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_source_mixing, op4_byte_bpe, op6_line_dedup, op8_toxicity, op9_lm_scoring, op10_merkle_fingerprints)}
 
 _TREE = """list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
     list_transform(regexp_extract_all(p, '[^.!?]{{1,200}}[.!?]*|[.!?]+'), lambda x: sha256(x))))"""
