@@ -224,8 +224,8 @@ def drops(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str
     return found.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
-def kept(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_lines, n_dropped, kept (text) of each row.
+def kept(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """id, n_lines, n_dropped, kept (text) of each row, then the columns of ``carry``.
 
     Lines whose key (at least ``LEAST_CHARS`` code points) occurs in two documents or more go, all of them, except in
     the document of the smallest id that holds it. The others stay as they are, joined by \\n. Null and empty texts are
@@ -235,19 +235,20 @@ def kept(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str
 
     def make():
         def step(columns):
-            for doc, text, keys in zip(*columns):
+            for doc, text, keys, *rest in zip(*columns):
                 lines = (text or b"").split(b"\n")
                 if keys:
                     gone = set(keys)
                     stay = [x for x in lines if key_hash(x) not in gone]
                 else:
                     stay = lines
-                yield doc, len(lines), len(lines) - len(stay), b"\n".join(stay)
+                yield doc, len(lines), len(lines) - len(stay), b"\n".join(stay), *rest
 
         return step
 
-    rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t"))
+    rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t"), *[F.col(c).alias(f"__c_{c}") for c in carry or []])
     keys = drops(index, df, id_col, text_col)
-    rows = rows.join(keys.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("id")), "left").select(id_col, "__t", "keys")
-    out = map_slices(rows, make, f"`{id_col}` {_kind(df, id_col)}, n_lines long, n_dropped long, kept binary")
-    return out.withColumn("kept", F.col("kept").cast("string"))
+    rows = rows.join(keys.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("id")), "left").select(id_col, "__t", "keys", *[f"__c_{c}" for c in carry or []])
+    kinds = "".join(f", `__c_{c}` {_kind(df, c)}" for c in carry or [])
+    out = map_slices(rows, make, f"`{id_col}` {_kind(df, id_col)}, n_lines long, n_dropped long, kept binary{kinds}")
+    return out.withColumn("kept", F.col("kept").cast("string")).withColumnsRenamed({f"__c_{c}": c for c in carry or []})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, language_model, line_dedup, merkle, ngram_join, source_mixing, token_counts, toxicity
+from claimloom.llm import byte_bpe, language_model, line_dedup, merkle, multi_index, ngram_join, secrets_crf, source_mixing, token_counts, toxicity
 from claimloom.llm.frames import documents
 
 
@@ -37,12 +37,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     kept = line_dedup.kept(line_dedup.build(docs), docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets_crf.scan(docs, secrets_crf.train(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -56,7 +65,7 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_source_mixing, op4_byte_bpe, op6_line_dedup, op8_toxicity, op9_lm_scoring, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_source_mixing, op4_byte_bpe, op5_multi_index, op6_line_dedup, op7_secret_scan, op8_toxicity, op9_lm_scoring, op10_merkle_fingerprints)}
 
 _TREE = """list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
     list_transform(regexp_extract_all(p, '[^.!?]{{1,200}}[.!?]*|[.!?]+'), lambda x: sha256(x))))"""

@@ -42,8 +42,8 @@ def words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, pattern: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 17) -> DataFrame:
-    """id, source, size, source_size, target, taken, text of each row; ``taken`` are the words the mix takes of it.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, pattern: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 17, carry: list[str] | None = None) -> DataFrame:
+    """id, source, size, source_size, target, taken, text of each row, then the columns of ``carry``; ``taken`` are the words the mix takes of it.
 
     Size is the number of words, 0 for null and empty texts. Every row of a source is taken whole as often as its
     target holds the source. Then rows follow in a seeded order once more while they fit into what is left; the one
@@ -56,7 +56,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     with a third of all rows is no single task's, and only the part that crosses the target is looked at by row.
     """
     place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__text"), F.col(source_col).cast("string").alias("__source"), words(text_col).alias("size"), place.alias("__u"))
+    rows = df.select(F.col(id_col), F.col(text_col).alias("__text"), F.col(source_col).cast("string").alias("__source"), words(text_col).alias("size"), place.alias("__u"), *[F.col(c).alias(f"__c_{c}") for c in carry or []])
     part = F.pmod(F.shiftrightunsigned("__u", 40), F.lit(ORDER_PARTS)).cast("int")
     at = rows.select("__source", "size", "__u", part.alias("__part"))
     parts = at.groupBy("__source", "__part").agg(F.sum("size").alias("n"))
@@ -85,7 +85,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     out = rows.withColumn("__part", part).join(F.broadcast(plan_df), F.col("__source").eqNullSafe(F.col("__s")))
     first = (F.col("__part") < F.col("__at")) & (F.col("__at") < ORDER_PARTS)
     extra = F.when(first | ((F.col("__part") == F.col("__at")) & (F.col("__u") < F.col("__edge"))), F.col("size")).when((F.col("__part") == F.col("__at")) & (F.col("__u") == F.col("__edge")), F.col("__some")).otherwise(F.lit(0))
-    return out.select(F.col(id_col), F.col("__source").alias("source"), "size", "source_size", "target", (F.col("__whole") * F.col("size") + extra).cast("long").alias("taken"), F.col("__text").alias("text"))
+    return out.select(F.col(id_col), F.col("__source").alias("source"), "size", "source_size", "target", (F.col("__whole") * F.col("size") + extra).cast("long").alias("taken"), F.col("__text").alias("text"), *[F.col(f"__c_{c}").alias(c) for c in carry or []])
 
 
 def repeat(mixed: DataFrame, text_col: str = "text") -> DataFrame:

@@ -135,5 +135,5 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     rows = df.select(F.col(id_col), (crc_remainder(id_col, folds) == fold).alias("__h"), F.col(text_col).cast("binary").alias("__t"), *[F.col(c).alias(f"__c_{c}") for c in carry or []])
     kinds = "".join(f", `__c_{c}` {df.schema[c].dataType.simpleString()}" for c in carry or [])
-    out = map_slices(rows, make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int{kinds}")
-    return out.withColumnsRenamed({f"__c_{c}": c for c in carry or [] if c != id_col})
+    out = map_slices(rows, make, f"__id {df.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int{kinds}")
+    return out.select(F.col("__id").alias(id_col), "held_out", "score", "predicted", *[F.col(f"__c_{c}").alias(c) for c in carry or [] if c != id_col])
