@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimloom.llm.frames import Memo, crc_remainder, map_slices, word_list
 
 #: The classifier is fitted on at most so many labelled documents of each class (the first by a hash of the id).
-TOXIC_ROWS, CLEAN_ROWS = 1200, 2400
+TOXIC_ROWS, CLEAN_ROWS = 700, 1400
 #: Lengths of character n-grams, within words marked at both ends; n-grams of fewer documents are left out.
 LENGTHS, LEAST_DOCUMENTS = (3, 4, 5), 3
 #: Of a longer word the n-grams are read in pieces of this many characters.
@@ -59,25 +59,23 @@ class Model:
 def fit(documents: list[list[bytes]], labels: list[int], steps: int = 60, decay: float = 1e-4) -> Model:
     """Log-count ratios from the documents' different words, then logistic regression (Adam, full batches) on scaled counts."""
     y = np.array(labels, float)
-    memo: dict[bytes, list[str]] = {}
     seen: dict[str, int] = {}
-    rows = []
+    cols, counts = [], []
     for words in documents:
-        ids = []
-        for w in words:
-            if w not in memo:
-                memo[w] = [seen.setdefault(g, len(seen)) for g in sorted(grams(w))]
-            ids += memo[w]
-        rows.append(np.array(ids, np.int64))
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    pairs, count = np.unique(row * max(1, len(seen)) + col, return_counts=True)
-    row, col = np.divmod(pairs, max(1, len(seen)))
+        ids = [seen.setdefault(g, len(seen)) for w in words for g in grams(w)]
+        c, n = np.unique(np.array(ids, np.int32), return_counts=True)
+        cols.append(c.astype(np.int32))
+        counts.append(n.astype(np.float32))
+    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols) if cols else np.empty(0, np.int32)
+    count = np.concatenate(counts) if counts else np.empty(0, np.float32)
+    del cols, counts
     held = np.bincount(col, minlength=len(seen)) >= LEAST_DOCUMENTS
     renamed = np.cumsum(held) - 1
     index = {g: int(renamed[k]) for g, k in seen.items() if held[k]}
     keep = held[col] if len(col) else np.empty(0, bool)
-    row, col, count = row[keep], renamed[col[keep]], count[keep].astype(float)
+    row, col, count = row[keep], renamed[col[keep]].astype(np.int32), count[keep].astype(float)
+    del seen
     n, width = len(y), len(index)
     pos = np.bincount(col, weights=y[row], minlength=width) + 1
     neg = np.bincount(col, weights=1 - y[row], minlength=width) + 1
@@ -108,11 +106,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return lambda columns: ((doc, y, sorted(set(word_list(text)))) for doc, y, text in zip(*columns))
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t")).join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select("__id", "__y", "__t")
-    held = sorted((r["id"], r["y"], r["words"]) for r in map_slices(rows, make, "id long, y int, words array<binary>").toLocalIterator())
+    held = sorted((r["id"], r["y"], b"\n".join(map(bytes, r["words"]))) for r in map_slices(rows, make, "id long, y int, words array<binary>").toLocalIterator())
     y = [r[1] for r in held]
     if len(set(y)) < 2:
         return Model({}, np.empty(0), np.empty(0), {0: -30.0, 1: 30.0, None: -30.0}[y[0] if y else None])
-    return fit([[bytes(w) for w in r[2]] for r in held], y)
+    return fit([r[2].split(b"\n") if r[2] else [] for r in held], y)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", fold: int = 0, folds: int = 5, carry: list[str] | None = None) -> DataFrame:
