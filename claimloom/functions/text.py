@@ -81,25 +81,40 @@ def overlap_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(V.OVERLAP_STOP.split())))
 
 
-def stem(word: Column) -> Column:
-    """Plural, then ing or ed, then a final e, each only where enough of the word is left."""
+def _cut(w: Column, suffix: str, keep: int) -> Column:
+    return w.endswith(suffix) & (F.length(w) - len(suffix) >= keep)
+
+
+def _less(w: Column, n: int) -> Column:
+    return F.substr(w, F.lit(1), F.length(w) - n)
+
+
+def _singular(w: Column) -> Column:
+    return F.when(_cut(w, "ies", 3), F.concat(_less(w, 3), F.lit("y"))).when(_cut(w, "sses", 3), _less(w, 2)).when(_cut(w, "s", 3) & ~w.endswith("ss"), _less(w, 1)).otherwise(w)
+
 
-    def cut(w: Column, suffix: str, keep: int) -> Column:
-        return w.endswith(suffix) & (F.length(w) - len(suffix) >= keep)
+def _bare(w: Column) -> Column:
+    return F.when(_cut(w, "ing", 4), _less(w, 3)).when(_cut(w, "ed", 4), _less(w, 2)).otherwise(w)
 
-    def less(w: Column, n: int) -> Column:
-        return F.substr(w, F.lit(1), F.length(w) - n)
 
-    one = F.when(cut(word, "ies", 3), F.concat(less(word, 3), F.lit("y"))).when(cut(word, "sses", 3), less(word, 2)).when(cut(word, "s", 3) & ~word.endswith("ss"), less(word, 1)).otherwise(word)
-    two = F.when(cut(one, "ing", 4), less(one, 3)).when(cut(one, "ed", 4), less(one, 2)).otherwise(one)
-    return F.when(cut(two, "e", 4), less(two, 1)).otherwise(two)
+def _short(w: Column) -> Column:
+    return F.when(_cut(w, "e", 4), _less(w, 1)).otherwise(w)
+
+
+def stems(words: Column) -> Column:
+    """Plural, then ing or ed, then a final e, each only where enough of the word is left. One pass a step keeps the expression small."""
+    return F.transform(F.transform(F.transform(words, _singular), _bare), _short)
+
+
+def stem(word: Column) -> Column:
+    return stems(F.array(word))[0]
 
 
 def content_terms(text: Column) -> Column:
     """Distinct stems of the words that are longer than one character and no stop word; Devanagari words keep their marks."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[ऀ-ॣ०-ॿ]+|[{W}]+"), F.lit(0))
     kept = F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(V.STOP.split()))
-    return F.array_distinct(F.transform(kept, stem))
+    return F.array_distinct(stems(kept))
 
 
 def is_devanagari(text: Column) -> Column:
@@ -279,4 +294,4 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")

@@ -67,8 +67,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, floor: float, k: int = 3) -
             part = a.iloc[s : s + 1024]
             sim = unit(np.array(part["lv"].tolist(), float)) @ y.T
             i, j = np.nonzero(sim >= floor)
-            out.append(pd.DataFrame({"left_id": part["lid"].to_numpy()[i], "right_id": b["rid"].to_numpy()[j], "similarity": sim[i, j]}))
-        return pd.concat(out)
+            out.append((np.asarray(part["lid"].tolist())[i], np.asarray(b["rid"].tolist())[j], sim[i, j]))
+        left_id, right_id, sim = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"left_id": pd.Series(left_id.tolist(), dtype=object if left_id.dtype.kind in "OU" else None), "right_id": pd.Series(right_id.tolist(), dtype=object if right_id.dtype.kind in "OU" else None), "similarity": sim})
 
     salt = F.pmod(F.xxhash64("lid"), F.lit(BLOCKS)).cast("int").alias("s")
     found = asked.select("*", salt).groupBy("b", "s").cogroup(stored.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).groupBy("b", "s"))

@@ -74,7 +74,7 @@ def with_features(df: DataFrame, col: str = "sentence", lexicon: text.Lexicon |
         for other in spellings[1:]:
             one = one | other.rlike(pattern)
         found[name] = F.coalesce(one, F.lit(False))
-    return df.withColumns(found | {"tokens": text.n_tokens(F.col(col))})
+    return settled(df, found | {"tokens": text.n_tokens(F.col(col))})
 
 
 def with_entities(df: DataFrame, today: dt.date, col: str = "sentence") -> DataFrame:
@@ -82,7 +82,7 @@ def with_entities(df: DataFrame, today: dt.date, col: str = "sentence") -> DataF
     df = df.withColumn("__e", E.extract(F.col(col), today))
     df = df.withColumn("entities", F.col("__e.entities")).withColumn("times", F.col("__e.times")).drop("__e")
     has = lambda labels: F.exists("entities", lambda e: e["label"].isin(*labels))
-    return df.withColumns({
+    return settled(df, {
         "named_entity": has(V.NAMED), "quantity": has(V.QUANTIFIED), "money": has(["MONEY"]), "percent": has(["PERCENT"]), "number": has(["NUMBER"]),
         "url": has(["URL"]), "contact": has(["PHONE", "UPI"]), "time_ref": F.size("times") > 0,
     })
@@ -94,7 +94,16 @@ def with_plain_entities(df: DataFrame, col: str = "sentence") -> DataFrame:
     Names need two capitalised words, or one that does not begin the sentence; times are numbers of four digits from 19
     or 20 and month or day words. It is a narrower reading than ``with_entities``.
     """
-    return df.withColumns({name: F.coalesce(F.col(col).rlike(pattern), F.lit(False)) for name, pattern in PLAIN.items()})
+    return settled(df, {name: F.coalesce(F.col(col).rlike(pattern), F.lit(False)) for name, pattern in PLAIN.items()})
+
+
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The frame with further columns, made by a generator of one row.
+
+    A filter on such a column stays above it and constraints don't enter it; with plain columns a filter on a score is
+    written out in terms of all features, which are then evaluated once more, and inferring constraints takes minutes.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def points() -> Column:
@@ -142,11 +151,11 @@ def scored(df: DataFrame, model: Column | None = None) -> DataFrame:
     ``model``: a second opinion (0 to 1, or null) that weighs half, except on hard rejects.
     """
     reject = F.col("greeting") | (F.col("tokens") < V.LEAST_TOKENS) | (F.col("tokens") > V.MOST_TOKENS)
-    df = df.withColumn("points", F.when(reject, F.lit(0)).otherwise(points()))
+    df = settled(df, {"points": F.when(reject, F.lit(0)).otherwise(points())})
     own = F.col("points") / F.lit(1000)
     mixed = own if model is None else F.when(model.isNotNull() & ~reject, F.round((own + model) / 2, 3)).otherwise(own)
-    df = df.withColumn("confidence", mixed)
-    return df.withColumn("check_worthy", F.col("confidence") >= V.WORTHY / 1000).withColumn("claim_type", claim_type()).withColumn("drop_reason", drop_reason())
+    df = settled(df, {"confidence": mixed, "check_worthy": mixed >= V.WORTHY / 1000, "claim_type": claim_type()})
+    return settled(df, {"drop_reason": drop_reason()})
 
 
 def attributed_to(sentence: Column, entities: Column) -> Column:

@@ -266,7 +266,7 @@ def stance_totals(spark, d):
 
 def passage_vote(spark, d):
     v = _stance_log(spark, d).where("stance IS NOT NULL").withColumn("pos", F.col("seq"))
-    return stance.strongest(v, ["claim_id", "evidence_id"])
+    return stance.strongest(v, ["claim_id", "evidence_id"]).withColumn("pos", F.coalesce("pos", F.lit(-1)).cast("long"))
 
 
 def _event_claims(spark, d):
