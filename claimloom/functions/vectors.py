@@ -55,24 +55,24 @@ def similar_pairs(left: DataFrame, right: DataFrame, floor: float, k: int = 3) -
     asked = left.select(F.col("id").alias("lid"), F.col("v").cast("array<double>").alias("lv")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     kinds = f"left_id {left.schema['id'].dataType.simpleString()}, right_id {right.schema['id'].dataType.simpleString()}, similarity double"
 
-    def meet(_, a, b):
+    def meet(a, b):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        if not len(a) or not len(b):
-            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
+        matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
         unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
-        y, out = unit(np.array(b["rv"].tolist(), float)), []
-        for s in range(0, len(a), 1024):
-            part = a.iloc[s : s + 1024]
-            sim = unit(np.array(part["lv"].tolist(), float)) @ y.T
-            i, j = np.nonzero(sim >= floor)
-            out.append((np.asarray(part["lid"].tolist())[i], np.asarray(b["rid"].tolist())[j], sim[i, j]))
-        left_id, right_id, sim = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"left_id": pd.Series(left_id.tolist(), dtype=object if left_id.dtype.kind in "OU" else None), "right_id": pd.Series(right_id.tolist(), dtype=object if right_id.dtype.kind in "OU" else None), "similarity": sim})
+        found = []
+        if len(a) and len(b):
+            x, y = unit(matrix(a["lv"])), unit(matrix(b["rv"]))
+            for s in range(0, len(a), 1024):
+                sim = x[s : s + 1024] @ y.T
+                i, j = np.nonzero(sim >= floor)
+                found.append((i + s, j, sim[i, j]))
+        i, j, sim = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table({"left_id": a["lid"].take(pa.array(i, pa.int64())), "right_id": b["rid"].take(pa.array(j, pa.int64())), "similarity": sim})
 
     salt = F.pmod(F.xxhash64("lid"), F.lit(BLOCKS)).cast("int").alias("s")
     found = asked.select("*", salt).groupBy("b", "s").cogroup(stored.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).groupBy("b", "s"))
-    pairs = found.applyInPandas(lambda key, a, b: meet(key, a, b), kinds).where(F.col("left_id") != F.col("right_id"))
+    pairs = found.applyInArrow(meet, kinds).where(F.col("left_id") != F.col("right_id"))
     order = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -389,8 +389,8 @@ def stream_merge(spark, d):
 
 
 def check_messages(spark, d):
-    """Documents as messages against the benchmark as a corpus of fact-checks."""
-    packets = readers.text_packets(_t(spark, d, "documents")).dropDuplicates(["packet_id"])
+    """Users' turns as messages against the benchmark as a corpus of fact-checks."""
+    packets = readers.text_packets(_t(spark, d, "conversations").where("role = 'user'")).dropDuplicates(["packet_id"])
     k = F.col("item_id")
     corpus = _t(spark, d, "benchmark").select("item_id", "text", F.when(k % 3 == 0, "False").when(k % 3 == 1, "Misleading").otherwise("True").alias("rating_raw"), F.concat(F.lit("https://check.example.org/"), k.cast("string")).alias("url"), F.lit("Checkers").alias("publisher"))
     tiers = spark.createDataFrame([("check.example.org", "factchecker")], "entry string, tier string")
