@@ -26,7 +26,7 @@ STEMS = ("passw", "secret", "token", "api")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: The field is fitted on windows of at most so many documents with base spans (the first by a hash of the id), a few
 #: windows each, and as many windows without any.
-TRAIN_DOCUMENTS, WINDOWS_EACH, REACH = 1500, 3, 12
+TRAIN_DOCUMENTS, WINDOWS_EACH, REACH = 300, 2, 12
 WIDTH = 1 << 14
 
 _TOKEN = re.compile(r"\S+")
@@ -82,21 +82,46 @@ def _own(word: str) -> np.ndarray:
 
 
 def _side(place: str, word: str) -> np.ndarray:
+    """What a token says of its neighbour; a cue is told by its letters too."""
     t = _traits(word)
-    return _slots(place, [t[0], t[5], t[6], t[7], t[8], f"w:{word.lower()[:24]}"])
+    cue = _CUE.search(word)
+    return _slots(place, [t[0], t[5], t[6], t[7], t[8], f"w:{cue.group().lower() if cue else ''}"])
 
 
-def _file(words: list[str]) -> np.ndarray:
-    """What the whole text says: its length and how much of it is assignments, digits or plain words (by its different tokens)."""
-    kinds = set(words)
-    share = lambda f: int(10 * sum(map(f, kinds)) / max(1, len(kinds)))
-    return _slots("f", [f"n:{len(words).bit_length()}", f"a:{share(lambda w: '=' in w or ':' in w)}", f"d:{share(lambda w: not w.isalpha() and any(c.isdigit() for c in w))}"])
+def _kind(word: str):
+    """What decides the traits of a plain word (letters, perhaps one mark after them): words of one kind have the same. Others are their own kind."""
+    core = word if word.isalpha() else word[:-1] if word[-1:] in ",.;?!" and word[:-1].isalpha() else ""
+    if not core or len(core) > 40 or _CUE.search(word):
+        return word
+    case = "x" if core.islower() else "X" if core.isupper() else "Xx" if core[0].isupper() and core[1:].islower() else None
+    if case is None:
+        return word
+    n, low = len(core), set(core.lower())
+    return case, word[n:], n // 4, 8 * len(set(core)) // n, n >= 8 and low <= _HEX and n // 8
+
+
+_HEX = frozenset("0123456789abcdef")
+
+
+def _flags(word: str) -> tuple[bool, bool]:
+    """Whether a token looks like an assignment, and whether it mixes in digits."""
+    return "=" in word or ":" in word, not word.isalpha() and any(c.isdigit() for c in word)
+
+
+def _file(n: int, assigning: float, digits: float) -> np.ndarray:
+    """What the whole text says: how many tokens it has, and which shares of them are assignments or have digits."""
+    return _slots("f", [f"n:{n.bit_length()}", f"a:{int(20 * assigning)}", f"d:{int(20 * digits)}"])
+
+
+def _file_of(words: list[str]) -> np.ndarray:
+    flags = np.array([_flags(w) for w in words], float).reshape(-1, 2)
+    return _file(len(words), *(flags.mean(0) if len(words) else (0.0, 0.0)))
 
 
 @dataclass
 class Field:
     weights: np.ndarray  # of each feature for the three tags
-    steps: np.ndarray  # from tag to tag; INSIDE never follows OUTSIDE
+    steps: np.ndarray  # from tag to tag
 
     def gain(self, slots: np.ndarray) -> np.ndarray:
         return self.weights[slots].sum(0)
@@ -109,8 +134,7 @@ def viterbi(gains: np.ndarray, steps: np.ndarray) -> np.ndarray:
     between are decoded, one by one. This gives the same tags as decoding the whole chain.
     """
     out = np.zeros(len(gains), np.int8)
-    real = steps[steps > -1e6]
-    room = 2 * (real.max() - real.min())
+    room = (steps.max(1)[:, None] + steps.max(0)[None] - steps[:, :1] - steps[:1]).max()
     open_ = np.flatnonzero(gains[:, 0] - gains[:, 1:].max(1) <= room)
     if not len(open_):
         return out
@@ -131,9 +155,8 @@ def viterbi(gains: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 def fit(windows: list[tuple[list[str], list[int], list[int]]], steps: int = 60, decay: float = 1e-4) -> Field:
     """Maximum likelihood by forward-backward over all windows at once and Adam. A window: tokens, tags, the file's features."""
-    blocked = np.zeros((3, 3))
-    blocked[OUTSIDE, INSIDE] = -1e9
-    w, t = np.zeros((WIDTH, 3)), blocked.copy()
+    w, t = np.zeros((WIDTH, 3)), np.zeros((3, 3))
+    t[OUTSIDE, INSIDE] = -4.0  # never seen, so it stays low
     if not windows:
         w[:, OUTSIDE] = 1.0
         return Field(w, t)
@@ -168,7 +191,7 @@ def fit(windows: list[tuple[list[str], list[int], list[int]]], steps: int = 60,
         g = np.concatenate([gw, gt])
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = 0.1 * first / (1 - 0.9**k) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-        w, t = w - step[:WIDTH], np.where(blocked < 0, blocked, t - step[WIDTH:])
+        w, t = w - step[:WIDTH], t - step[WIDTH:]
     return Field(w, t)
 
 
@@ -194,7 +217,7 @@ def tagged(text: str) -> tuple[list[str], list[tuple[int, int]], list[int]]:
 def windows_of(text: str) -> list[tuple[list[str], list[int], list[int]]]:
     """Windows around a text's first, middle and last base spans, and as many without any."""
     words, _, tags = tagged(text)
-    file_slots = _file(words).tolist()
+    file_slots = _file_of(words).tolist()
     begins = [k for k, t in enumerate(tags) if t == BEGIN]
     chosen = begins if len(begins) <= WINDOWS_EACH else [begins[0], begins[len(begins) // 2], begins[-1]]
     out = [(words[max(0, k - REACH) : k + REACH], tags[max(0, k - REACH) : k + REACH], file_slots) for k in chosen]
@@ -215,28 +238,38 @@ def varied(windows: list, seed: int = 3) -> list:
     for words, tags, file_slots in windows:
         if BEGIN in tags:
             k = tags.index(BEGIN)
+            after = next((j for j in range(k + 1, len(tags)) if tags[j] != INSIDE), len(tags))
             value = "".join(letters[rng.integers(0, len(letters), rng.integers(16, 44))])
             cue = [c for c in (str(rng.choice(cues)), str(rng.choice(signs))) if c]
-            out.append(([*words[:k], *cue, value, *words[k + 1 :]], [*tags[:k], *[OUTSIDE] * len(cue), BEGIN, *[OUTSIDE if t == INSIDE else t for t in tags[k + 1 :]]], file_slots))
+            out.append(([*words[:k], *cue, value, *words[after:]], [*tags[:k], *[OUTSIDE] * len(cue), BEGIN, *tags[after:]], file_slots))
     return out
 
 
 class Scanner:
     def __init__(self, field: Field):
         self.field = field
-        self.memo = Memo(lambda w: self._add(w))
+        self.rows: dict = {}
+        self.memo = Memo(self._row)
         self._clear()
 
     def _clear(self) -> None:
-        self.memo.clear()
-        self.table = np.zeros((4096, 9))
+        self.rows.clear()
+        self.memo.forget()
+        self.table = np.zeros((4096, 11))
         self.used = 0
 
+    def _row(self, word: str) -> int:
+        kind = _kind(word)
+        row = self.rows.get(kind)
+        if row is None:
+            row = self.rows[kind] = self._add(word)
+        return row
+
     def _add(self, word: str) -> int:
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         f = self.field
-        self.table[self.used] = np.concatenate([f.gain(_own(word)), f.gain(_side("-", word)), f.gain(_side("+", word))])
+        self.table[self.used] = np.concatenate([f.gain(_own(word)), f.gain(_side("-", word)), f.gain(_side("+", word)), _flags(word)])
         self.used += 1
         return self.used - 1
 
@@ -245,9 +278,9 @@ class Scanner:
             self._clear()
         ids = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         x = self.table[ids]
-        out = x[:, :3] + self.field.gain(_file(words))
+        out = x[:, :3] + self.field.gain(_file(len(words), *x[:, 9:].mean(0).tolist()))
         out[1:] += x[:-1, 3:6]
-        out[:-1] += x[1:, 6:]
+        out[:-1] += x[1:, 6:9]
         return out
 
     def __call__(self, text: str) -> tuple[list, list]:
@@ -265,7 +298,7 @@ class Scanner:
                     m = next(islice(spots, k - at, None))
                     places[k], at = m.span(), k + 1
                 for k in wanted.tolist():
-                    if tags[k] == BEGIN or not added:
+                    if tags[k] == BEGIN or k == 0 or tags[k - 1] == OUTSIDE:
                         added.append(list(places[k]))
                     else:
                         added[-1][1] = places[k][1]
