@@ -35,14 +35,16 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.bytes_of_text = {str(r): t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
         self.trie = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.trie.add_word(token.decode("latin-1"), (len(token), rank))
         self.trie.make_automaton()
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[tuple[int | None, int], bool] = {}
         self.memo = Memo(lambda piece: " ".join(map(str, self.piece(piece.encode()))))
+        self.written = Memo(self.decode)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice for a single byte; None if merging never makes it."""
@@ -66,17 +68,18 @@ class ByteBpe:
             self._shorter[token] = next((r for r in found if r is not None), None)
         return self._shorter[token]
 
-    def fits(self, left: int, right: int) -> bool:
-        """Whether merging leaves these two side by side.
+    def fits(self, left: int | None, right: int) -> bool:
+        """Whether merging makes ``right`` at all and leaves these two side by side; left is None at the start.
 
         Of the tokens that end ``left`` and those that begin ``right`` while they form, two merge across the border
         if their rank comes before the merges that use either up; among equal ranks the leftmost goes first.
         """
         known = self._fits.get((left, right))
         if known is None:
-            known = self._fits[left, right] = self._apart(self._edge(left, 1), self._edge(right, 0))
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
+            known = self.halves(right) is not None and (left is None or self._apart(self._edge(left, 1), self._edge(right, 0)))
+            self._fits[left, right] = known
         return known
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
@@ -102,32 +105,37 @@ class ByteBpe:
             return []
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
+        n, size, known = len(piece), self.size, self._fits
         longest: list[int | None] = [None] * n
-        for end, (size, rank) in self.trie.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if longest[start] is None or size > len(self.bytes_of[longest[start]]):
-                longest[start] = rank
+        reach = [0] * n
+        for end, (length, rank) in self.trie.iter(piece.decode("latin-1")):
+            start = end - length + 1
+            if length > reach[start]:
+                longest[start], reach[start] = rank, length
         dead = bytearray(n + 1)
         tokens: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], None
         while at < n:
-            last = tokens[-1] if tokens else None
             while token is not None:
-                end = at + len(self.bytes_of[token])
-                if not dead[end] and self.halves(token) is not None and (last is None or self.fits(last, token)):
-                    break
+                if not dead[at + size[token]]:
+                    fit = known.get((last, token))
+                    if fit is None:
+                        fit = self.fits(last, token)
+                    if fit:
+                        break
                 token = self.shorter(token)
             if token is None:
                 if last is None:
                     raise ValueError(f"the vocabulary cannot write byte {piece[at]}")
                 dead[at] = 1
                 tokens.pop()
-                at -= len(self.bytes_of[last])
+                at -= size[last]
                 token = self.shorter(last)
+                last = tokens[-1] if tokens else None
                 continue
             tokens.append(token)
-            at += len(self.bytes_of[token])
+            at += size[token]
+            last = token
             token = longest[at] if at < n else None
         return tokens
 
@@ -135,16 +143,16 @@ class ByteBpe:
         return b"".join(map(self.bytes_of_text.__getitem__, ids.split(" "))) if ids else b""
 
     def blocks(self, text: str):
-        """The ids of a text as decimal text, in blocks of bounded size."""
+        """The ids of a text's pieces, each as decimal text, in lists of bounded size."""
         if len(text) < 4 * PIECES_AT_ONCE:
-            yield " ".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+            yield list(map(self.memo.__getitem__, self.pattern.findall(text)))
             return
         pieces = (m.group() for m in self.pattern.finditer(text))
         while some := list(islice(pieces, PIECES_AT_ONCE)):
-            yield " ".join(map(self.memo.__getitem__, some))
+            yield list(map(self.memo.__getitem__, some))
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for block in self.blocks(text) for x in block.split()]
+        return [int(x) for block in self.blocks(text) for ids in block for x in ids.split()]
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -190,9 +198,10 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
                 ids_hash, data_hash, n = hashlib.sha256(), hashlib.sha256(), 0
                 for block in bpe.blocks(text):
                     if block:
-                        ids_hash.update((" " * (n > 0) + block).encode())
-                        data_hash.update(bpe.decode(block))
-                        n += block.count(" ") + 1
+                        ids = " ".join(block)
+                        ids_hash.update((" " * (n > 0) + ids).encode())
+                        data_hash.update(b"".join(map(bpe.written.__getitem__, block)))
+                        n += ids.count(" ") + 1
                 yield key, n, ids_hash.hexdigest(), data_hash.hexdigest()
 
         return step

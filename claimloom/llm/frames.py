@@ -68,16 +68,23 @@ def crc_remainder(id_col: str, divisor: int = 5) -> Column:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and forgets all beyond ``limit`` entries."""
+    """A dict that computes what it lacks. Beyond ``limit`` entries it forgets those that it was not asked for since the last time it was full."""
 
     def __init__(self, compute: Callable, limit: int = 300_000, longest: int = 64):
         super().__init__()
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.limit, self.longest, self.before = compute, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
