@@ -14,12 +14,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import checkpoint_folder, components
-from claimloom.llm.frames import Memo, map_slices, word_list
+from claimloom.llm.frames import map_slices
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -34,22 +33,61 @@ FETCH_BITS = 1 << 26
 STRETCH = 512
 
 
+#: White space of words, a random value for each byte, and a multiplier with its inverse: words are hashed as polynomials.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_TIMES = 0x9E3779B97F4A7C15
+_BACK = pow(_TIMES, -1, 1 << 64)
+#: Bytes of a text that are hashed at a time.
+PART = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Shingler:
     """Sets of shingles as sorted 64-bit hashes."""
 
     def __init__(self, words: int = WORDS):
         self.words = words
-        self.memo = Memo(xxhash.xxh3_64_intdigest)
+        self.up, self.down = _powers(_TIMES, 4096), _powers(_BACK, 4096)
+
+    def _hashes(self, text: bytes) -> np.ndarray:
+        """A hash of each word."""
+        b = np.frombuffer(text, np.uint8)
+        if len(b) >= len(self.up):
+            n = 1 << (len(b) + 1).bit_length()
+            self.up, self.down = _powers(_TIMES, n), _powers(_BACK, n)
+        space = np.ones(len(b) + 2, bool)
+        space[1:-1] = _SPACE[b]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_VALUE[b] * self.up[: len(b)], out=sums[1:])
+        return (sums[end] - sums[start]) * self.down[start]
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        found = word_list(text)
-        w = np.fromiter(map(self.memo.__getitem__, found), dtype=np.uint64, count=len(found))
+        text = (text or b"").lower()
+        if len(text) <= PART:
+            w = self._hashes(text)
+        else:
+            parts, at = [], 0
+            while at < len(text):
+                end = min(len(text), at + PART)
+                while end < len(text) and not _SPACE[text[end]]:
+                    end += 1
+                parts.append(self._hashes(text[at:end]))
+                at = end
+            w = np.concatenate(parts)
         if not len(w):
-            return w
+            return np.empty(0, np.int64)
         k = min(self.words, len(w))
         h = np.full(len(w) - k + 1, k, dtype=np.uint64)
         for j in range(k):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (w[j : len(w) - k + 1 + j] ^ (w[j : len(w) - k + 1 + j] >> np.uint64(32)))
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return np.unique((h ^ (h >> np.uint64(32))).view(np.int64))
 
@@ -192,6 +230,14 @@ def verify(pairs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int =
     return both.mapInArrow(run, "a long, b long").distinct().checkpoint()
 
 
+def _may_link(similar: int) -> F.Column:
+    """Of a pair with sizes n and m that shares c shingles of its prefixes: beyond its prefix a set of n has
+    ceil(n * similar / 100) - 1 shingles, and with the shared ones they must suffice."""
+    n, m = F.col("n"), F.col("m")
+    rest = F.ceil(F.greatest(n, m) * similar / 100) - 1
+    return (100 * F.least(n, m) >= similar * F.greatest(n, m)) & ((F.col("c") + rest) * (100 + similar) >= similar * (n + m))
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """id, n_shingles, component of each row.
 
@@ -214,7 +260,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     of_token = Window.partitionBy("token")
     lists = lists.select("token", "gid", F.min("gid").over(of_token).alias("hub"), F.max("gid").over(of_token).alias("last")).where("hub <> last").drop("last").checkpoint()
 
-    first = lists.where("gid <> hub").select(F.col("gid").alias("a"), "hub").unionByName(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("hub"))).distinct()
+    sizes = members.groupBy("gid").agg(F.first("n").alias("n"))
+    star = lists.where("gid <> hub").groupBy(F.col("gid").alias("a"), "hub").agg(F.count("*").alias("c"))
+    star = star.join(sizes.select(F.col("gid").alias("a"), "n"), "a").join(sizes.select(F.col("gid").alias("hub"), F.col("n").alias("m")), "hub")
+    star = star.where(_may_link(similar)).select("a", "hub")
+    first = star.unionByName(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("hub"))).checkpoint()
     edges = verify(first, rows, words, similar)
     found = components(edges).withColumnRenamed("id", "rep")
 
@@ -228,9 +278,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     near = F.lit(100) * F.least("x.n", "y.n") >= F.lit(similar) * F.greatest("x.n", "y.n")
     pairs = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
     pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("hub"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.sum("x.w").alias("c"))
-    # beyond its prefix a set of n has ceil(n * similar / 100) - 1 shingles; with the shared ones they must suffice
-    rest = F.ceil(F.greatest("n", "m") * similar / 100) - 1
-    pairs = pairs.where((F.col("c") + rest) * (100 + similar) >= similar * (F.col("n") + F.col("m"))).select("a", "hub").join(first, ["a", "hub"], "left_anti")
+    pairs = pairs.where(_may_link(similar)).select("a", "hub").join(first, ["a", "hub"], "left_anti")
     more = verify(pairs, rows, words, similar)
     if not more.isEmpty():
         found = components(edges.unionByName(more)).withColumnRenamed("id", "rep")
