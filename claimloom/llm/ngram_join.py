@@ -2,9 +2,9 @@
 
 Documents of one set are one from the start. Of each set only the prefix is looked at: the shingles that come first in
 one fixed order, so many that two sets of the wanted similarity must share one. Sets with the same prefix and size form
-a group; groups meet in the lists of their prefixes' shingles. Each list first links all its groups to its smallest
-one, and these pairs are verified on whole sets. Pairs that still lie in different components and share enough of
-their prefixes are then verified too, so no link is lost, and a list whose members are one component is done without
+a group; groups meet in the lists of their prefixes' shingles. First each group meets two groups, the
+one that is smallest in most of its lists and the smallest of all; such pairs are verified on whole sets if they share
+enough of their prefixes. Pairs that still lie in different components and share enough are then verified too, so no link is lost, and a list whose members are one component is done without
 its pairs.
 """
 
@@ -261,7 +261,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     lists = lists.select("token", "gid", F.min("gid").over(of_token).alias("hub"), F.max("gid").over(of_token).alias("last")).where("hub <> last").drop("last").checkpoint()
 
     sizes = members.groupBy("gid").agg(F.first("n").alias("n"))
-    star = lists.where("gid <> hub").groupBy(F.col("gid").alias("a"), "hub").agg(F.count("*").alias("c"))
+    by_hub = lists.where("gid <> hub").groupBy(F.col("gid").alias("a"), "hub").agg(F.count("*").alias("c"))
+    hubs = F.array_distinct(F.array(F.max_by("hub", F.struct(F.col("c"), -F.col("hub"))), F.min("hub")))
+    star = by_hub.groupBy("a").agg(hubs.alias("hubs")).select("a", F.explode("hubs").alias("hub"))
+    star = lists.select("token", F.col("gid").alias("a")).join(star, "a").join(lists.select("token", F.col("gid").alias("hub")), ["token", "hub"]).groupBy("a", "hub").agg(F.count("*").alias("c"))
     star = star.join(sizes.select(F.col("gid").alias("a"), "n"), "a").join(sizes.select(F.col("gid").alias("hub"), F.col("n").alias("m")), "hub")
     star = star.where(_may_link(similar)).select("a", "hub")
     first = star.unionByName(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("hub"))).checkpoint()
