@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import text, urls, vectors
 from claimloom.functions import vocab as V
+from claimloom.operators.claims import settled
 
 
 def _texts(values) -> Column:
@@ -156,13 +157,14 @@ def ranked(df: DataFrame, most: int = 10) -> DataFrame:
 
 def normalised(candidates: DataFrame, claims: DataFrame, tiers: DataFrame, most: int = 10, lexicon: text.Lexicon | None = None) -> DataFrame:
     """Candidates with canonical URL, domain, rating, weight, overlap, aboutness and decisive, deduplicated, ranked, capped."""
-    df = candidates.withColumn("url", urls.canonical_url(F.col("url"))).withColumn("domain", F.coalesce(F.nullif(urls.domain(F.col("url")), F.lit("")), F.col("domain")))
+    df = settled(candidates.withColumnRenamed("url", "__url"), {"url": urls.canonical_url(F.col("__url"))}).drop("__url")
+    df = df.withColumn("domain", F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z0-9+.-]+://([^/?#:]*)", 1), F.lit("")), F.col("domain")))
     df = deduped(with_rating(urls.with_tier(df, tiers)))
     c = claims.select("claim_id", F.col("text").alias("__claim"))
     df = df.join(c, "claim_id")
     words = text.overlap_tokens(F.concat_ws(" ", "title", "snippet", "text"))
-    df = df.withColumn("overlap", vectors.overlap(text.overlap_tokens(F.col("__claim")), words)).withColumn("about", about_any(F.col("__claim"), F.col("title"), F.col("snippet"), lexicon=lexicon))
-    return ranked(df.withColumn("decisive", is_decisive()).drop("__claim"), most)
+    df = settled(df, {"overlap": vectors.overlap(text.overlap_tokens(F.col("__claim")), words), "about": about_any(F.col("__claim"), F.col("title"), F.col("snippet"), lexicon=lexicon)})
+    return ranked(settled(df.drop("decisive", "__claim"), {"decisive": is_decisive()}), most)
 
 
 def enriched(candidates: DataFrame, pages: DataFrame, first: int = 3, least: int = 200, most: int = 20_000) -> DataFrame:

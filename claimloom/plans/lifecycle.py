@@ -29,9 +29,12 @@ def seed_candidates(claims: DataFrame, corpus: DataFrame, k: int = 3, floor: flo
 
 def check(packets: DataFrame, corpus: DataFrame, tiers: DataFrame, today: dt.date, lexicon: text.Lexicon | None = None) -> tuple[DataFrame, DataFrame]:
     """(claim verdicts, packet verdicts) of messages against a corpus of fact-checks; messages without claims are unverified."""
-    rows = C.extract(packets, today, lexicon)
+    context = packets.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(packets.sparkSession.conf.get("spark.checkpoint.dir", "") or "/tmp/claimloom-checkpoints")
+    rows = C.extract(packets, today, lexicon).checkpoint()  # read several times below
     worthy = rows.where("check_worthy")
-    found = EV.normalised(seed_candidates(worthy, corpus), worthy.select("claim_id", F.col("sentence").alias("text")).distinct(), tiers, lexicon=lexicon)
+    found = EV.normalised(seed_candidates(worthy, corpus), worthy.select("claim_id", F.col("sentence").alias("text")).distinct(), tiers, lexicon=lexicon).checkpoint()
     st = stance.decided(found, None)
     items = st.select("claim_id", "id", "stance", F.col("stance_score").alias("score"), F.col("source_weight").alias("weight"), "decisive", "demo", "rating")
     claims = verdict.for_claims(worthy.select("packet_id", "claim_id", F.col("sentence").alias("text")).dropDuplicates(["claim_id"]), items)
