@@ -329,6 +329,26 @@ def test_language_model_base_and_normalisation(spark, hard, empty):
     assert np.allclose((10 ** language_model.log_bilinear(np.random.default_rng(0).integers(0, 9, (8, 8, 8)))).sum(2), 1)
 
 
+def test_language_model_tells_the_order_of_words_of_one_class(spark):
+    """All words end alike, so they are one class by shape (but for the 31 most frequent): only word contexts tell the order."""
+    names = [f"w{k:03d}ing" for k in range(240)]
+    r = random.Random(4)
+    docs = []
+    for k in range(1500):
+        at = r.randrange(240)
+        docs.append((k, " ".join(names[(at + j) % 240] for j in range(20))))
+    mixed = {}
+    for k, t in docs[:300]:
+        w = t.split()
+        r.shuffle(w)
+        mixed[10_000 + k] = " ".join(w)
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    docs += [(k, t) for k, t in mixed.items() if fold(k) and fold(k - 10_000)]
+    got = {x["doc_id"]: x["score"] for x in language_model.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    pairs = [(got[k - 10_000], got[k]) for k in got if k >= 10_000]
+    assert len(pairs) > 5 and all(a > b + 5 for a, b in pairs)
+
+
 def test_log_bilinear_learns_order():
     t = np.zeros((6, 6, 6))
     for k in range(6):
