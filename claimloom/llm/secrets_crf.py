@@ -26,7 +26,7 @@ STEMS = ("passw", "secret", "token", "api")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: The field is fitted on windows of at most so many documents with base spans (the first by a hash of the id), a few
 #: windows each, and as many windows without any.
-TRAIN_DOCUMENTS, WINDOWS_EACH, REACH = 300, 2, 12
+TRAIN_DOCUMENTS, WINDOWS_EACH, REACH = 1500, 3, 12
 WIDTH = 1 << 14
 
 _TOKEN = re.compile(r"\S+")
@@ -81,8 +81,22 @@ def _own(word: str) -> np.ndarray:
     return _slots("0", _traits(word))
 
 
+#: Turns a word's slot into the one of the word as neighbour at a place.
+_PLACES = {p: zlib.crc32(f"place {p}".encode()) % WIDTH for p in "-+"}
+
+
+def _word_slot(word: str) -> int:
+    """The slot of which word it is, of its first 200 characters (as in the windows) in lower case."""
+    return zlib.crc32(f"w:{word[:200].lower()}".encode("utf-8", "replace")) % WIDTH
+
+
 def _side(place: str, word: str) -> np.ndarray:
-    """What a token says of its neighbour; a cue is told by its letters too."""
+    """What a token says of its neighbour: which word it is, and what ``_side_kind`` tells."""
+    return np.append(_side_kind(place, word), _word_slot(word) ^ _PLACES[place])
+
+
+def _side_kind(place: str, word: str) -> np.ndarray:
+    """What a token says of its neighbour without the word itself; a cue is told by its letters too."""
     t = _traits(word)
     cue = _CUE.search(word)
     return _slots(place, [t[0], t[5], t[6], t[7], t[8], f"w:{cue.group().lower() if cue else ''}"])
@@ -229,19 +243,24 @@ def windows_of(text: str) -> list[tuple[list[str], list[int], list[int]]]:
 
 
 def varied(windows: list, seed: int = 3) -> list:
-    """The windows, and each that has a span once more with another cue, sign and value in its place, so that the field
-    learns contexts and shapes beyond the patterns that tagged them."""
+    """The windows, and each that has a span once more with another cue, sign and value in its place and another plain
+    word after it, so that the field learns contexts and shapes beyond the patterns that tagged them and does not lean
+    on the one word that happened to follow."""
     rng = np.random.default_rng(seed)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
     cues, signs = ["token", "secret", "password", "api_key", "bearer", "credential", "access_key", "private_key"], ["is", ":", "=", "->", ""]
     out = list(windows)
+    plain = sorted({w for words, tags, _ in windows for w, t in zip(words, tags) if t == OUTSIDE and w.isalpha()})
     for words, tags, file_slots in windows:
         if BEGIN in tags:
             k = tags.index(BEGIN)
             after = next((j for j in range(k + 1, len(tags)) if tags[j] != INSIDE), len(tags))
             value = "".join(letters[rng.integers(0, len(letters), rng.integers(16, 44))])
             cue = [c for c in (str(rng.choice(cues)), str(rng.choice(signs))) if c]
-            out.append(([*words[:k], *cue, value, *words[after:]], [*tags[:k], *[OUTSIDE] * len(cue), BEGIN, *tags[after:]], file_slots))
+            rest = list(words[after:])
+            if rest and tags[after] == OUTSIDE and plain:
+                rest[0] = plain[rng.integers(len(plain))]
+            out.append(([*words[:k], *cue, value, *rest], [*tags[:k], *[OUTSIDE] * len(cue), BEGIN, *tags[after:]], file_slots))
     return out
 
 
@@ -259,28 +278,29 @@ class Scanner:
         self.used = 0
 
     def _row(self, word: str) -> int:
+        """The row of the word's kind and the slot of the word, as one number."""
         kind = _kind(word)
         row = self.rows.get(kind)
         if row is None:
             row = self.rows[kind] = self._add(word)
-        return row
+        return row * WIDTH + _word_slot(word)
 
     def _add(self, word: str) -> int:
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         f = self.field
-        self.table[self.used] = np.concatenate([f.gain(_own(word)), f.gain(_side("-", word)), f.gain(_side("+", word)), _flags(word)])
+        self.table[self.used] = np.concatenate([f.gain(_own(word)), f.gain(_side_kind("-", word)), f.gain(_side_kind("+", word)), _flags(word)])
         self.used += 1
         return self.used - 1
 
     def gains(self, words: list[str]) -> np.ndarray:
         if self.used > 300_000:
             self._clear()
-        ids = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        ids, slots = np.divmod(np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)), WIDTH)
         x = self.table[ids]
         out = x[:, :3] + self.field.gain(_file(len(words), *x[:, 9:].mean(0).tolist()))
-        out[1:] += x[:-1, 3:6]
-        out[:-1] += x[1:, 6:9]
+        out[1:] += x[:-1, 3:6] + self.field.weights[slots[:-1] ^ _PLACES["-"]]
+        out[:-1] += x[1:, 6:9] + self.field.weights[slots[1:] ^ _PLACES["+"]]
         return out
 
     def __call__(self, text: str) -> tuple[list, list]:

@@ -278,6 +278,23 @@ def test_secret_patterns_and_field(spark, hard, empty):
     assert secrets_crf.scan(hard, field).count() == len(HARD) and secrets_crf.scan(empty, secrets_crf.train(empty)).collect() == []
 
 
+def test_secret_field_tells_neighbouring_words_apart():
+    """Words of one shape before and after a value: which word it is decides, though no cue pattern has it."""
+    r = random.Random(2)
+    value = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    windows = []
+    for _ in range(150):
+        for before, after, tag in (("auth", "plain", 1), ("item", "plain", 0), ("word", "signs", 1), ("word", "rows", 0)):
+            text = ["some", before, value(), after, "text"]
+            windows.append((text, [0, 0, tag, 0, 0], secrets_crf._file_of(text).tolist()))
+    scanner = secrets_crf.Scanner(secrets_crf.fit(windows))
+    for before, after, tag in (("auth", "plain", 1), ("item", "plain", 0), ("word", "signs", 1), ("word", "rows", 0)):
+        assert all(len(scanner(f"some {before} {value()} {after} text")[1]) == tag for _ in range(20)), (before, after)
+    text = ["some", "auth", value(), "signs", "text"] * 3  # cached gains are those that the field was fitted with
+    want = [scanner.field.gain(np.concatenate([secrets_crf._own(w), *([secrets_crf._side("-", text[k - 1])] if k else []), *([secrets_crf._side("+", text[k + 1])] if k + 1 < len(text) else []), secrets_crf._file_of(text)])) for k, w in enumerate(text)]
+    assert np.allclose(scanner.gains(text), want)
+
+
 def test_viterbi_of_stretches_is_that_of_the_chain():
     rng = np.random.default_rng(1)
     for _ in range(200):
