@@ -274,18 +274,18 @@ def _event_claims(spark, d):
 
 
 def open_claims(spark, d):
-    st = _stance_log(spark, d).where("seq % 10 = 0")
-    return graph.open_claims(_event_claims(spark, d), st.where("weight > 0.6")).select("claim_id", "packet_id")
+    st = _stance_log(spark, d).where("weight > 0.6")
+    return graph.open_claims(_event_claims(spark, d), st).select("claim_id", "packet_id")
 
 
 def escalation(spark, d):
-    st = _stance_log(spark, d).where("seq % 10 = 0 AND weight > 0.6")
+    st = _stance_log(spark, d).where("weight > 0.6")
     tried = _event_claims(spark, d).where("claim_id % 6 = 0")
     return agents.escalated(_event_claims(spark, d), st, tried).select("claim_id", "packet_id", "rank")
 
 
 def _verdicts(spark, d):
-    st = _stance_log(spark, d).where("seq % 7 < 2").withColumn("decisive", F.col("seq") % 59 == 0)
+    st = _stance_log(spark, d).withColumn("decisive", F.col("seq") % 59 == 0)
     claims = _event_claims(spark, d)
     return verdict.for_claims(claims.select("packet_id", "claim_id"), st, claims.where("claim_id % 17 = 0"), claims.where("claim_id % 19 = 0"))
 
