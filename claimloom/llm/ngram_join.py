@@ -1,11 +1,13 @@
 """N-gram Jaccard join by grouped prefixes, to the components of linked documents.
 
 Documents of one set are one from the start. Of each set only the prefix is looked at: the shingles that come first in
-one fixed order, so many that two sets of the wanted similarity must share one. Sets with the same prefix and size form
-a group; groups meet in the lists of their prefixes' shingles. First each group meets two groups, the
-one that is smallest in most of its lists and the smallest of all; such pairs are verified on whole sets if they share
-enough of their prefixes. Pairs that still lie in different components and share enough are then verified too, so no link is lost, and a list whose members are one component is done without
-its pairs.
+one fixed order, the rarest first, so many that two sets of the wanted similarity must share one. A shingle that stands
+in one set's prefix only meets nobody and is left out. Sets that agree in what is left of their prefixes and in size
+form a group. Before groups are paired, each set is compared on whole sets with others of two of its lists, a stretch of
+a list at a time; that makes most of a family of near copies one component. Then pairs of groups that still lie in
+different components are filtered by size and by the number of prefix shingles that they share, and those left are
+expanded to their members, which are verified on whole sets. So no link is lost, and a list whose members are one
+component is done without its pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import checkpoint_folder, components
@@ -23,14 +25,18 @@ from claimloom.llm.frames import map_slices
 WORDS = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-#: The order puts shingles of many documents last. Those that a task saw in so many documents of ``CHUNK`` shingles are
-#: summed, and the most frequent ones, at most ``HEAVY_MOST``, go to all tasks. This steers the order only: results
-#: are the same whatever it holds.
-HEAVY_LEAST, CHUNK, HEAVY_MOST = 4, 1 << 22, 1 << 19
-#: Bits of the map that says which sets are fetched for verification (wrongly set bits only cost time).
+#: The order puts shingles of many documents last. Exact counts over all documents of shingles that so many documents
+#: hold, the most frequent ones and at most ``HEAVY_MOST``, go to all tasks. This steers the order only: results are the
+#: same whatever it holds.
+HEAVY_LEAST, HEAVY_MOST = 3, 1 << 19
+#: Shingles that a task counts before it hands them on, and those that meet in one row of the exchange on average.
+CHUNK, COUNTED_TOGETHER = 1 << 22, 1 << 21
+#: Bits of the map that says which sets are fetched (wrongly set bits only cost time), in pieces of 2 ** 15.
 FETCH_BITS = 1 << 26
-#: Members that a stretch of one smallest group has.
-STRETCH = 512
+#: Members of a stretch of one list, and the bytes of sets that a task compares at a time.
+STRETCH, HELD_BYTES = 256, 16 << 20
+#: Columns of shared shingles that a product of matrices takes at a time.
+COLUMNS = 4096
 
 
 #: White space of words, a random value for each byte, and a multiplier with its inverse: words are hashed as polynomials.
@@ -108,38 +114,103 @@ def linked(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
     return 100 * both >= similar * (len(a) + len(b) - both)
 
 
-def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of shingles that many documents hold, over all rows."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of elements that each two sets share, as a matrix; elements of one set only are left out first."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    both = n > 1
+    keep, named = both[at], np.cumsum(both) - 1
+    row, col = row[keep], named[at[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for k in range(0, int(both.sum()), COLUMNS):
+        a, b = np.searchsorted(col, [k, k + COLUMNS])
+        x = np.zeros((m, COLUMNS), np.float32)
+        x[row[a:b], col[a:b] - k] = 1
+        out += x @ x.T
+    return out
+
+
+def local_components(sets: list[np.ndarray], ids: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
+    """For each set the smallest id that links among these sets reach."""
+    n = np.array([len(x) for x in sets], np.float32)
+    shared = overlaps(sets)
+    links = 100 * shared >= similar * (n[:, None] + n[None] - shared)
+    links |= np.eye(len(sets), dtype=bool)
+    least = ids.copy()
+    while True:
+        now = np.where(links, least[None], np.iinfo(np.int64).max).min(1)
+        if (now == least).all():
+            return least
+        least = now
+
+
+def _whole_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(id, n, sig, set) of each row; sig stands for the set, sorted hashes. Rows without words have null sig."""
 
     def make():
         shingle = Shingler(words)
 
+        def step(columns):
+            for key, text in zip(*columns):
+                h = shingle(text).tobytes()
+                yield key, len(h) // 8, hashlib.blake2b(h, digest_size=16).digest() if h else None, h
+
+        return step
+
+    return map_slices(rows, make, "id long, n long, sig binary, set binary")
+
+
+def heavy_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and exact counts of shingles that many documents hold, over all rows, however they are dealt out.
+
+    Each task counts in chunks; a chunk's sorted hashes are cut into the same ranges everywhere, and each range meets in
+    one row group, whose size is about ``COUNTED_TOGETHER`` whatever the input is.
+    """
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    ranges = int(max(1, min(1 << 24, -(-total // COUNTED_TOGETHER))))
+
+    def make():
         class Step:
             held, n = [], 0
 
             def __call__(self, columns):
-                for text in columns[0]:
-                    self.held.append(shingle(text))
+                for data in columns[0]:
+                    self.held.append(np.frombuffer(data, np.int64))
                     self.n += len(self.held[-1])
                 return self.finish() if self.n >= CHUNK else ()
 
             def finish(self):
-                if not self.held:
-                    return []
+                if not self.n:
+                    return
                 h, c = np.unique(np.concatenate(self.held), return_counts=True)
                 self.held, self.n = [], 0
-                many = c >= HEAVY_LEAST
-                return zip(h[many].tolist(), c[many].tolist())
+                high = (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+                at = ((high * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                for a, b in zip(first, [*first[1:], len(h)]):
+                    yield int(at[a]), h[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes()
 
         return Step()
 
-    sums = map_slices(rows.select("__t"), make, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    sums = sums.checkpoint()
+    def meet(table: pa.Table) -> pa.Table:
+        h, c = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]]) for name, kind in (("h", np.int64), ("c", np.uint32)))
+        order = np.argsort(h)
+        h, c = h[order], c[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h, c = h[first], np.add.reduceat(c, first)
+        many = c >= HEAVY_LEAST
+        return pa.table({"h": h[many], "c": c[many]})
+
+    parts = map_slices(sets.where("n > 0").select("set"), make, "at int, h binary, c binary")
+    sums = parts.groupBy("at").applyInArrow(meet, "h long, c long").checkpoint()
     bands = sorted(((r["b"], r["n"]) for r in sums.groupBy(F.floor(F.log2("c") * 4).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, total = None, 0
+    least, held = None, 0
     for band, n in bands:
-        total += n
-        if total > HEAVY_MOST:
+        held += n
+        if held > HEAVY_MOST:
             break
         least = band
     if least is None:
@@ -150,61 +221,42 @@ def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], c[order]
 
 
-def _sets(rows: DataFrame, heavy, words: int, similar: int, with_prefix: bool) -> DataFrame:
-    """(id, n, sig, gkey[, prefix]) of each row; sig stands for the set, gkey for prefix and size. Rows without words have null keys."""
+def _prefixes(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], similar: int) -> DataFrame:
+    """(id, n, sig, prefix) of the sets with words."""
+    sent = sets.sparkSession.sparkContext.broadcast(heavy)
 
     def make():
-        shingle, (hot, count) = Shingler(words), heavy.value
+        hot, count = sent.value
 
         def step(columns):
-            for key, text in zip(*columns):
-                h = shingle(text)
-                n = len(h)
-                if not n:
-                    yield (key, 0, None, None, None)[: 4 + with_prefix]
-                    continue
+            for key, n, sig, data in zip(*columns):
+                h = np.frombuffer(data, np.int64)
                 c = np.zeros(n, np.int64)
                 if len(hot):
                     at = np.searchsorted(hot, h)
                     at[at == len(hot)] = 0
                     c = np.where(hot[at] == h, count[at], 0)
-                prefix = h[np.lexsort((h, c))[: prefix_length(n, similar)]]
-                sig = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-                gkey = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
-                yield (key, n, sig, gkey, prefix.tolist())[: 4 + with_prefix]
+                yield key, n, sig, h[np.lexsort((h, c))[: prefix_length(n, similar)]].tolist()
 
         return step
 
-    return map_slices(rows, make, "id long, n long, sig binary, gkey binary" + ", prefix array<long>" * with_prefix)
-
+    return map_slices(sets.select("id", "n", "sig", "set"), make, "id long, n long, sig binary, prefix array<long>")
 
-def _bit() -> F.Column:
-    return F.pmod(F.xxhash64("id"), F.lit(FETCH_BITS))
 
-
-def _fetch(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, set) of the rows whose id may be in ``wanted`` (one column): a bit map of fixed size goes to all tasks."""
-    bits = wanted.select(F.col(wanted.columns[0]).alias("id")).select(_bit().alias("b"))
-    maps = bits.groupBy(F.shiftright("b", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("m"))
-    held = rows.sparkSession.sparkContext.broadcast({r["k"]: bytes(r["m"]) for r in maps.toLocalIterator()})
-
-    def make():
-        shingle, maps = Shingler(words), held.value
-
-        def step(columns):
-            for key, text, bit in zip(*columns):
-                if (m := maps.get(bit >> 15)) is not None and m[(bit & 32767) >> 3] >> (bit & 7) & 1:
-                    yield key, shingle(text).tobytes()
-
-        return step
+    bit = F.pmod(F.xxhash64("id"), F.lit(FETCH_BITS))
+    bits = wanted.select(F.col(wanted.columns[0]).alias("id")).select(bit.alias("b"))
+    maps = bits.groupBy(F.shiftright("b", 15).alias("__k")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("__m"))
+    byte = F.conv(F.hex(F.substring(F.col("__m"), (F.shiftright(F.col("__b").bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = sets.select("id", "set", bit.alias("__b")).join(F.broadcast(maps), F.shiftright("__b", 15) == F.col("__k"))  # at most FETCH_BITS / 8 bytes
+    return found.where(F.getbit(byte.cast("long"), F.col("__b").bitwiseAND(F.lit(7)).cast("int")) == 1).select("id", "set")
 
-    return map_slices(rows.select("id", "__t", _bit()), make, "id long, set binary")
 
-
-def verify(pairs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, hub) of ids whose sets are linked. A hub's set comes first in its stretch, then members stream by."""
     pairs = pairs.checkpoint()
-    sets = _fetch(rows, pairs.select(F.explode(F.array("a", "hub")).alias("id")).distinct(), words)
+    sets = _fetch(sets, pairs.select(F.explode(F.array("a", "hub")).alias("id")).distinct())
     many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STRETCH).alias("k"))
     salted = pairs.join(many, "hub").select("a", "hub", F.pmod(F.xxhash64("a"), F.col("k")).alias("salt"))
     members = salted.join(sets.withColumnRenamed("id", "a"), "a").select("hub", "salt", F.lit(1).alias("kind"), "a", "set")
@@ -230,12 +282,83 @@ def verify(pairs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int =
     return both.mapInArrow(run, "a long, b long").distinct().checkpoint()
 
 
-def _may_link(similar: int) -> F.Column:
-    """Of a pair with sizes n and m that shares c shingles of its prefixes: beyond its prefix a set of n has
-    ceil(n * similar / 100) - 1 shingles, and with the shared ones they must suffice."""
-    n, m = F.col("n"), F.col("m")
-    rest = F.ceil(F.greatest(n, m) * similar / 100) - 1
-    return (100 * F.least(n, m) >= similar * F.greatest(n, m)) & ((F.col("c") + rest) * (100 + similar) >= similar * (n + m))
+def _grouped(batches, keys: int, most: float = float("inf")):
+    """(key, rows) of each stretch of sorted rows whose first ``keys`` columns agree; one whose last column is longer than ``most`` comes in parts."""
+    at, held, size = None, [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != at or size > most:
+                if held:
+                    yield at, held
+                at, held, size = row[:keys], [], 0
+            held.append(row[keys:])
+            size += len(row[-1])
+    if held:
+        yield at, held
+
+
+def _near_ones(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) found in stretches of two lists of each set: the longest, and one by a hash."""
+    homes = F.array(*(F.struct(F.lit(r).alias("turn"), F.col(f"home{r}.token").alias("token"), F.ceil(F.col(f"home{r}.df") / STRETCH).alias("k")) for r in (0, 1)))
+    again = (F.col("x.turn") == 0) | (F.col("x.k") > 1) | (F.col("home0.token") != F.col("home1.token"))
+    lists = members.select("rep", "home0", "home1", F.explode(homes).alias("x")).where(again).select("rep", "x.*")
+    lists = lists.select("token", "turn", F.pmod(F.xxhash64("rep", "turn"), F.col("k")).alias("salt"), "rep")
+    dealt = lists.join(_fetch(sets, members.select("rep")).withColumnRenamed("id", "rep"), "rep").select("token", "turn", "salt", "rep", "set")
+    dealt = dealt.repartition("token", "turn", "salt").sortWithinPartitions("token", "turn", "salt", "rep")
+    target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for _, held in _grouped(batches, 3, HELD_BYTES):
+            if len(held) > 1:
+                ids = np.array([x[0] for x in held], np.int64)
+                root = local_components([np.frombuffer(x[1], np.int64) for x in held], ids, similar)
+                other = root != ids
+                yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(root[other])], schema=target)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct().checkpoint()
+
+
+def _pairs_apart(groups: DataFrame, similar: int) -> DataFrame:
+    """Pairs (x, y) of groups that have members in different components and may link by size and shared prefix.
+
+    In a list, the groups within its most frequent component need not meet each other: they are dealt out in stretches,
+    and each other group comes to all of these and to all stretches of other groups. Of the lists that a pair shares,
+    the one of the smallest shingle has it.
+    """
+    entries = groups.select("gid", "n", "lo", "hi", "tokens", F.explode("tokens").alias("token"))
+    mixed = entries.groupBy("token").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("token")
+    entries = entries.join(mixed, "token").checkpoint()
+    own = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    sizes = entries.groupBy("token", own.alias("own")).agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("token").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("k", "own"))).alias("big"), F.sum("k").alias("all"))
+    most = F.coalesce("big.k", F.lit(0))
+    sizes = sizes.select("token", F.col("big.own").alias("own"), F.ceil(most / STRETCH).cast("int").alias("kb"), F.ceil((F.col("all") - most) / STRETCH).cast("int").alias("ka"))
+    rows = entries.join(sizes, "token").withColumn("of_big", F.coalesce((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("own")), F.lit(False)))
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("gid"), F.when(F.col("of_big"), F.col("kb")).otherwise(F.col("ka"))).cast("int"))
+    block = lambda i, j, side: F.struct(F.lit(i).cast("int").alias("i") if isinstance(i, int) else i.alias("i"), F.lit(j).cast("int").alias("j") if isinstance(j, int) else j.alias("j"), side.cast("int").alias("side"))
+    to_big = F.transform(F.when(F.col("kb") > 0, F.sequence(F.lit(0), F.col("kb") - 1)).otherwise(F.array().cast("array<int>")), lambda t: block(t, -1, F.lit(1)))
+    to_others = F.transform(F.sequence(F.lit(0), F.col("ka") - 1), lambda t: block(F.least(t, F.col("s")), F.greatest(t, F.col("s")), F.col("s") > t))
+    blocks = F.when(F.col("of_big"), F.array(block(F.col("s"), -1, F.lit(0)))).otherwise(F.concat(to_big, to_others))
+    dealt = rows.withColumn("__b", F.explode(blocks)).select("token", "__b.i", "__b.j", "__b.side", "gid", "n", "lo", "hi", "tokens")
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side")
+    target = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches):
+        for (token, i, j), held in _grouped(batches, 3):
+            side, gid, n, lo, hi = np.array([x[:5] for x in held], np.int64).T
+            if i != j and side[0] == side[-1]:
+                continue
+            tokens = [np.array(x[5], np.int64) for x in held]
+            c = overlaps(tokens)
+            small, large = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
+            may = (100 * small >= similar * large) & ((c - (-similar * large // 100) - 1) * (100 + similar) >= similar * (small + large))
+            may &= ~((lo == hi)[:, None] & (lo == hi)[None] & (lo[:, None] == lo[None]))
+            may = np.triu(may, 1) if i == j else may & (side[:, None] < side[None])
+            found = [(int(gid[a]), int(gid[b])) for a, b in np.argwhere(may) if np.intersect1d(tokens[a], tokens[b], assume_unique=True)[0] == token]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=target)
+
+    return dealt.mapInArrow(run, "x long, y long")
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -246,45 +369,35 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     Rows without words (null, empty or blank texts) have 0 shingles and are their own component. Rows of equal sets are
     linked, repeated rows too. A null id takes no part (null component). Ids are integers; rows that share an id stay,
     and each gets the component of its text. Other columns are left out. Sets are compared by 64-bit hashes.
+
+    Texts are read once: their sets are kept in the shared folder and read from there.
     """
     checkpoint_folder(df)
-    context = df.sparkSession.sparkContext
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("__t"))
-    heavy = context.broadcast(heavy_shingles(rows, words))
-    keys = _sets(rows, heavy, words, similar, False).checkpoint()
-    whole = keys.where("n > 0 AND id IS NOT NULL")
-    reps = whole.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("gkey").alias("gkey"))
-    groups = _sets(rows, heavy, words, similar, True).where("n > 0 AND id IS NOT NULL").groupBy("gkey").agg(F.min("id").alias("gid"), F.first("prefix").alias("prefix"))
-    members = reps.join(whole.groupBy("gkey").agg(F.min("id").alias("gid")), "gkey").select("rep", "gid", "n").checkpoint()
-    lists = groups.select("gid", F.explode("prefix").alias("token"))
-    of_token = Window.partitionBy("token")
-    lists = lists.select("token", "gid", F.min("gid").over(of_token).alias("hub"), F.max("gid").over(of_token).alias("last")).where("hub <> last").drop("last").checkpoint()
-
-    sizes = members.groupBy("gid").agg(F.first("n").alias("n"))
-    by_hub = lists.where("gid <> hub").groupBy(F.col("gid").alias("a"), "hub").agg(F.count("*").alias("c"))
-    hubs = F.array_distinct(F.array(F.max_by("hub", F.struct(F.col("c"), -F.col("hub"))), F.min("hub")))
-    star = by_hub.groupBy("a").agg(hubs.alias("hubs")).select("a", F.explode("hubs").alias("hub"))
-    star = lists.select("token", F.col("gid").alias("a")).join(star, "a").join(lists.select("token", F.col("gid").alias("hub")), ["token", "hub"]).groupBy("a", "hub").agg(F.count("*").alias("c"))
-    star = star.join(sizes.select(F.col("gid").alias("a"), "n"), "a").join(sizes.select(F.col("gid").alias("hub"), F.col("n").alias("m")), "hub")
-    star = star.where(_may_link(similar)).select("a", "hub")
-    first = star.unionByName(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("hub"))).checkpoint()
-    edges = verify(first, rows, words, similar)
+    sets = _whole_sets(rows, words).checkpoint()
+    whole = sets.where("n > 0 AND id IS NOT NULL")
+    of_set = _prefixes(whole, heavy_shingles(whole), similar).groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    tokens = of_set.select("rep", "n", F.explode("prefix").alias("token"))
+    lists = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    members = tokens.join(lists, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("token", "df"))).alias("t"))
+    members = members.select(
+        "rep", "n", F.col("t.token").alias("tokens"), F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("t.token").cast("array<string>")).cast("binary")).alias("gkey"),
+        F.array_max(F.transform("t", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token")))).alias("home0"),
+        F.array_min(F.transform("t", lambda x: F.struct(F.xxhash64(x["token"]).alias("by"), x["df"].alias("df"), x["token"].alias("token")))).alias("home1"),
+    ).checkpoint()
+    edges = _near_ones(members, sets, similar)
     found = components(edges).withColumnRenamed("id", "rep")
 
-    # what links to the smallest groups left apart
-    shared = lists.select("token", "gid", F.lit(1).alias("w")).join(members, "gid")
-    alone = members.where("rep <> gid").select("gid").distinct().join(members, "gid").select("gid", F.col("gid").alias("token"), F.col("n").alias("w"), "rep", "n")
-    shared = shared.withColumn("kind", F.lit(0)).unionByName(alone.withColumn("kind", F.lit(1))).join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    in_list = Window.partitionBy("kind", "token")
-    apart = shared.select("kind", "token", "rep", "n", "w", "component", F.min("component").over(in_list).alias("least"), F.max("component").over(in_list).alias("most")).where("least <> most").drop("least", "most").checkpoint()
-    x, y = apart.alias("x"), apart.alias("y")
-    near = F.lit(100) * F.least("x.n", "y.n") >= F.lit(similar) * F.greatest("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & near)
-    pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("hub"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.sum("x.w").alias("c"))
-    pairs = pairs.where(_may_link(similar)).select("a", "hub").join(first, ["a", "hub"], "left_anti")
-    more = verify(pairs, rows, words, similar)
+    # what those stretches left apart
+    placed = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = placed.groupBy("gkey").agg(F.min("rep").alias("gid"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min("component").alias("lo"), F.max("component").alias("hi")).checkpoint()
+    placed = placed.select("rep", "gkey", "component").join(groups.select("gkey", "gid"), "gkey").select("rep", "gid", "component")
+    pairs = _pairs_apart(groups, similar).unionByName(groups.where("lo <> hi").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
+    x, y = (placed.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("component").alias(c)) for g, r, c in (("x", "a", "ca"), ("y", "hub", "cb")))
+    pairs = pairs.join(x, "x").join(y, "y").where("ca <> cb AND (x <> y OR a > hub)").select("a", "hub")
+    more = verify(pairs, sets, similar)
     if not more.isEmpty():
         found = components(edges.unionByName(more)).withColumnRenamed("id", "rep")
-    of_set = reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = keys.join(of_set, "sig", "left")
+    reps = whole.groupBy("sig").agg(F.min("id").alias("rep")).join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    out = sets.select("id", "n", "sig").join(reps, "sig", "left")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

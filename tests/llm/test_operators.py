@@ -191,6 +191,23 @@ def test_ngram_join_loses_no_link(spark, hard, empty, heavy, monkeypatch):
         assert ngram_join.join(empty).collect() == []
 
 
+@pytest.mark.parametrize("stretch", [1, 4])
+def test_ngram_join_of_families_across_stretches_and_many_partitions(spark, stretch, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STRETCH", stretch)
+    r, pairs = random.Random(8), []
+    for family in range(3):
+        base = [f"w{family}_{k}" for k in range(90)]
+        for _ in range(45):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"x{r.random()}"
+            pairs.append((len(pairs), " ".join(w)))
+    want = brute_components(pairs)
+    assert 3 < len({c for _, _, c in want}) < 100
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(220)
+    assert rows(ngram_join.join(df)) == want
+
+
 def test_chains_are_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     found = {r["id"]: r["component"] for r in components.components(edges).collect()}
