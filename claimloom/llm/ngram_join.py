@@ -25,12 +25,13 @@ from claimloom.llm.frames import map_slices
 WORDS = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-#: The order puts shingles of many documents last. Exact counts over all documents of shingles that so many documents
-#: hold, the most frequent ones and at most ``HEAVY_MOST``, go to all tasks. This steers the order only: results are the
+#: The order puts shingles of many documents last. Counts over all documents of shingles that so many documents
+#: hold (by the upper half of their hashes), the most frequent ones and at most ``HEAVY_MOST``, go to all tasks. This steers the order only: results are the
 #: same whatever it holds.
 HEAVY_LEAST, HEAVY_MOST = 3, 1 << 19
-#: Shingles that a task counts before it hands them on, and those that meet in one row of the exchange on average.
-CHUNK, COUNTED_TOGETHER = 1 << 22, 1 << 21
+#: Shingles that a task counts before it hands them on, bytes of texts whose shingles meet in one group on average, and the
+#: number of documents from which a shingle's list is dealt out by its sets.
+CHUNK, BYTES_TOGETHER, HOT = 1 << 21, 1 << 23, 1 << 14
 #: Bits of the map that says which sets are fetched (wrongly set bits only cost time), in pieces of 2 ** 15.
 FETCH_BITS = 1 << 26
 #: Members of a stretch of one list, and the bytes of sets that a task compares at a time.
@@ -147,38 +148,36 @@ def local_components(sets: list[np.ndarray], ids: np.ndarray, similar: int = SIM
         least = now
 
 
-def _whole_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(id, n, sig, set) of each row; sig stands for the set, sorted hashes. Rows without words have null sig."""
+def _ranges(rows: DataFrame) -> int:
+    """Ranges of hashes that meet in one row group each: in proportion to the texts."""
+    total = rows.agg(F.sum(F.length("__t"))).first()[0] or 0
+    return int(max(1, min(1 << 24, total // BYTES_TOGETHER)))
 
-    def make():
-        shingle = Shingler(words)
-
-        def step(columns):
-            for key, text in zip(*columns):
-                h = shingle(text).tobytes()
-                yield key, len(h) // 8, hashlib.blake2b(h, digest_size=16).digest() if h else None, h
 
-        return step
-
-    return map_slices(rows, make, "id long, n long, sig binary, set binary")
+def _cuts(at: np.ndarray) -> zip:
+    """(start, end) of each run of equal values."""
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return zip(first.tolist(), [*first[1:].tolist(), len(at)])
 
 
-def heavy_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and exact counts of shingles that many documents hold, over all rows, however they are dealt out.
+def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper halves of hashes (sorted) and counts of shingles that many documents hold, over all rows, however they are dealt out.
 
-    Each task counts in chunks; a chunk's sorted hashes are cut into the same ranges everywhere, and each range meets in
-    one row group, whose size is about ``COUNTED_TOGETHER`` whatever the input is.
+    Each task counts in chunks; a chunk's sorted values go out as differences, cut into the same ranges everywhere. Of a
+    range far more than its share of the most frequent ones is kept.
     """
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    ranges = int(max(1, min(1 << 24, -(-total // COUNTED_TOGETHER))))
+    ranges = _ranges(rows)
+    most = 8 * HEAVY_MOST // ranges + 1024
 
     def make():
+        shingle = Shingler(words)
+
         class Step:
             held, n = [], 0
 
             def __call__(self, columns):
-                for data in columns[0]:
-                    self.held.append(np.frombuffer(data, np.int64))
+                for text in columns[0]:
+                    self.held.append((shingle(text).view(np.uint64) >> np.uint64(32)).astype(np.uint32))
                     self.n += len(self.held[-1])
                 return self.finish() if self.n >= CHUNK else ()
 
@@ -187,24 +186,32 @@ def heavy_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     return
                 h, c = np.unique(np.concatenate(self.held), return_counts=True)
                 self.held, self.n = [], 0
-                high = (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
-                at = ((high * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                for a, b in zip(first, [*first[1:], len(h)]):
-                    yield int(at[a]), h[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes()
+                at = ((h.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                for a, b in _cuts(at):
+                    steps, n = np.diff(h[a:b]), c[a:b]
+                    steps = steps.astype(np.uint16) if b - a == 1 or steps.max() < 1 << 16 else steps
+                    yield int(at[a]), int(h[a]), b - a, steps.tobytes(), n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
 
         return Step()
 
     def meet(table: pa.Table) -> pa.Table:
-        h, c = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name]]) for name, kind in (("h", np.int64), ("c", np.uint32)))
+        hs, cs = [], []
+        for base, n, steps, c in zip(*(table[x].to_pylist() for x in ("base", "n", "steps", "c"))):
+            h = np.full(n, base, np.uint32)
+            h[1:] += np.cumsum(np.frombuffer(steps, np.uint16 if len(steps) == 2 * n - 2 else np.uint32), dtype=np.uint32)
+            hs.append(h)
+            cs.append(np.frombuffer(c, np.uint8 if len(c) == n else np.uint32).astype(np.int64))
+        h, c = np.concatenate(hs), np.concatenate(cs)
         order = np.argsort(h)
-        h, c = h[order], c[order].astype(np.int64)
+        h, c = h[order], c[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         h, c = h[first], np.add.reduceat(c, first)
-        many = c >= HEAVY_LEAST
-        return pa.table({"h": h[many], "c": c[many]})
+        many = np.flatnonzero(c >= HEAVY_LEAST)
+        if len(many) > most:
+            many = many[np.argpartition(c[many], -most)[-most:]]
+        return pa.table({"h": h[many].astype(np.int64), "c": c[many]})
 
-    parts = map_slices(sets.where("n > 0").select("set"), make, "at int, h binary, c binary")
+    parts = map_slices(rows.select("__t"), make, "at int, base long, n int, steps binary, c binary")
     sums = parts.groupBy("at").applyInArrow(meet, "h long, c long").checkpoint()
     bands = sorted(((r["b"], r["n"]) for r in sums.groupBy(F.floor(F.log2("c") * 4).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, held = None, 0
@@ -214,49 +221,124 @@ def heavy_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = band
     if least is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint32), np.empty(0, np.int64)
     table = sums.where(F.floor(F.log2("c") * 4) >= least).toArrow()
-    h, c = table["h"].to_numpy(), table["c"].to_numpy()
+    h, c = table["h"].to_numpy().astype(np.uint32), table["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def _prefixes(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], similar: int) -> DataFrame:
-    """(id, n, sig, prefix) of the sets with words."""
-    sent = sets.sparkSession.sparkContext.broadcast(heavy)
+def _counts(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The counts of hashes, 0 for those that are not among the heavy ones."""
+    hot, count = heavy
+    if not len(hot):
+        return np.zeros(len(h), np.int64)
+    high = (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    at = np.searchsorted(hot, high)
+    at[at == len(hot)] = 0
+    return np.where(hot[at] == high, count[at], 0)
+
+
+def _prefixes(rows: DataFrame, heavy, words: int, similar: int) -> DataFrame:
+    """(id, n, sig, key, prefix) of each row; sig stands for the set, key are its first bytes. Rows without words have null sig."""
 
     def make():
-        hot, count = sent.value
+        shingle, known = Shingler(words), heavy.value
 
         def step(columns):
-            for key, n, sig, data in zip(*columns):
-                h = np.frombuffer(data, np.int64)
-                c = np.zeros(n, np.int64)
-                if len(hot):
-                    at = np.searchsorted(hot, h)
-                    at[at == len(hot)] = 0
-                    c = np.where(hot[at] == h, count[at], 0)
-                yield key, n, sig, h[np.lexsort((h, c))[: prefix_length(n, similar)]].tolist()
+            for doc, text in zip(*columns):
+                h = shingle(text)
+                n = len(h)
+                if not n:
+                    yield doc, 0, None, None, None
+                    continue
+                sig = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+                prefix = h[np.lexsort((h, _counts(h, known)))[: prefix_length(n, similar)]]
+                yield doc, n, sig, int.from_bytes(sig[:8], "little", signed=True), prefix.tobytes()
 
         return step
 
-    return map_slices(sets.select("id", "n", "sig", "set"), make, "id long, n long, sig binary, prefix array<long>")
+    return map_slices(rows, make, "id long, n long, sig binary, key long, prefix binary")
+
+
+def _lists(sets: DataFrame, heavy, ranges: int) -> DataFrame:
+    """(token, key, df): each shingle that stands in the prefixes of at least two sets, with each of these sets.
 
+    Shingles are counted by ranges as in ``heavy_shingles``. One of at least ``HOT`` documents counts as shared without
+    being counted, with its number of documents as df, and its sets are dealt out by key; so no range holds a long list.
+    """
+
+    def make():
+        known = heavy.value
 
-def _fetch(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the rows whose id may be in ``wanted`` (one column): a bit map of fixed size goes to all tasks."""
+        class Step:
+            tokens, keys, n = [], [], 0
+
+            def __call__(self, columns):
+                for key, prefix in zip(*columns):
+                    self.tokens.append(np.frombuffer(prefix, np.int64))
+                    self.keys.append(np.full(len(self.tokens[-1]), key, np.int64))
+                    self.n += len(self.tokens[-1])
+                return self.finish() if self.n >= CHUNK else ()
+
+            def finish(self):
+                if not self.n:
+                    return
+                t, k = np.concatenate(self.tokens), np.concatenate(self.keys)
+                self.tokens, self.keys, self.n = [], [], 0
+                c = _counts(t, known)
+                hot = c >= HOT
+                by = np.where(hot, k, t).view(np.uint64) >> np.uint64(32)
+                at = ((by * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64) + np.where(hot, ranges, 0)
+                order = np.lexsort((k, t, at))
+                t, k, c, at = t[order], k[order], c[order], at[order]
+                new = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))
+                t, k, c, at = t[new], k[new], c[new], at[new]
+                for a, b in _cuts(at):
+                    yield int(at[a]), t[a:b].tobytes(), k[a:b].tobytes(), c[a:b].tobytes() if at[a] >= ranges else None
+
+        return Step()
+
+    def meet(table: pa.Table) -> pa.Table:
+        hot = table["at"][0].as_py() >= ranges
+        whole = lambda name: np.concatenate([np.frombuffer(x, np.int64) for x in table[name].to_pylist()])
+        t, k = whole("t"), whole("k")
+        c = whole("c") if hot else np.zeros(len(t), np.int64)
+        order = np.lexsort((k, t))
+        t, k, c = t[order], k[order], c[order]
+        new = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))
+        t, k, c = t[new], k[new], c[new]
+        if not hot:
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            n = np.diff(np.append(first, len(t)))
+            c = np.repeat(n, n)
+            t, k, c = t[c > 1], k[c > 1], c[c > 1]
+        return pa.table({"token": t, "key": k, "df": c})
+
+    parts = map_slices(sets.where("n > 0 AND id IS NOT NULL").select("key", "prefix"), make, "at int, t binary, k binary, c binary")
+    return parts.groupBy("at").applyInArrow(meet, "token long, key long, df long")
+
+
+def _fetch(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the rows whose id may be in ``wanted`` (one column): a bit map of fixed size goes to all tasks, and only texts that it holds are read by Python."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FETCH_BITS))
     bits = wanted.select(F.col(wanted.columns[0]).alias("id")).select(bit.alias("b"))
     maps = bits.groupBy(F.shiftright("b", 15).alias("__k")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("__m"))
-    byte = F.conv(F.hex(F.substring(F.col("__m"), (F.shiftright(F.col("__b").bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = sets.select("id", "set", bit.alias("__b")).join(F.broadcast(maps), F.shiftright("__b", 15) == F.col("__k"))  # at most FETCH_BITS / 8 bytes
-    return found.where(F.getbit(byte.cast("long"), F.col("__b").bitwiseAND(F.lit(7)).cast("int")) == 1).select("id", "set")
+    byte = F.conv(F.hex(F.substring(F.col("__m"), (F.shiftright(F.col("__b").bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = rows.select("id", "__t", bit.alias("__b")).join(F.broadcast(maps), F.shiftright("__b", 15) == F.col("__k"))  # at most FETCH_BITS / 8 bytes
+    found = found.where(F.getbit(byte, F.col("__b").bitwiseAND(F.lit(7)).cast("int")) == 1)
+
+    def make():
+        shingle = Shingler(words)
+        return lambda columns: ((key, shingle(text).tobytes()) for key, text in zip(*columns))
+
+    return map_slices(found.select("id", "__t"), make, "id long, set binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def verify(pairs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, hub) of ids whose sets are linked. A hub's set comes first in its stretch, then members stream by."""
     pairs = pairs.checkpoint()
-    sets = _fetch(sets, pairs.select(F.explode(F.array("a", "hub")).alias("id")).distinct())
+    sets = _fetch(rows, pairs.select(F.explode(F.array("a", "hub")).alias("id")).distinct(), words)
     many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STRETCH).alias("k"))
     salted = pairs.join(many, "hub").select("a", "hub", F.pmod(F.xxhash64("a"), F.col("k")).alias("salt"))
     members = salted.join(sets.withColumnRenamed("id", "a"), "a").select("hub", "salt", F.lit(1).alias("kind"), "a", "set")
@@ -297,13 +379,13 @@ def _grouped(batches, keys: int, most: float = float("inf")):
         yield at, held
 
 
-def _near_ones(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+def _near_ones(members: DataFrame, rows: DataFrame, words: int, similar: int) -> DataFrame:
     """Links (a, b) found in stretches of two lists of each set: the longest, and one by a hash."""
     homes = F.array(*(F.struct(F.lit(r).alias("turn"), F.col(f"home{r}.token").alias("token"), F.ceil(F.col(f"home{r}.df") / STRETCH).alias("k")) for r in (0, 1)))
     again = (F.col("x.turn") == 0) | (F.col("x.k") > 1) | (F.col("home0.token") != F.col("home1.token"))
     lists = members.select("rep", "home0", "home1", F.explode(homes).alias("x")).where(again).select("rep", "x.*")
     lists = lists.select("token", "turn", F.pmod(F.xxhash64("rep", "turn"), F.col("k")).alias("salt"), "rep")
-    dealt = lists.join(_fetch(sets, members.select("rep")).withColumnRenamed("id", "rep"), "rep").select("token", "turn", "salt", "rep", "set")
+    dealt = lists.join(_fetch(rows, members.select("rep"), words).withColumnRenamed("id", "rep"), "rep").select("token", "turn", "salt", "rep", "set")
     dealt = dealt.repartition("token", "turn", "salt").sortWithinPartitions("token", "turn", "salt", "rep")
     target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -370,22 +452,20 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     linked, repeated rows too. A null id takes no part (null component). Ids are integers; rows that share an id stay,
     and each gets the component of its text. Other columns are left out. Sets are compared by 64-bit hashes.
 
-    Texts are read once: their sets are kept in the shared folder and read from there.
+    Every text is shingled twice, to count and to find its prefix; after that only the texts of sets that share something.
     """
     checkpoint_folder(df)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("__t"))
-    sets = _whole_sets(rows, words).checkpoint()
-    whole = sets.where("n > 0 AND id IS NOT NULL")
-    of_set = _prefixes(whole, heavy_shingles(whole), similar).groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = of_set.select("rep", "n", F.explode("prefix").alias("token"))
-    lists = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    members = tokens.join(lists, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_set(F.struct("token", "df"))).alias("t"))
+    heavy = df.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words))
+    sets = _prefixes(rows, heavy, words, similar).checkpoint()
+    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
+    members = _lists(sets, heavy, _ranges(rows)).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("token", "df"))).alias("t")).join(reps, "key")
     members = members.select(
         "rep", "n", F.col("t.token").alias("tokens"), F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("t.token").cast("array<string>")).cast("binary")).alias("gkey"),
         F.array_max(F.transform("t", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token")))).alias("home0"),
         F.array_min(F.transform("t", lambda x: F.struct(F.xxhash64(x["token"]).alias("by"), x["df"].alias("df"), x["token"].alias("token")))).alias("home1"),
     ).checkpoint()
-    edges = _near_ones(members, sets, similar)
+    edges = _near_ones(members, rows, words, similar)
     found = components(edges).withColumnRenamed("id", "rep")
 
     # what those stretches left apart
@@ -395,9 +475,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     pairs = _pairs_apart(groups, similar).unionByName(groups.where("lo <> hi").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     x, y = (placed.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("component").alias(c)) for g, r, c in (("x", "a", "ca"), ("y", "hub", "cb")))
     pairs = pairs.join(x, "x").join(y, "y").where("ca <> cb AND (x <> y OR a > hub)").select("a", "hub")
-    more = verify(pairs, sets, similar)
+    more = verify(pairs, rows, words, similar)
     if not more.isEmpty():
         found = components(edges.unionByName(more)).withColumnRenamed("id", "rep")
-    reps = whole.groupBy("sig").agg(F.min("id").alias("rep")).join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n", "sig").join(reps, "sig", "left")
+    of_set = reps.select("sig", "rep").join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    out = sets.select("id", "n", "sig").join(of_set, "sig", "left")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

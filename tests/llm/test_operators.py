@@ -194,6 +194,7 @@ def test_ngram_join_loses_no_link(spark, hard, empty, heavy, monkeypatch):
 @pytest.mark.parametrize("stretch", [1, 4])
 def test_ngram_join_of_families_across_stretches_and_many_partitions(spark, stretch, monkeypatch):
     monkeypatch.setattr(ngram_join, "STRETCH", stretch)
+    monkeypatch.setattr(ngram_join, "HOT", 5 if stretch == 1 else 1 << 14)
     r, pairs = random.Random(8), []
     for family in range(3):
         base = [f"w{family}_{k}" for k in range(90)]
