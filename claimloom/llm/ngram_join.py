@@ -32,6 +32,8 @@ HEAVY_LEAST, HEAVY_MOST = 3, 1 << 19
 #: Shingles that a task counts before it hands them on, bytes of texts whose shingles meet in one group on average, and the
 #: number of documents from which a shingle's list is dealt out by its sets.
 CHUNK, BYTES_TOGETHER, HOT = 1 << 21, 1 << 23, 1 << 14
+#: Bits of the map of shingles (by the first bits of their hashes) that are counted more than once.
+REPEATED_BITS = 1 << 26
 #: Bits of the map that says which sets are fetched (wrongly set bits only cost time), in pieces of 2 ** 15.
 FETCH_BITS = 1 << 26
 #: Members of a stretch of one list, and the bytes of sets that a task compares at a time.
@@ -160,8 +162,9 @@ def _cuts(at: np.ndarray) -> zip:
     return zip(first.tolist(), [*first[1:].tolist(), len(at)])
 
 
-def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Upper halves of hashes (sorted) and counts of shingles that many documents hold, over all rows, however they are dealt out.
+def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper halves of hashes (sorted) and counts of shingles that many documents hold, over all rows, however they are
+    dealt out, and a bit map of those counted twice at least.
 
     Each task counts in chunks; a chunk's sorted values go out as differences, cut into the same ranges everywhere. Of a
     range far more than its share of the most frequent ones is kept.
@@ -206,13 +209,22 @@ def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
         h, c = h[order], c[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         h, c = h[first], np.add.reduceat(c, first)
+        bit = h[c > 1] >> np.uint32(6)
+        start = (int(h[0]) >> 6) & ~7
+        bits = np.zeros(-(-((int(h[-1]) >> 6) + 1 - start) // 8) * 8, bool)
+        bits[bit - start] = True
         many = np.flatnonzero(c >= HEAVY_LEAST)
         if len(many) > most:
             many = many[np.argpartition(c[many], -most)[-most:]]
-        return pa.table({"h": h[many].astype(np.int64), "c": c[many]})
+        h, c = np.append(h[many].astype(np.int64), start), np.append(c[many], 0)
+        return pa.table({"h": h, "c": c, "bits": pa.array([None] * len(many) + [np.packbits(bits).tobytes()], pa.binary())})
 
     parts = map_slices(rows.select("__t"), make, "at int, base long, n int, steps binary, c binary")
-    sums = parts.groupBy("at").applyInArrow(meet, "h long, c long").checkpoint()
+    found = parts.groupBy("at").applyInArrow(meet, "h long, c long, bits binary").checkpoint()
+    repeated = np.zeros(REPEATED_BITS // 8, np.uint8)
+    for r in found.where("bits IS NOT NULL").select("h", "bits").toLocalIterator():  # pieces of one map of fixed size
+        repeated[r["h"] // 8 : r["h"] // 8 + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
+    sums = found.where("bits IS NULL")
     bands = sorted(((r["b"], r["n"]) for r in sums.groupBy(F.floor(F.log2("c") * 4).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, held = None, 0
     for band, n in bands:
@@ -221,22 +233,23 @@ def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
             break
         least = band
     if least is None:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.empty(0, np.uint32), np.empty(0, np.int64), repeated
     table = sums.where(F.floor(F.log2("c") * 4) >= least).toArrow()
     h, c = table["h"].to_numpy().astype(np.uint32), table["c"].to_numpy()
     order = np.argsort(h)
-    return h[order], c[order]
+    return h[order], c[order], repeated
 
 
-def _counts(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The counts of hashes, 0 for those that are not among the heavy ones."""
-    hot, count = heavy
-    if not len(hot):
-        return np.zeros(len(h), np.int64)
+def _counts(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The counts of hashes; of those that are not among the heavy ones 1, or 2 for those in the map."""
+    hot, count, repeated = heavy
     high = (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    c = 1 + (repeated[high >> 9] >> (7 - (high >> 6 & 7)).astype(np.uint8) & 1).astype(np.int64)
+    if not len(hot):
+        return c
     at = np.searchsorted(hot, high)
     at[at == len(hot)] = 0
-    return np.where(hot[at] == high, count[at], 0)
+    return np.where(hot[at] == high, count[at], c)
 
 
 def _prefixes(rows: DataFrame, heavy, words: int, similar: int) -> DataFrame:
@@ -380,9 +393,9 @@ def _grouped(batches, keys: int, most: float = float("inf")):
 
 
 def _near_ones(members: DataFrame, rows: DataFrame, words: int, similar: int) -> DataFrame:
-    """Links (a, b) found in stretches of two lists of each set: the longest, and one by a hash."""
+    """Links (a, b) found in stretches of each set's longest list and, if that has several stretches, of one by a hash."""
     homes = F.array(*(F.struct(F.lit(r).alias("turn"), F.col(f"home{r}.token").alias("token"), F.ceil(F.col(f"home{r}.df") / STRETCH).alias("k")) for r in (0, 1)))
-    again = (F.col("x.turn") == 0) | (F.col("x.k") > 1) | (F.col("home0.token") != F.col("home1.token"))
+    again = (F.col("x.turn") == 0) | (F.col("home0.df") > STRETCH)
     lists = members.select("rep", "home0", "home1", F.explode(homes).alias("x")).where(again).select("rep", "x.*")
     lists = lists.select("token", "turn", F.pmod(F.xxhash64("rep", "turn"), F.col("k")).alias("salt"), "rep")
     dealt = lists.join(_fetch(rows, members.select("rep"), words).withColumnRenamed("id", "rep"), "rep").select("token", "turn", "salt", "rep", "set")
@@ -407,7 +420,7 @@ def _pairs_apart(groups: DataFrame, similar: int) -> DataFrame:
     and each other group comes to all of these and to all stretches of other groups. Of the lists that a pair shares,
     the one of the smallest shingle has it.
     """
-    entries = groups.select("gid", "n", "lo", "hi", "tokens", F.explode("tokens").alias("token"))
+    entries = groups.select("gid", "lo", "hi", F.explode("tokens").alias("token"))
     mixed = entries.groupBy("token").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("token")
     entries = entries.join(mixed, "token").checkpoint()
     own = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
@@ -421,7 +434,7 @@ def _pairs_apart(groups: DataFrame, similar: int) -> DataFrame:
     to_big = F.transform(F.when(F.col("kb") > 0, F.sequence(F.lit(0), F.col("kb") - 1)).otherwise(F.array().cast("array<int>")), lambda t: block(t, -1, F.lit(1)))
     to_others = F.transform(F.sequence(F.lit(0), F.col("ka") - 1), lambda t: block(F.least(t, F.col("s")), F.greatest(t, F.col("s")), F.col("s") > t))
     blocks = F.when(F.col("of_big"), F.array(block(F.col("s"), -1, F.lit(0)))).otherwise(F.concat(to_big, to_others))
-    dealt = rows.withColumn("__b", F.explode(blocks)).select("token", "__b.i", "__b.j", "__b.side", "gid", "n", "lo", "hi", "tokens")
+    dealt = rows.withColumn("__b", F.explode(blocks)).select("token", "__b.i", "__b.j", "__b.side", "gid", "lo", "hi").join(groups.select("gid", "n", "tokens"), "gid").select("token", "i", "j", "side", "gid", "n", "lo", "hi", "tokens")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side")
     target = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
