@@ -245,11 +245,13 @@ def _counts(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     hot, count, repeated = heavy
     high = (h.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
     c = 1 + (repeated[high >> 9] >> (7 - (high >> 6 & 7)).astype(np.uint8) & 1).astype(np.int64)
-    if not len(hot):
-        return c
-    at = np.searchsorted(hot, high)
-    at[at == len(hot)] = 0
-    return np.where(hot[at] == high, count[at], c)
+    if len(hot):
+        some = np.flatnonzero(c > 1)
+        high = high[some]
+        at = np.searchsorted(hot, high)
+        at[at == len(hot)] = 0
+        c[some] = np.where(hot[at] == high, count[at], 2)
+    return c
 
 
 def _prefixes(rows: DataFrame, heavy, words: int, similar: int) -> DataFrame:
@@ -377,11 +379,19 @@ def verify(pairs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int =
     return both.mapInArrow(run, "a long, b long").distinct().checkpoint()
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; of a column of lists, views of one array."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    whole, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _grouped(batches, keys: int, most: float = float("inf")):
     """(key, rows) of each stretch of sorted rows whose first ``keys`` columns agree; one whose last column is longer than ``most`` comes in parts."""
     at, held, size = None, [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in zip(*map(_values, batch.columns)):
             if row[:keys] != at or size > most:
                 if held:
                     yield at, held
@@ -434,22 +444,28 @@ def _pairs_apart(groups: DataFrame, similar: int) -> DataFrame:
     to_big = F.transform(F.when(F.col("kb") > 0, F.sequence(F.lit(0), F.col("kb") - 1)).otherwise(F.array().cast("array<int>")), lambda t: block(t, -1, F.lit(1)))
     to_others = F.transform(F.sequence(F.lit(0), F.col("ka") - 1), lambda t: block(F.least(t, F.col("s")), F.greatest(t, F.col("s")), F.col("s") > t))
     blocks = F.when(F.col("of_big"), F.array(block(F.col("s"), -1, F.lit(0)))).otherwise(F.concat(to_big, to_others))
-    dealt = rows.withColumn("__b", F.explode(blocks)).select("token", "__b.i", "__b.j", "__b.side", "gid", "lo", "hi").join(groups.select("gid", "n", "tokens"), "gid").select("token", "i", "j", "side", "gid", "n", "lo", "hi", "tokens")
+    dealt = rows.withColumn("__b", F.explode(blocks)).select("token", "__b.i", "__b.j", "__b.side", "gid", "lo", "hi")
+    halves = groups.select("gid", "n", F.size("tokens").alias("q"), F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")))).alias("tokens"))
+    dealt = dealt.join(halves, "gid").select("token", "i", "j", "side", "gid", "n", "lo", "hi", "q", "tokens")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side")
     target = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def run(batches):
         for (token, i, j), held in _grouped(batches, 3):
-            side, gid, n, lo, hi = np.array([x[:5] for x in held], np.int64).T
-            if i != j and side[0] == side[-1]:
+            side, gid, n, lo, hi, q = np.array([x[:6] for x in held], np.int64).T
+            if len(held) == 1 or i != j and side[0] == side[-1]:
                 continue
-            tokens = [np.array(x[5], np.int64) for x in held]
-            c = overlaps(tokens)
+            tokens = [x[6] for x in held]
+            alike = q - np.array([len(x) for x in tokens])  # shingles whose halves are the same
             small, large = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-            may = (100 * small >= similar * large) & ((c - (-similar * large // 100) - 1) * (100 + similar) >= similar * (small + large))
+            least = -(-similar * (small + large) // (100 + similar)) + (-similar * large // 100) + 1  # shingles that the prefixes must share
+            may = (100 * small >= similar * large) & (np.minimum(q[:, None], q[None]) >= least)
             may &= ~((lo == hi)[:, None] & (lo == hi)[None] & (lo[:, None] == lo[None]))
             may = np.triu(may, 1) if i == j else may & (side[:, None] < side[None])
-            found = [(int(gid[a]), int(gid[b])) for a, b in np.argwhere(may) if np.intersect1d(tokens[a], tokens[b], assume_unique=True)[0] == token]
+            if not may.any():
+                continue
+            may &= overlaps(tokens) + np.maximum(alike[:, None], alike[None]) >= least
+            found = [(int(gid[a]), int(gid[b])) for a, b in np.argwhere(may) if np.intersect1d(tokens[a], tokens[b], assume_unique=True)[0] == token >> 32]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=target)
 
