@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpoint_folder(df: DataFrame) -> None:
-    """Use the shared folder the cluster names; where it names none (tests), one under /tmp."""
+    """Use the shared folder the cluster names. Where it names none, a session in one process gets a folder of its own; a cluster is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or "/tmp/claimloom-checkpoints")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-"))
+
+
+def _state(links: DataFrame) -> tuple:
+    """What tells two tables of distinct links apart: their number and a sum of their hashes."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,6 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     checkpoint_folder(edges)
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    before = _state(links)
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -29,10 +41,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct().checkpoint()
-        same = small.count() == links.count() and small.join(links, ["a", "b"], "left_anti").isEmpty()
-        links = small
-        if same:
+        links, now = small, _state(small)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.select(F.col("b").alias("id")).distinct()

@@ -494,6 +494,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
         F.array_max(F.transform("t", lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token")))).alias("home0"),
         F.array_min(F.transform("t", lambda x: F.struct(F.xxhash64(x["token"]).alias("by"), x["df"].alias("df"), x["token"].alias("token")))).alias("home1"),
     ).checkpoint()
+    heavy.destroy()  # what follows rests on the shared folder
     edges = _near_ones(members, rows, words, similar)
     found = components(edges).withColumnRenamed("id", "rep")
 
