@@ -11,9 +11,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.frames import Memo, map_slices
+from claimloom.llm.frames import Memo, map_slices, once
 
 PIECES_AT_ONCE = 100_000
+#: Pieces whose ids a worker holds twice over (see ``Memo``).
+PIECES_HELD = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,8 +45,12 @@ class ByteBpe:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
         self._fits: dict[tuple[int | None, int], bool] = {}
-        self.memo = Memo(lambda piece: " ".join(map(str, self.piece(piece.encode()))))
-        self.written = Memo(self.decode)
+        self.memo = Memo(self._both, limit=PIECES_HELD)
+
+    def _both(self, piece: str) -> tuple[str, bytes]:
+        """A piece's ids as decimal text, and what they decode to."""
+        ids = " ".join(map(str, self.piece(piece.encode())))
+        return ids, self.decode(ids)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice for a single byte; None if merging never makes it."""
@@ -76,7 +82,7 @@ class ByteBpe:
         """
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 500_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             known = self.halves(right) is not None and (left is None or self._apart(self._edge(left, 1), self._edge(right, 0)))
             self._fits[left, right] = known
@@ -143,7 +149,7 @@ class ByteBpe:
         return b"".join(map(self.bytes_of_text.__getitem__, ids.split(" "))) if ids else b""
 
     def blocks(self, text: str):
-        """The ids of a text's pieces, each as decimal text, in lists of bounded size."""
+        """What ``_both`` gives for a text's pieces, in lists of bounded size."""
         if len(text) < 4 * PIECES_AT_ONCE:
             yield list(map(self.memo.__getitem__, self.pattern.findall(text)))
             return
@@ -152,7 +158,7 @@ class ByteBpe:
             yield list(map(self.memo.__getitem__, some))
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for block in self.blocks(text) for ids in block for x in ids.split()]
+        return [int(x) for block in self.blocks(text) for ids, _ in block for x in ids.split()]
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,7 +170,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def make():
-        bpe = ByteBpe(ranks.value, pattern)
+        bpe = once(("byte_bpe", vocabulary, pattern), lambda: ByteBpe(ranks.value, pattern))
         return lambda columns: ((key, bpe.encode(text)) for key, text in zip(*columns))
 
     return map_slices(_rows(df, id_col, text_col), make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -191,16 +197,17 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def make():
-        bpe = ByteBpe(ranks.value, pattern)
+        bpe = once(("byte_bpe", vocabulary, pattern), lambda: ByteBpe(ranks.value, pattern))
 
         def step(columns):
             for key, text in zip(*columns):
                 ids_hash, data_hash, n = hashlib.sha256(), hashlib.sha256(), 0
                 for block in bpe.blocks(text):
                     if block:
-                        ids = " ".join(block)
+                        pieces, data = zip(*block)
+                        ids = " ".join(pieces)
                         ids_hash.update((" " * (n > 0) + ids).encode())
-                        data_hash.update(b"".join(map(bpe.written.__getitem__, block)))
+                        data_hash.update(b"".join(data))
                         n += ids.count(" ") + 1
                 yield key, n, ids_hash.hexdigest(), data_hash.hexdigest()
 

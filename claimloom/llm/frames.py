@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[list], Iterable[tuple
                 yield from _pack(step([c.to_pylist() for c in part.columns]), target)
         if finish := getattr(step, "finish", None):
             yield from _pack(finish(), target)
+        del step, finish
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -67,10 +71,29 @@ def crc_remainder(id_col: str, divisor: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
+def give_back() -> None:
+    """What the worker no longer holds goes back to the system: the next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_HELD: tuple = (None, None)
+
+
+def once(key, make: Callable):
+    """What ``make`` returns, made once in a worker as long as the same ``key`` is asked for; only the last is held."""
+    global _HELD
+    if _HELD[0] != key:
+        _HELD = (None, None)
+        _HELD = (key, make())
+    return _HELD[1]
+
+
 class Memo(dict):
     """A dict that computes what it lacks. Beyond ``limit`` entries it forgets those that it was not asked for since the last time it was full."""
 
-    def __init__(self, compute: Callable, limit: int = 300_000, longest: int = 64):
+    def __init__(self, compute: Callable, limit: int = 100_000, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest, self.before = compute, limit, longest, {}
 

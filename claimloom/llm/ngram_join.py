@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import checkpoint_folder, components
@@ -255,25 +255,25 @@ def _counts(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
 
 
 def _prefixes(rows: DataFrame, heavy, words: int, similar: int) -> DataFrame:
-    """(id, n, sig, key, prefix) of each row; sig stands for the set, key are its first bytes. Rows without words have null sig."""
+    """(id, tag, n, sig, key, prefix) of each row; sig stands for the set, key are its first bytes. Rows without words have null sig."""
 
     def make():
         shingle, known = Shingler(words), heavy.value
 
         def step(columns):
-            for doc, text in zip(*columns):
+            for doc, text, tag in zip(*columns):
                 h = shingle(text)
                 n = len(h)
                 if not n:
-                    yield doc, 0, None, None, None
+                    yield doc, tag, 0, None, None, None
                     continue
                 sig = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 prefix = h[np.lexsort((h, _counts(h, known)))[: prefix_length(n, similar)]]
-                yield doc, n, sig, int.from_bytes(sig[:8], "little", signed=True), prefix.tobytes()
+                yield doc, tag, n, sig, int.from_bytes(sig[:8], "little", signed=True), prefix.tobytes()
 
         return step
 
-    return map_slices(rows, make, "id long, n long, sig binary, key long, prefix binary")
+    return map_slices(rows, make, "id long, tag long, n long, sig binary, key long, prefix binary")
 
 
 def _lists(sets: DataFrame, heavy, ranges: int) -> DataFrame:
@@ -472,8 +472,8 @@ def _pairs_apart(groups: DataFrame, similar: int) -> DataFrame:
     return dealt.mapInArrow(run, "x long, y long")
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """id, n_shingles, component of each row.
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: int = SIMILAR, tag: Column | None = None) -> DataFrame:
+    """id, n_shingles, component of each row, and what ``tag`` makes of the row (a long), if given.
 
     A row's set: distinct shingles of ``words`` words (A-Z lower-cased); with fewer words, the whole sequence as one.
     Two rows link when 100 * intersection >= ``similar`` * union; component is the smallest id that links reach.
@@ -486,7 +486,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     checkpoint_folder(df)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("__t"))
     heavy = df.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words))
-    sets = _prefixes(rows, heavy, words, similar).checkpoint()
+    tagged = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("__t"), (F.lit(None) if tag is None else tag).cast("long").alias("tag"))
+    sets = _prefixes(tagged, heavy, words, similar).checkpoint()
     reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
     members = _lists(sets, heavy, _ranges(rows)).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("token", "df"))).alias("t")).join(reps, "key")
     members = members.select(
@@ -509,5 +510,5 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     if not more.isEmpty():
         found = components(edges.unionByName(more)).withColumnRenamed("id", "rep")
     of_set = reps.select("sig", "rep").join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n", "sig").join(of_set, "sig", "left")
-    return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    out = sets.select("id", "tag", "n", "sig").join(of_set, "sig", "left")
+    return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"), *(["tag"] if tag is not None else []))

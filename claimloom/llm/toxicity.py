@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,16 +17,22 @@ from claimloom.llm.frames import Memo, crc_remainder, map_slices, word_list
 TOXIC_ROWS, CLEAN_ROWS = 700, 1400
 #: Lengths of character n-grams, within words marked at both ends; n-grams of fewer documents are left out.
 LENGTHS, LEAST_DOCUMENTS = (3, 4, 5), 3
-#: Of a longer word the n-grams are read in pieces of this many characters.
+#: Of a longer word the n-grams are read in pieces, by where they begin.
 LONGEST = 64
+#: What the toxic rows of the sample weigh in all, however many there are, so that scores are alike at every size.
+TOXIC_SHARE = 1 / 3
+#: Slots in which n-grams are counted before any is held by name; n-grams of fewer documents than asked for are left out.
+SLOTS = 1 << 22
+#: Documents that a step of the fit takes at a time (all are taken in each step).
+ROWS_AT_ONCE = 128
 
 
-def grams(word: bytes) -> set[str]:
-    text = word.decode("utf-8", "replace")
-    if len(text) > LONGEST:
-        return set().union(*(grams(text[k : k + LONGEST].encode()) for k in range(0, len(text), LONGEST)))
-    text = f"<{text}>"
-    return {text[k : k + n] for n in LENGTHS for k in range(len(text) - n + 1)}
+def grams(word: bytes) -> Iterator[set[str]]:
+    """The n-grams of a word between border marks, in sets of bounded size."""
+    text = f"<{word.decode('utf-8', 'replace')}>"
+    for at in range(0, len(text), LONGEST):
+        part = text[at : at + LONGEST + max(LENGTHS) - 1]
+        yield {part[k : k + n] for n in LENGTHS for k in range(min(LONGEST, len(part) - n + 1))}
 
 
 @dataclass
@@ -36,12 +45,13 @@ class Model:
     bias: float
 
     def scorer(self):
-        gain = {g: float(self.ratio[k] * self.weight[k]) for g, k in self.index.items()}
-        norm = {g: float(self.ratio[k] ** 2) for g, k in self.index.items()}
+        index, gain, norm = self.index, (self.ratio * self.weight).tolist(), (self.ratio**2).tolist()
 
         def of(word: bytes) -> tuple[float, float]:
-            found = [g for g in grams(word) if g in gain]
-            return sum(map(gain.__getitem__, found)), sum(map(norm.__getitem__, found))
+            found: set[int] = set()
+            for some in grams(word):
+                found.update(index[g] for g in some if g in index)
+            return math.fsum(map(gain.__getitem__, found)), math.fsum(map(norm.__getitem__, found))
 
         memo = Memo(of)
 
@@ -57,38 +67,67 @@ class Model:
 
 
 def fit(documents: list[list[bytes]], labels: list[int], steps: int = 60, decay: float = 1e-4) -> Model:
-    """Log-count ratios from the documents' different words, then logistic regression (Adam, full batches) on scaled counts."""
+    """Log-count ratios from the documents' different words, then logistic regression (Adam, full batches) on scaled counts.
+
+    The toxic rows weigh ``TOXIC_SHARE`` in all. N-grams are first counted in slots; only those whose slot reached
+    ``LEAST_DOCUMENTS`` are held by name and counted exactly.
+    """
     y = np.array(labels, float)
+    number: dict[bytes, int] = {}
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)) for words in documents]
+    slots = [np.unique(np.fromiter((zlib.crc32(g.encode()) & (SLOTS - 1) for some in grams(w) for g in some), np.uint32)) for w in number]
+    often = np.zeros(SLOTS, np.uint16)
+    none = [np.empty(0, np.uint32)]
+    for words in rows:
+        often[np.unique(np.concatenate(none + [slots[w] for w in words]))] += 1
+    del slots
     seen: dict[str, int] = {}
-    cols, counts = [], []
-    for words in documents:
-        ids = [seen.setdefault(g, len(seen)) for w in words for g in grams(w)]
-        c, n = np.unique(np.array(ids, np.int32), return_counts=True)
-        cols.append(c.astype(np.int32))
+    of_word = []
+    for w in number:
+        found: set[int] = set()
+        for some in grams(w):
+            found.update(seen.setdefault(g, len(seen)) for g in sorted(some) if often[zlib.crc32(g.encode()) & (SLOTS - 1)] >= LEAST_DOCUMENTS)
+        of_word.append(np.fromiter(found, np.int32, len(found)))
+    cols, counts, none = [], [], [np.empty(0, np.int32)]
+    for words in rows:
+        c, n = np.unique(np.concatenate(none + [of_word[w] for w in words]), return_counts=True)
+        cols.append(c)
         counts.append(n.astype(np.float32))
-    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.empty(0, np.int32)
-    count = np.concatenate(counts) if counts else np.empty(0, np.float32)
-    del cols, counts
+    del number, of_word
+    ends = np.cumsum([0] + [len(c) for c in cols])
+    col = np.concatenate([np.empty(0, np.int32)] + cols)
+    del cols
     held = np.bincount(col, minlength=len(seen)) >= LEAST_DOCUMENTS
-    renamed = np.cumsum(held) - 1
+    renamed = np.cumsum(held, dtype=np.int32) - 1
     index = {g: int(renamed[k]) for g, k in seen.items() if held[k]}
-    keep = held[col] if len(col) else np.empty(0, bool)
-    row, col, count = row[keep], renamed[col[keep]].astype(np.int32), count[keep].astype(float)
-    del seen
+    keep = held[col]
+    ends = np.append(0, np.cumsum(keep))[ends]
+    col, x = renamed[col[keep]], np.concatenate([np.empty(0, np.float32)] + counts)[keep]
+    del seen, counts, keep
     n, width = len(y), len(index)
-    pos = np.bincount(col, weights=y[row], minlength=width) + 1
-    neg = np.bincount(col, weights=1 - y[row], minlength=width) + 1
+    share = np.where(y > 0, TOXIC_SHARE / max(1.0, y.sum()), (1 - TOXIC_SHARE) / max(1.0, n - y.sum()))
+    # documents are taken a few at a time: start and end, their columns, and the row of each of these within the part
+    parts = [(k, min(n, k + ROWS_AT_ONCE)) for k in range(0, n, ROWS_AT_ONCE)]
+    parts = [(a, b, slice(ends[a], ends[b]), np.repeat(np.arange(b - a, dtype=np.int16), np.diff(ends[a : b + 1]))) for a, b in parts]
+    pos, neg = np.ones(width), np.ones(width)
+    for a, _, at, row in parts:
+        toxic = y[a:][row] > 0
+        pos += np.bincount(col[at][toxic], minlength=width)
+        neg += np.bincount(col[at][~toxic], minlength=width)
     ratio = np.log(pos / (y.sum() + 2)) - np.log(neg / (n - y.sum() + 2))
-    x = count * ratio[col]
-    norm = np.bincount(row, weights=count * ratio[col] ** 2, minlength=n)
-    x /= np.sqrt(np.maximum(norm, 1e-12))[row]
+    for a, b, at, row in parts:
+        r = ratio[col[at]]
+        norm = np.bincount(row, weights=x[at] * r**2, minlength=b - a)
+        x[at] *= r / np.sqrt(np.maximum(norm, 1e-12))[row]
     w, bias = np.zeros(width), 0.0
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=x * w[col], minlength=n) + bias
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.append(np.bincount(col, weights=x * e[row], minlength=width) + decay * w, e.sum())
+        g = np.append(decay * w, 0.0)
+        for a, b, at, row in parts:
+            z = np.bincount(row, weights=x[at] * w[col[at]], minlength=b - a) + bias
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) * share[a:b]
+            g[:-1] += np.bincount(col[at], weights=x[at] * e[row], minlength=width)
+            g[-1] += e.sum()
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         step = 0.05 * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
