@@ -32,9 +32,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    found = ngram_join.join(docs).where(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti").select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Rows are told apart by id and text: of equal rows one stays; different texts under one id stand or go each by its
+    own links. Rows without words and rows with a null id stay.
+    """
+    text = F.xxhash64("text")
+    found = ngram_join.join(docs, tag=text).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.min("component").alias("component"), F.count("*").alias("rows"))
+    gone, more = found.where("__id <> component").select("__id", "__tag"), found.where("__id = component AND rows > 1").select("__id", "__tag")
+    same = (F.col("doc_id") == F.col("__id")) & (text == F.col("__tag"))
+    one = docs.join(more, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(gone.unionByName(more), same, "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +62,22 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("ngram
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages from ``documents``; each result is written to the shared folder and read again."""
+    """All stages from ``documents``; each result is written to the shared folder and read again, and removed when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     checkpoint_folder(docs)
-    at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    at, before = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{at}/{name}")
             docs = spark.read.parquet(f"{at}/{name}")
+            if before:
+                _remove(spark, before)
+            before = f"{at}/{name}"
     return docs
