@@ -78,18 +78,6 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-_HELD: tuple = (None, None)
-
-
-def once(key, make: Callable):
-    """What ``make`` returns, made once in a worker as long as the same ``key`` is asked for; only the last is held."""
-    global _HELD
-    if _HELD[0] != key:
-        _HELD = (None, None)
-        _HELD = (key, make())
-    return _HELD[1]
-
-
 class Memo(dict):
     """A dict that computes what it lacks. Beyond ``limit`` entries it forgets those that it was not asked for since the last time it was full."""
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.components import checkpoint_folder
 from claimloom.llm.frames import map_slices
 
 #: A key counts from this many code points on.
@@ -16,6 +17,11 @@ LEAST_CHARS = 10
 #: Filters are broadcast up to this many bytes together; beyond that each line goes to the exact table unfiltered.
 FILTER_BYTES = 32 << 20
 SLOTS = 4
+#: Repeated keys of a shard when an index is built.
+SHARD_KEYS = 1 << 16
+#: Keys of at least this many documents, and of at least this share of all references, have their owners sent to all
+#: tasks: at most ``1 / HOT_SHARE`` keys. They are no task's own in the join with the exact counts.
+HOT_REFS, HOT_SHARE = 1024, 2**-16
 
 
 def line_key(line: bytes) -> bytes:
@@ -119,8 +125,8 @@ class CuckooFilter:
 
 @dataclass
 class LineIndex:
-    """refs: (key, id), one row for each key of each document. counts: (key, refs, owner) exactly, owner the smallest id.
-    filters: (shard, blob) of the keys that at least two documents hold."""
+    """refs: (key, id), one row for each key of each document. counts: (key, refs, owner, ...) exactly, owner the smallest id.
+    filters: (shard, blob) of the keys that at least two documents hold. All three are kept in the shared folder."""
 
     refs: DataFrame
     counts: DataFrame
@@ -134,20 +140,43 @@ def _kind(df: DataFrame, col: str) -> str:
 
 def line_refs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, id), each key once for each row; lines are split at \\n."""
+    return _refs(df, id_col, text_col, None)
+
+
+def _refs(df: DataFrame, id_col: str, text_col: str, known) -> DataFrame:
+    """(key, id) as in ``line_refs``. known: a broadcast of filters by shard (or None), their number, and owners of hot
+    keys; then (key, id, sure) of lines that the filters may hold, sure if the owner is known to be another document."""
 
     def make():
+        filters, shards, hot = known.value if known is not None else (None, 0, {})
+        held = {s: CuckooFilter(b) for s, b in filters.items()} if filters is not None else None
+
+        def keys_of(text):
+            return {h for line in (text or b"").split(b"\n") if (h := key_hash(line))}
+
+        def plain(columns):
+            return ((key, doc) for doc, text in zip(*columns) for key in keys_of(text))
+
         def step(columns):
             for doc, text in zip(*columns):
-                for key in {h for line in (text or b"").split(b"\n") if (h := key_hash(line))}:
-                    yield key, doc
+                for key in keys_of(text):
+                    if (owner := hot.get(key)) is not None:
+                        if owner != doc:
+                            yield key, doc, True
+                    elif held is None or (f := held.get(shard_of(key, shards))) is not None and key in f:
+                        yield key, doc, False
+
+        return plain if known is None else step
+
+    return map_slices(df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t")), make, f"key binary, id {_kind(df, id_col)}" + ", sure boolean" * (known is not None))
 
-        return step
 
-    return map_slices(df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t")), make, f"key binary, id {_kind(df, id_col)}")
+def shard_of(key: bytes, shards: int) -> int:
+    return int.from_bytes(key[10:15], "big") % shards
 
 
 def _shard(shards: int) -> Column:
-    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    return F.pmod(F.conv(F.hex(F.substring("key", 11, 5)), 16, 10).cast("long"), F.lit(shards)).cast("int").alias("shard")
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -161,12 +190,16 @@ def repeated() -> Column:
 
 
 def _updated(filters: DataFrame | None, changes: DataFrame, shards: int) -> DataFrame:
-    """The shards' filters after changes (key, add): each shard in a task of its own."""
+    """The shards' filters after changes (key, add): each shard in a task of its own. A filter of several tables cannot
+    tell which holds a key, so where one is taken from such a filter, its blob is null and it must be made anew."""
     import pandas as pd
 
     def run(shard, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         f = CuckooFilter(old["blob"].iloc[0] if len(old) else None, capacity=max(64, len(new)))
-        for key in new.loc[~new["add"], "key"]:
+        gone = new.loc[~new["add"], "key"]
+        if len(gone) and len(f.tables) > 1:
+            return pd.DataFrame({"shard": [shard[0]], "blob": [None]})
+        for key in gone:
             f.remove(key)
         for key in new.loc[new["add"], "key"]:
             f.add(key)
@@ -179,29 +212,47 @@ def _updated(filters: DataFrame | None, changes: DataFrame, shards: int) -> Data
 
 
 def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> LineIndex:
-    """An index of all lines of a table."""
-    shards = shards or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    refs = line_refs(df, id_col, text_col)
-    counts = _counted(refs)
-    return LineIndex(refs, counts, _updated(None, counts.where(repeated()).select("key", F.lit(True).alias("add")), shards), shards)
-
-
-def _changed(index: LineIndex, refs: DataFrame) -> LineIndex:
-    counts = _counted(refs)
-    was, now = index.counts.where(repeated()).select("key"), counts.where(repeated()).select("key")
-    changes = now.join(was, "key", "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, "key", "left_anti").withColumn("add", F.lit(False)))
-    return LineIndex(refs, counts, _updated(index.filters, changes, index.shards), index.shards)
+    """An index of all lines of a table; ``shards`` is by the number of repeated keys."""
+    checkpoint_folder(df)
+    refs = line_refs(df, id_col, text_col).checkpoint()
+    counts = _counted(refs).checkpoint()
+    many = counts.where(repeated()).select("key", F.lit(True).alias("add"))
+    shards = shards or -(-many.count() // SHARD_KEYS) or 1
+    return LineIndex(refs, counts, _updated(None, many, shards).checkpoint(), shards)
+
+
+def _changed(index: LineIndex, refs: DataFrame, keys: DataFrame, counts: DataFrame) -> LineIndex:
+    """The index with other refs and the given counts of ``keys``; other keys' counts and shards without a change stay as they are."""
+    was = index.counts.join(keys, "key", "left_semi").where(repeated()).select("key")
+    now = counts.where(repeated()).select("key")
+    changes = now.join(was, "key", "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, "key", "left_anti").withColumn("add", F.lit(False))).checkpoint()
+    touched = changes.select(_shard(index.shards)).distinct()
+    new = _updated(index.filters.join(touched, "shard", "left_semi"), changes, index.shards).checkpoint()
+    counts = index.counts.join(keys, "key", "left_anti").unionByName(counts).checkpoint()
+    stale = new.where("blob IS NULL").select("shard")
+    filters = index.filters.join(touched, "shard", "left_anti").unionByName(new.where("blob IS NOT NULL"))
+    if not stale.isEmpty():
+        keys = counts.where(repeated()).select("key", F.lit(True).alias("add"), _shard(index.shards)).join(stale, "shard", "left_semi").drop("shard")
+        filters = filters.unionByName(_updated(None, keys, index.shards))
+    return LineIndex(refs, counts, filters.checkpoint(), index.shards)
 
 
 def insert(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-    """The index with further documents. Only keys that become repeated change a filter."""
-    return _changed(index, index.refs.unionByName(line_refs(df, id_col, text_col)))
+    """The index with further documents. Texts of earlier ones are not read, and counts are summed for the new ones' keys only."""
+    new = line_refs(df, id_col, text_col).checkpoint()
+    keys = new.select("key").distinct()
+    both = index.counts.join(keys, "key", "left_semi").unionByName(_counted(new))
+    both = both.groupBy("key").agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"), F.max("last").alias("last"), F.max("of_null").alias("of_null")).checkpoint()
+    return _changed(index, index.refs.unionByName(new), keys, both)
 
 
 def delete(index: LineIndex, ids: DataFrame) -> LineIndex:
-    """The index without the documents of ``ids`` (one column): as if they had never been inserted."""
+    """The index without the documents of ``ids`` (one column): as if they had never been inserted. Only keys that these held are counted again."""
     gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
-    return _changed(index, index.refs.join(gone, F.col("id").eqNullSafe(F.col("__gone")), "left_anti"))
+    same = F.col("id").eqNullSafe(F.col("__gone"))
+    keys = index.refs.join(gone, same, "left_semi").select("key").distinct().checkpoint()
+    refs = index.refs.join(gone, same, "left_anti").checkpoint()
+    return _changed(index, refs, keys, _counted(refs.join(keys, "key", "left_semi")).checkpoint())
 
 
 def drops(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,18 +261,16 @@ def drops(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str
     Where the filters together stay below ``FILTER_BYTES``, they go to all tasks, and only lines that they may hold
     are looked up in the exact counts; else every line is. Either way the exact counts decide.
     """
-    refs, filters = line_refs(df, id_col, text_col), index.filters
-    size = filters.agg(F.sum(F.length("blob"))).first()[0] or 0
-    if size <= FILTER_BYTES:
-        held = df.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in filters.toLocalIterator()})
-
-        def make():
-            by_shard = {s: CuckooFilter(b) for s, b in held.value.items()}
-            return lambda columns: ((k, d) for k, d, s in zip(*columns) if s in by_shard and k in by_shard[s])
-
-        refs = map_slices(refs.select("key", "id", _shard(index.shards)), make, f"key binary, id {_kind(df, id_col)}")
-    found = refs.join(index.counts.where(repeated()).select("key", "owner"), "key").where(~F.col("id").eqNullSafe(F.col("owner")))
-    return found.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    size, total = index.filters.agg(F.sum(F.length("blob"))).first()[0] or 0, index.counts.agg(F.sum("refs")).first()[0] or 0
+    many = index.counts.where(repeated())
+    hot = F.col("refs") >= max(HOT_REFS, int(total * HOT_SHARE) + 1)
+    owners = {bytes(r["key"]): r["owner"] for r in many.where(hot).toLocalIterator()}
+    filters = {r["shard"]: bytes(r["blob"]) for r in index.filters.toLocalIterator()} if size <= FILTER_BYTES else None
+    sent = df.sparkSession.sparkContext.broadcast((filters, index.shards, owners))
+    found = _refs(df, id_col, text_col, sent).checkpoint()
+    sent.destroy()
+    rest = found.where("NOT sure").join(many.where(~hot).select("key", "owner"), "key").where(~F.col("id").eqNullSafe(F.col("owner")))
+    return found.where("sure").select("key", "id").unionByName(rest.select("key", "id")).groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
 def kept(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
