@@ -264,8 +264,8 @@ def drops(index: LineIndex, df: DataFrame, id_col: str = "doc_id", text_col: str
     size, total = index.filters.agg(F.sum(F.length("blob"))).first()[0] or 0, index.counts.agg(F.sum("refs")).first()[0] or 0
     many = index.counts.where(repeated())
     hot = F.col("refs") >= max(HOT_REFS, int(total * HOT_SHARE) + 1)
-    owners = {bytes(r["key"]): r["owner"] for r in many.where(hot).toLocalIterator()}
-    filters = {r["shard"]: bytes(r["blob"]) for r in index.filters.toLocalIterator()} if size <= FILTER_BYTES else None
+    owners = {bytes(r["key"]): r["owner"] for r in many.where(hot).collect()}
+    filters = {r["shard"]: bytes(r["blob"]) for r in index.filters.collect()} if size <= FILTER_BYTES else None
     sent = df.sparkSession.sparkContext.broadcast((filters, index.shards, owners))
     found = _refs(df, id_col, text_col, sent).checkpoint()
     sent.destroy()

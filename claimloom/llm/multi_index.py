@@ -99,7 +99,7 @@ def build(rows: DataFrame, dimension: int, n: int) -> tuple[MultiIndex, DataFram
                 yield pa.RecordBatch.from_arrays([b.column(0), _binary(v), pa.array(held.value.cells(v), pa.int32())], names=["id", "v", "cell"])
 
     placed = rows.mapInArrow(assign, "id long, v binary, cell int")
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator():  # at most MOST_CENTROIDS ** 2 rows
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MOST_CENTROIDS ** 2 rows
         index.sizes[r["cell"]] = r["n"]
     return index, placed
 

@@ -35,7 +35,7 @@ CHUNK, BYTES_TOGETHER, HOT = 1 << 21, 1 << 23, 1 << 14
 #: Bits of the map of shingles (by the first bits of their hashes) that are counted more than once.
 REPEATED_BITS = 1 << 26
 #: Bits of the map that says which sets are fetched (wrongly set bits only cost time), in pieces of 2 ** 15.
-FETCH_BITS = 1 << 26
+FETCH_BITS = 1 << 24
 #: Members of a stretch of one list, and the bytes of sets that a task compares at a time.
 STRETCH, HELD_BYTES = 256, 16 << 20
 #: Columns of shared shingles that a product of matrices takes at a time.
@@ -222,7 +222,7 @@ def heavy_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray,
     parts = map_slices(rows.select("__t"), make, "at int, base long, n int, steps binary, c binary")
     found = parts.groupBy("at").applyInArrow(meet, "h long, c long, bits binary").checkpoint()
     repeated = np.zeros(REPEATED_BITS // 8, np.uint8)
-    for r in found.where("bits IS NOT NULL").select("h", "bits").toLocalIterator():  # pieces of one map of fixed size
+    for r in found.where("bits IS NOT NULL").select("h", "bits").collect():  # pieces of one map of fixed size
         repeated[r["h"] // 8 : r["h"] // 8 + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
     sums = found.where("bits IS NULL")
     bands = sorted(((r["b"], r["n"]) for r in sums.groupBy(F.floor(F.log2("c") * 4).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)

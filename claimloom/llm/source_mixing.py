@@ -63,13 +63,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     running = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).persist()
     spark = df.sparkSession
-    sizes = {r["__source"]: r["n"] for r in parts.groupBy("__source").agg(F.sum("n").alias("n")).toLocalIterator()}
+    sizes = {r["__source"]: r["n"] for r in parts.groupBy("__source").agg(F.sum("n").alias("n")).collect()}
     targets = fill(sizes, weights or cycle_weights(list(sizes), pattern), epochs) if sizes else {}
     whole = {s: int(targets[s] // n) if n else 0 for s, n in sizes.items()}
     left = {s: int(targets[s]) - whole[s] * n for s, n in sizes.items()}
     lefts = F.broadcast(spark.createDataFrame(list(left.items()), "__s string, __rest long"))  # one row a source
     cells = parts.join(lefts, F.col("__source").eqNullSafe(F.col("__s"))).where((F.col("before") <= F.col("__rest")) & (F.col("__rest") < F.col("before") + F.col("n")))
-    cell = {r["__s"]: (r["__part"], r["__rest"] - r["before"]) for r in cells.toLocalIterator()}
+    cell = {r["__s"]: (r["__part"], r["__rest"] - r["before"]) for r in cells.collect()}
     parts.unpersist()
     plan = [(s, n, float(targets[s]), whole[s], *cell.get(s, (ORDER_PARTS, 0))) for s, n in sizes.items()]
     plan_df = spark.createDataFrame(plan, "__s string, source_size long, target double, __whole long, __at int, __left long")
@@ -79,7 +79,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     order = Window.partitionBy("__s").orderBy("__u").rowsBetween(Window.unboundedPreceding, -1)
     ties = ties.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     ties = ties.where((F.col("before") <= F.col("__left")) & (F.col("__left") < F.col("before") + F.col("n")))
-    edge = {r["__s"]: (r["__u"], (r["__left"] - r["before"]) // r["k"]) for r in ties.toLocalIterator()}
+    edge = {r["__s"]: (r["__u"], (r["__left"] - r["before"]) // r["k"]) for r in ties.collect()}
     full = [(*p[:5], *edge.get(p[0], (None, 0))) for p in plan]
     plan_df = spark.createDataFrame(full, "__s string, source_size long, target double, __whole long, __at int, __edge long, __some long")
     out = rows.withColumn("__part", part).join(F.broadcast(plan_df), F.col("__source").eqNullSafe(F.col("__s")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,16 +22,24 @@ LONGEST = 64
 TOXIC_SHARE = 1 / 3
 #: Slots in which n-grams are counted before any is held by name; n-grams of fewer documents than asked for are left out.
 SLOTS = 1 << 22
+#: Words whose sums a task holds twice over (see ``Memo``).
+WORDS_HELD = 250_000
 #: Documents that a step of the fit takes at a time (all are taken in each step).
 ROWS_AT_ONCE = 128
 
 
-def grams(word: bytes) -> Iterator[set[str]]:
-    """The n-grams of a word between border marks, in sets of bounded size."""
+def pieces(word: bytes) -> list[tuple[str, int]]:
+    """A word between border marks in pieces: the characters, and from how many of them n-grams begin."""
     text = f"<{word.decode('utf-8', 'replace')}>"
-    for at in range(0, len(text), LONGEST):
-        part = text[at : at + LONGEST + max(LENGTHS) - 1]
-        yield {part[k : k + n] for n in LENGTHS for k in range(min(LONGEST, len(part) - n + 1))}
+    if len(text) <= LONGEST:
+        return [(text, len(text))]
+    return [(text[at : at + LONGEST + max(LENGTHS) - 1], LONGEST) for at in range(0, len(text), LONGEST)]
+
+
+def grams(word: bytes) -> Iterator[set[str]]:
+    """The n-grams of a word, in sets of bounded size."""
+    for part, starts in pieces(word):
+        yield {part[k : k + n] for n in LENGTHS for k in range(min(starts, len(part) - n + 1))}
 
 
 @dataclass
@@ -45,15 +52,18 @@ class Model:
     bias: float
 
     def scorer(self):
-        index, gain, norm = self.index, (self.ratio * self.weight).tolist(), (self.ratio**2).tolist()
+        number, gain, norm = self.index.get, (self.ratio * self.weight).tolist(), (self.ratio**2).tolist()
 
         def of(word: bytes) -> tuple[float, float]:
             found: set[int] = set()
-            for some in grams(word):
-                found.update(index[g] for g in some if g in index)
-            return math.fsum(map(gain.__getitem__, found)), math.fsum(map(norm.__getitem__, found))
+            for part, starts in pieces(word):
+                for n in LENGTHS:
+                    for k in range(min(starts, len(part) - n + 1)):
+                        if (at := number(part[k : k + n])) is not None:
+                            found.add(at)
+            return sum(map(gain.__getitem__, found)), sum(map(norm.__getitem__, found))
 
-        memo = Memo(of)
+        memo = Memo(of, limit=WORDS_HELD)
 
         def score(text: bytes | None) -> float:
             total = size = 0.0
@@ -145,7 +155,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return lambda columns: ((doc, y, sorted(set(word_list(text)))) for doc, y, text in zip(*columns))
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t")).join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select("__id", "__y", "__t")
-    held = sorted((r["id"], r["y"], b"\n".join(map(bytes, r["words"]))) for r in map_slices(rows, make, "id long, y int, words array<binary>").toLocalIterator())
+    held = sorted((r["id"], r["y"], b"\n".join(map(bytes, r["words"]))) for r in map_slices(rows, make, "id long, y int, words array<binary>").collect())
     y = [r[1] for r in held]
     if len(set(y)) < 2:
         return Model({}, np.empty(0), np.empty(0), {0: -30.0, 1: 30.0, None: -30.0}[y[0] if y else None])
