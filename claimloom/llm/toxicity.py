@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +76,7 @@ class Model:
         return score
 
 
-def fit(documents: list[list[bytes]], labels: list[int], steps: int = 60, decay: float = 1e-4) -> Model:
+def fit(documents: Iterable[list[bytes]], labels: list[int], steps: int = 60, decay: float = 1e-4) -> Model:
     """Log-count ratios from the documents' different words, then logistic regression (Adam, full batches) on scaled counts.
 
     The toxic rows weigh ``TOXIC_SHARE`` in all. N-grams are first counted in slots; only those whose slot reached
@@ -152,14 +152,14 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = df.sparkSession.createDataFrame([r for x in ids for r in x.collect()], "__id long, __y int")
 
     def make():
-        return lambda columns: ((doc, y, sorted(set(word_list(text)))) for doc, y, text in zip(*columns))
+        return lambda columns: ((doc, y, b"\n".join(sorted(set(word_list(text))))) for doc, y, text in zip(*columns))
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t")).join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select("__id", "__y", "__t")
-    held = sorted((r["id"], r["y"], b"\n".join(map(bytes, r["words"]))) for r in map_slices(rows, make, "id long, y int, words array<binary>").collect())
+    held = sorted((r["id"], r["y"], bytes(r["words"])) for r in map_slices(rows, make, "id long, y int, words binary").collect())
     y = [r[1] for r in held]
     if len(set(y)) < 2:
         return Model({}, np.empty(0), np.empty(0), {0: -30.0, 1: 30.0, None: -30.0}[y[0] if y else None])
-    return fit([r[2].split(b"\n") if r[2] else [] for r in held], y)
+    return fit((r[2].split() for r in held), y)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", fold: int = 0, folds: int = 5, carry: list[str] | None = None) -> DataFrame:
