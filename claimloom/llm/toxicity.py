@@ -57,10 +57,11 @@ class Model:
         def of(word: bytes) -> tuple[float, float]:
             found: set[int] = set()
             for part, starts in pieces(word):
-                for n in LENGTHS:
-                    for k in range(min(starts, len(part) - n + 1)):
-                        if (at := number(part[k : k + n])) is not None:
-                            found.add(at)
+                for k in range(min(starts, len(part) - LENGTHS[0] + 1)):
+                    for n in LENGTHS:  # a longer one is in no more documents; what the end cuts off is found again
+                        if (at := number(part[k : k + n])) is None:
+                            break
+                        found.add(at)
             return sum(map(gain.__getitem__, found)), sum(map(norm.__getitem__, found))
 
         memo = Memo(of, limit=WORDS_HELD)
