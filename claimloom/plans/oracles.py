@@ -112,7 +112,7 @@ def _totals(source: str) -> str:
   count(*) AS n_evidence, bool_and(demo) AS demo_only FROM {source} GROUP BY claim_id"""
 
 
-_VERDICT = f"""{_STANCE}, {_CLAIMS}, s7 AS (SELECT * REPLACE (seq % 59 = 0 AS decisive) FROM st WHERE seq % 7 < 2), tot AS ({_totals("s7")}),
+_VERDICT = f"""{_STANCE}, {_CLAIMS}, s7 AS (SELECT * REPLACE (seq % 59 = 0 AS decisive) FROM st), tot AS ({_totals("s7")}),
 hit AS (SELECT claim_id, arg_max({{'s': stance, 'r': rating}}, {{'a': round(score * {_WGT}, 4), 'b': {_WGT}, 'c': id}}) AS h FROM s7 WHERE decisive AND stance IN ('supports', 'refutes') GROUP BY claim_id),
 vd AS (SELECT packet_id, claim_id, coalesce(supports, 0) AS s, coalesce(refutes, 0) AS r, demo_only, h, claim_id % 17 = 0 AS rec, claim_id % 19 = 0 AS mis FROM cl LEFT JOIN tot USING (claim_id) LEFT JOIN hit USING (claim_id)),
 rl AS (SELECT *, CASE WHEN h IS NOT NULL THEN 'decisive' WHEN rec THEN 'recycled' WHEN mis THEN 'mismatch' WHEN r >= 0.5 AND r >= 2 * s THEN 'against' WHEN s >= 0.5 AND s >= 2 * r THEN 'for' WHEN s > 0 AND r > 0 THEN 'disputed' ELSE 'unverified' END AS k FROM vd),
@@ -227,9 +227,9 @@ SELECT packet_id, count(*) AS links, min(src) AS first, max(dst) AS last FROM s
     "stance_totals": f"WITH {_STANCE}, t AS ({_totals('st')}) SELECT *, round(supports - refutes, 4) AS margin FROM t",
     "passage_vote": f"""WITH {_STANCE}, s AS (SELECT * FROM st WHERE stance IS NOT NULL), b AS (SELECT claim_id, evidence_id, arg_max({{'a': stance, 'b': score, 'c': seq}}, {{'x': score, 'y': -seq}}) FILTER (stance <> 'neutral' AND score >= 0.5) AS h, arg_max({{'a': 'neutral', 'b': score, 'c': seq}}, {{'x': score, 'y': -seq}}) FILTER (stance = 'neutral') AS u FROM s GROUP BY ALL)
 SELECT claim_id, evidence_id, coalesce(h.a, u.a, 'neutral') AS stance, coalesce(h.b, u.b, 0.0)::DOUBLE AS score, coalesce(h.c, u.c, -1) AS pos FROM b""",
-    "open_claims": f"WITH {_STANCE}, {_CLAIMS} SELECT claim_id, packet_id FROM cl WHERE check_worthy AND claim_id NOT IN (SELECT claim_id FROM st WHERE seq % 10 = 0 AND weight > 0.6 AND stance IN ('supports', 'refutes'))",
+    "open_claims": f"WITH {_STANCE}, {_CLAIMS} SELECT claim_id, packet_id FROM cl WHERE check_worthy AND claim_id NOT IN (SELECT claim_id FROM st WHERE weight > 0.6 AND stance IN ('supports', 'refutes'))",
     "escalation": f"""WITH {_STANCE}, {_CLAIMS} SELECT claim_id, packet_id, row_number() OVER (PARTITION BY packet_id ORDER BY confidence DESC, claim_id)::INT AS rank FROM cl
-WHERE check_worthy AND claim_id % 6 <> 0 AND claim_id NOT IN (SELECT claim_id FROM st WHERE seq % 10 = 0 AND weight > 0.6 AND stance IN ('supports', 'refutes')) QUALIFY rank <= 4""",
+WHERE check_worthy AND claim_id % 6 <> 0 AND claim_id NOT IN (SELECT claim_id FROM st WHERE weight > 0.6 AND stance IN ('supports', 'refutes')) QUALIFY rank <= 4""",
     "claim_verdict": f"WITH {_VERDICT} SELECT * FROM fin",
     "packet_verdict": f"""WITH {_VERDICT}, w AS (SELECT packet_id, arg_min({{'l': label, 'c': confidence, 'i': claim_id}}, {{'a': {_SEV}, 'b': -confidence, 'c': claim_id}}) AS w, {', '.join(f"count_if(label = '{x}')::BIGINT AS n_{x}" for x in V.SEVERITY)}, count(*) AS n_claims FROM fin GROUP BY packet_id)
 SELECT packet_id, w.l AS label, w.c AS confidence, w.i AS worst_claim, {', '.join(f'n_{x}' for x in V.SEVERITY)}, n_claims, n_claims || ' claims: ' || concat_ws(', ', {', '.join(f"CASE WHEN n_{x} > 0 THEN n_{x} || ' {x}' END" for x in V.SEVERITY)}) AS summary FROM w""",
