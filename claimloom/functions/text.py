@@ -281,6 +281,11 @@ def rating_stance(raw: Column) -> Column:
     return rating_group(raw, V.RATING_STANCES, None)
 
 
+def at_most(text: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all where no limit is given."""
+    return text if n is None else F.substring(text, 1, n)
+
+
 def stance_alias(stance: Column) -> Column:
     """supports, refutes or neutral; null is neutral, anything unknown is an error."""
     s = F.lower(F.trim(F.coalesce(stance, F.lit("neutral"))))

@@ -127,6 +127,19 @@ def evidence_for(edges: DataFrame, nodes: DataFrame, stance: str | None = None)
     return out if stance is None else out.where(F.col("stance") == stance)
 
 
+def evidence_order(evidence: DataFrame, key: str = "claim_id") -> DataFrame:
+    """Each claim's evidence by rank: decisive first, then weighted score, weight and id."""
+    order = Window.partitionBy(key).orderBy(F.desc("decisive"), F.desc(F.col("score") * F.col("weight")), F.desc("weight"), "id")
+    return evidence.withColumn("rank", F.row_number().over(order))
+
+
+def with_duplicates(nodes: DataFrame, links: DataFrame, key: str = "id", seen: str = "first_seen") -> DataFrame:
+    """Nodes with the number of their duplicate links; links (key, ``seen``) move a node's first-seen day earlier, never later."""
+    found = links.groupBy(key).agg(F.min(seen).alias("__seen"), F.count("*").alias("n_duplicates"))
+    out = nodes.join(found, key, "left").withColumn(seen, F.least(seen, "__seen")).drop("__seen")
+    return out.withColumn("n_duplicates", F.coalesce("n_duplicates", F.lit(0).cast("long")))
+
+
 def open_claims(claims: DataFrame, stances: DataFrame) -> DataFrame:
     """Check-worthy claims that nothing supports or refutes."""
     return claims.where("check_worthy").join(stances.where(F.col("stance").isin("supports", "refutes")).select("claim_id"), "claim_id", "left_anti")

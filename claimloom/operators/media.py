@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import vectors
 
 
+def oldest_first(matches: DataFrame, key: str, day: str, by: str) -> DataFrame:
+    """Each image's matches by rank: the oldest first, those without a day last, ties by ``by``."""
+    return matches.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(day), by)))
+
+
 def keyframes(frames: DataFrame, key: str = "packet_id", order: str = "frame_time", vector: str = "embedding", similar: float = 0.95, most: int = 8) -> DataFrame:
     """Frames kept, greedily in order: one goes if its cosine with a kept one is above ``similar``; frames without a
     vector stay; a message keeps ``most``. One message's frames are one group, and few."""

@@ -15,6 +15,7 @@ from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
 from claimloom.plans import lifecycle
 from claimloom.sources import readers, sinks
+from claimloom.sources.folders import shared_folder
 from claimloom.streaming import ingest
 
 TODAY = dt.date(2024, 2, 1)
@@ -273,6 +274,43 @@ def _event_claims(spark, d):
     return _t(spark, d, "events").groupBy(F.col("user_id").alias("claim_id")).agg(F.count("*").alias("n")).select("claim_id", (F.col("claim_id") % 25).alias("packet_id"), (F.col("n") % 3 != 0).alias("check_worthy"), ((F.col("claim_id") % 10) / F.lit(10.0)).alias("confidence"))
 
 
+def evidence_order(spark, d):
+    return graph.evidence_order(_stance_log(spark, d)).select("claim_id", "id", "rank")
+
+
+def duplicate_links(spark, d):
+    """Line items as duplicates of their orders, each seen on the day it was shipped."""
+    nodes = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("first_seen"))
+    return graph.with_duplicates(nodes, _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.to_date("l_shipdate").alias("first_seen")))
+
+
+def oldest_matches(spark, d):
+    """Each customer's orders as matches of one image; of every fifth the day is unknown."""
+    rows = _t(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate")).alias("day"))
+    return media.oldest_first(rows, "o_custkey", "day", "o_orderkey")
+
+
+def message_limit(spark, d):
+    """Texts as messages of at most 280 characters: the limit is the feature."""
+    cut = text.at_most(F.col("text"), 280)
+    return _t(spark, d, "documents").select("doc_id", F.length(cut).alias("n_kept"), F.sha2(cut, 256).alias("kept_sha256"))
+
+
+def image_urls(spark, d):
+    """Pages' addresses as those of images, given in one of four places."""
+    k = F.col("page_id") % 5
+    given = lambda n: F.when(k == n, F.col("url"))
+    path = F.when(k == 3, F.col("url")).when(k == 4, F.lit("/tmp/local.png"))
+    return _t(spark, d, "pages").select("page_id", urls.image_url(given(0), given(1), given(2), path).alias("image_url"))
+
+
+def stance_aliases(spark, d):
+    """Event types as stances in singular, plural and capitals, or missing."""
+    t = F.col("event_type")
+    word = F.when(t == "view", " Support").when(t == "click", "refutes").when(t == "error", "REFUTE ").when(t == "purchase", "supports")
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", "n", text.stance_alias(word).alias("stance"))
+
+
 def open_claims(spark, d):
     st = _stance_log(spark, d).where("weight > 0.6")
     return graph.open_claims(_event_claims(spark, d), st).select("claim_id", "packet_id")
@@ -379,7 +417,7 @@ def event_sessions(spark, d):
 
 def stream_merge(spark, d):
     """Events as a stream of files, merged by user: the latest event of each."""
-    at = f"{spark.conf.get('spark.checkpoint.dir', '') or '/tmp/claimloom-checkpoints'}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     source = ingest.stream(spark, f"{d}/events*.parquet", schema)
@@ -400,6 +438,6 @@ def check_messages(spark, d):
 QUERIES = {f.__name__: f for f in (
     clean_text, sentences, sentence_stats, sentence_offsets, passages, body_join, claim_ids, packet_ids, top_terms, language_tag, fold_spelling, entity_scan, time_refs, feature_flags, checkworthy_score, claim_topk,
     priority_topk, claim_dedupe, canonical_url, source_tier, page_dedupe, page_text, message_route, query_build, claim_overlap_topk, aboutness, decisive_flag, candidate_rank_cap, ratings, cosine_topk,
-    image_index_match, best_spelling_max, keyframe_dedupe, shares_entity, node_upsert, graph_round_trip, stance_replace, stance_totals, passage_vote, open_claims, escalation, claim_verdict, packet_verdict,
+    image_index_match, best_spelling_max, keyframe_dedupe, shares_entity, node_upsert, graph_round_trip, stance_replace, stance_totals, passage_vote, evidence_order, duplicate_links, oldest_matches, message_limit, image_urls, stance_aliases, open_claims, escalation, claim_verdict, packet_verdict,
     recycled_images, date_mismatch, timeline, confusion, evaluation_summary, evaluation_gate, compare_runs, chat_reply, request_check, event_tumbling, event_sliding, event_sessions, stream_merge, check_messages,
 )}

@@ -11,6 +11,7 @@ from claimloom.functions import ids, text, urls
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
 from claimloom.operators import stance, verdict
+from claimloom.sources.folders import shared_folder
 
 
 def seed_candidates(claims: DataFrame, corpus: DataFrame, k: int = 3, floor: float = 0.3) -> DataFrame:
@@ -31,7 +32,7 @@ def check(packets: DataFrame, corpus: DataFrame, tiers: DataFrame, today: dt.dat
     """(claim verdicts, packet verdicts) of messages against a corpus of fact-checks; messages without claims are unverified."""
     context = packets.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(packets.sparkSession.conf.get("spark.checkpoint.dir", "") or "/tmp/claimloom-checkpoints")
+        context.setCheckpointDir(shared_folder(packets.sparkSession))
     rows = C.extract(packets, today, lexicon).checkpoint()  # read several times below
     worthy = rows.where("check_worthy")
     found = EV.normalised(seed_candidates(worthy, corpus), worthy.select("claim_id", F.col("sentence").alias("text")).distinct(), tiers, lexicon=lexicon).checkpoint()

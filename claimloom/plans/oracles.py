@@ -227,6 +227,14 @@ SELECT packet_id, count(*) AS links, min(src) AS first, max(dst) AS last FROM s
     "stance_totals": f"WITH {_STANCE}, t AS ({_totals('st')}) SELECT *, round(supports - refutes, 4) AS margin FROM t",
     "passage_vote": f"""WITH {_STANCE}, s AS (SELECT * FROM st WHERE stance IS NOT NULL), b AS (SELECT claim_id, evidence_id, arg_max({{'a': stance, 'b': score, 'c': seq}}, {{'x': score, 'y': -seq}}) FILTER (stance <> 'neutral' AND score >= 0.5) AS h, arg_max({{'a': 'neutral', 'b': score, 'c': seq}}, {{'x': score, 'y': -seq}}) FILTER (stance = 'neutral') AS u FROM s GROUP BY ALL)
 SELECT claim_id, evidence_id, coalesce(h.a, u.a, 'neutral') AS stance, coalesce(h.b, u.b, 0.0)::DOUBLE AS score, coalesce(h.c, u.c, -1) AS pos FROM b""",
+    "evidence_order": f"WITH {_STANCE} SELECT claim_id, id, row_number() OVER (PARTITION BY claim_id ORDER BY decisive DESC, score * weight DESC, weight DESC, id)::INT AS rank FROM st",
+    "duplicate_links": """WITH l AS (SELECT l_orderkey AS id, min(l_shipdate)::DATE AS s, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, least(o_orderdate::DATE, s) AS first_seen, coalesce(n, 0) AS n_duplicates FROM orders LEFT JOIN l ON id = o_orderkey""",
+    "oldest_matches": """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE END AS day FROM orders)
+SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY day ASC NULLS LAST, o_orderkey)::INT AS rank FROM o""",
+    "message_limit": "SELECT doc_id, length(substr(text, 1, 280))::INT AS n_kept, sha256(substr(text, 1, 280)) AS kept_sha256 FROM documents",
+    "image_urls": "SELECT page_id, CASE WHEN page_id % 5 < 3 OR page_id % 5 = 3 AND regexp_matches(url, '^https?://') THEN nullif(url, '') END AS image_url FROM pages",
+    "stance_aliases": "SELECT event_type, count(*) AS n, CASE WHEN event_type IN ('view', 'purchase') THEN 'supports' WHEN event_type IN ('click', 'error') THEN 'refutes' ELSE 'neutral' END AS stance FROM events GROUP BY 1",
     "open_claims": f"WITH {_STANCE}, {_CLAIMS} SELECT claim_id, packet_id FROM cl WHERE check_worthy AND claim_id NOT IN (SELECT claim_id FROM st WHERE weight > 0.6 AND stance IN ('supports', 'refutes'))",
     "escalation": f"""WITH {_STANCE}, {_CLAIMS} SELECT claim_id, packet_id, row_number() OVER (PARTITION BY packet_id ORDER BY confidence DESC, claim_id)::INT AS rank FROM cl
 WHERE check_worthy AND claim_id % 6 <> 0 AND claim_id NOT IN (SELECT claim_id FROM st WHERE weight > 0.6 AND stance IN ('supports', 'refutes')) QUALIFY rank <= 4""",
