@@ -15,7 +15,7 @@ from claimloom.llm.frames import Memo, map_slices
 
 PIECES_AT_ONCE = 100_000
 #: Pieces whose ids a worker holds twice over (see ``Memo``).
-PIECES_HELD = 200_000
+PIECES_HELD = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
