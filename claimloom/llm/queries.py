@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, language_model, line_dedup, merkle, multi_index, ngram_join, secrets_crf, source_mixing, token_counts, toxicity
+from claimloom.llm import byte_bpe, filter_audit, importance_resampling, language_model, line_dedup, merkle, multi_index, ngram_join, secrets_crf, source_mixing, token_counts, toxicity, url_filter
 from claimloom.llm.frames import documents
 
 
@@ -65,7 +65,28 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_source_mixing, op4_byte_bpe, op5_multi_index, op6_line_dedup, op7_secret_scan, op8_toxicity, op9_lm_scoring, op10_merkle_fingerprints)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: Rules by host and path, longest first to decide.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: The tables hold no list of URLs: what the table has of this host is listed.
+SPAM_HOST = "spam-farm.example.org"
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = url_filter.host(F.col("url"))
+    listed = pages.where((host == SPAM_HOST) | host.endswith(f".{SPAM_HOST}")).select("url")
+    return url_filter.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), listed)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_source_mixing, op4_byte_bpe, op5_multi_index, op6_line_dedup, op7_secret_scan, op8_toxicity, op9_lm_scoring, op10_merkle_fingerprints, op11_filter_audit, op12_importance_resampling, op13_url_filter)}
 
 _TREE = """list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
     list_transform(regexp_extract_all(p, '[^.!?]{{1,200}}[.!?]*|[.!?]+'), lambda x: sha256(x))))"""
@@ -114,4 +135,27 @@ parts AS (SELECT doc_id, k, ed, {_parts("a")}, {_parts("b")}, {_parts("c")} FROM
 SELECT doc_id, k::BIGINT AS n_chars, sha256(ed) AS edited_sha256, a_root || ':' || a_shown AS fingerprint, b_root || ':' || b_shown AS edited_fingerprint,
        {_NEAR.format(a="a", b="b")} AS near_edited, {_NEAR.format(a="a", b="c")} AS near_next
 FROM parts""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+      min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (first IS NOT NULL AND (d.doc_id IS NULL OR d.doc_id > first))::INT AS mask FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS bit,
+      list_sum(list_transform(range(1, 6), lambda i: CASE WHEN i < step THEN 1 << (instr('ABCDE', filter_order[i]) - 1) ELSE 0 END))::INT AS before
+      FROM o, unnest([1, 2, 3, 4, 5]) AS v(step) WHERE length(filter_order) = 5),
+r AS (SELECT part, filter_order, step::INT AS step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+      sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+      sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+      sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r""",
+    "op13_url_filter": r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS v(h, p, verdict)),
+b AS (SELECT page_id, host, path, (SELECT max_by({'rule': h || p, 'verdict': r.verdict}, length(h || p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM u)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN host = 'spam-farm.example.org' OR ends_with(host, '.spam-farm.example.org') THEN 'block' ELSE 'allow' END) AS verdict FROM b""",
 }
