@@ -57,7 +57,7 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("label_id")).agg(yes("quality").alias("good"), yes("toxic").alias("toxic"))
     label_id = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("\0"), F.hex("h")))  # null ids meet no label, and not in one task
     rows = rows.withColumns({"E": F.coalesce(copy, F.lit(False)), "label_id": label_id}).join(known, "label_id", "left")
-    return rows.select("part", "A", "B", "C", "D", "E", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
+    return rows.select("part", "A", "B", "C", "D", "E", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")]).checkpoint()
 
 
 def _edges(alive: DataFrame, state: frozenset[str], rest: list[str], lost: list[str]) -> DataFrame:
@@ -72,16 +72,16 @@ def trie(rows: DataFrame, filters: list[str], lost: list[str]) -> tuple[DataFram
 
     Depth first: the rows that survive a state are persisted, counted once for all filters that may follow, and then
     filtered into each following state that no other order has reached before; so at most one table a level is held.
+    Counts are checkpointed, a row for each part and edge, so that what reads them all knows nothing of the tables.
     """
+    checkpoint_folder(rows)
     seen: dict[frozenset[str], int] = {}
     counted: list[DataFrame] = []
 
     def visit(alive: DataFrame, state: frozenset[str]) -> None:
         alive = alive.persist(StorageLevel.MEMORY_AND_DISK)
         rest = [f for f in filters if f not in state]
-        counts = _edges(alive, state, rest, lost).persist(StorageLevel.MEMORY_AND_DISK)
-        counts.count()
-        counted.append(counts)
+        counted.append(_edges(alive, state, rest, lost).checkpoint())
         seen[state] = seen.get(state, 0) + 1
         for f in rest:
             after = state | {f}
