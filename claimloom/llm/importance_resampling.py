@@ -14,17 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.components import checkpoint_folder
-from claimloom.llm.frames import map_slices
+from claimloom.llm.frames import give_back, map_slices
 
 BUCKETS = 10_000
 #: Buckets are dealt to so many parts; a posting row holds one part of one block of documents.
 PARTS = 32
 #: A block is closed at so many documents or features.
-BLOCK_DOCS, BLOCK_FEATURES = 4096, 1 << 20
+BLOCK_DOCS, BLOCK_FEATURES = 4096, 1 << 18
 #: Posting rows of one part that meet in one group.
 GROUP_ROWS = 64
 #: Bytes of a text that are words at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: A-Z lower-cased; what is neither an ASCII letter or digit nor part of another character parts words.
 LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -130,7 +130,9 @@ def _contributions(left: pa.Table, right: pa.Table) -> pa.Table:
             bucket, doc, count = _unpack(data.as_py())
             blocks.append(block)
             out.append(np.bincount(doc, weights=gain[bucket] * count).astype(np.int64))  # whole numbers below 2**53: exact
-    return pa.table({"block": pa.array(blocks, pa.int64()), "gains": pa.array(out, pa.list_(pa.int64()))})
+    table = pa.table({"block": pa.array(blocks, pa.int64()), "gains": pa.array(out, pa.list_(pa.int64()))})
+    give_back()
+    return table
 
 
 def _reduced(left: pa.Table, right: pa.Table) -> pa.Table:
