@@ -1,194 +1,185 @@
-"""Entities and time references of a sentence. Which span wins depends on order, so a pandas UDF reads each sentence by rules."""
+"""Entities and times of a sentence as column expressions: patterns in order of precedence, then names, then a model's."""
 
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
-import re
-from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from claimloom.functions import ids, spans
 from claimloom.functions import vocab as V
 
 ENTITIES = "array<struct<id:string,text:string,label:string,normalized:string,start:int,end:int>>"
 TIMES = "array<struct<text:string,kind:string,normalized:string,start:int,end:int>>"
 
-_I = re.IGNORECASE
-_DAY = r"\d{1,2}(?:st|nd|rd|th)?"
-_ABSOLUTE = re.compile(
-    r"\b(?:" + "|".join([
-        rf"{_DAY}\s+(?:{V.MONTHS})\.?,?\s+\d{{4}}", rf"(?:{V.MONTHS})\.?\s+{_DAY},?\s+\d{{4}}", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{4}-\d{2}-\d{2}",
-        rf"(?:{V.MONTHS})\s+\d{{4}}", rf"{_DAY}\s+(?:{V.MONTHS})\b", rf"(?:{V.MONTHS})\s+{_DAY}\b", r"(?:19|20)\d{2}",
-    ]) + r")\b", _I,
-)
-_RELATIVE, _RECURRING = re.compile(rf"\b(?:{V.RELATIVE})\b", _I), re.compile(rf"\b(?:{V.RECURRING})\b", _I)
-_NAME = re.compile(r"\b[A-Z][a-zA-Z'’\-]+(?:(?:\s+(?:of|and|&|the|de))?\s+[A-Z][a-zA-Z'’\-]+)*")
-_ORG, _TITLE = re.compile(rf"\b(?:{V.ORGANISATIONS})\b"), re.compile(rf"(?:{V.TITLES})\.?\s*$")
-_FINITE = re.compile(rf"\s+(?:\w+\s+)?(?:{V.FINITE})\b")
-_FIRST = re.compile(r"^\s*(?:\w+:\s*)?$")
-_PLACES, _NOT_NAMES = frozenset(V.PLACES.split()), frozenset(V.NOT_NAMES.split())
+_KIND = ENTITIES.removeprefix("array<").removesuffix(">")
+_TIME = TIMES.removeprefix("array<").removesuffix(">")
+_I = "(?iu)"
+_DATE = _I + spans.unicode(V.DATES)
+_MONTH = {m: i // 2 + 1 for i, m in enumerate("january jan february feb march mar april apr may may june jun july jul august aug september sep october oct november nov december dec".split())}
 
 
-def entity_id(label: str, text: str) -> str:
-    return "ent_" + hashlib.sha1(f"{label}|{text.lower()}".encode()).hexdigest()[:12]
-
-
-def money(text: str) -> str | None:
+def money(text: Column) -> Column:
     """Currency and whole amount: the first unit named multiplies."""
-    t = text.lower().replace(",", "").replace(" ", "")
-    number = re.search(r"\d+(?:\.\d+)?", t)
-    if not number:
-        return None
-    times = next((m for unit, m in V.MONEY_UNITS if unit in t), None)
-    if times is None or (t.endswith("cr") and "crore" not in t):
-        times = 10_000_000 if t.endswith("cr") else 1000 if times is None and re.search(r"\d+k$", t) else times or 1
-    currency = "USD" if any(x in t for x in ("$", "usd", "dollar")) else "EUR" if "€" in t else "INR"
-    return f"{currency} {float(number.group()) * times:.0f}"
-
-
-def absolute_date(text: str, today: dt.date) -> str | None:
-    """ISO date by the first format that fits, day first; without a year that of ``today``."""
-    t = re.sub(r"(\d)(?:st|nd|rd|th)", r"\1", text).replace(",", "").replace(".", "")
-    t = " ".join(t.split())
-    for value, formats in ((t, V.DATE_FORMATS), (f"{t} {today.year}", [f"{f} %Y" for f in V.DAY_MONTH_FORMATS])):
-        for f in formats:
-            try:
-                return dt.datetime.strptime(value, f).date().isoformat()
-            except ValueError:
-                pass
-    return None
-
-
-def relative_date(text: str, today: dt.date) -> str | None:
-    """Months count 30 days and years 365; phrases that name no day have none."""
-    t = " ".join(text.lower().split())
-    fixed = {"today": 0, "aaj": 0, "tonight": 0, "abhi": 0, "just now": 0, "yesterday": 1, "tomorrow": -1}
-    if t in fixed:
-        return (today - dt.timedelta(days=fixed[t])).isoformat()
-    if m := re.match(r"(\d+) (day|week|month|year|hour)s? ago", t):
-        days = {"hour": 0, "day": 1, "week": 7, "month": 30, "year": 365}[m[2]] * int(m[1])
-        try:
-            return (today - dt.timedelta(days=days)).isoformat()
-        except OverflowError:
-            return None
-    return None
-
-
-class Spans:
-    """Spans taken so far: one that touches an earlier one is refused."""
-
-    def __init__(self, taken: Iterable[tuple[int, int]] = ()):
-        self.taken = list(taken)
-
-    def free(self, a: int, b: int) -> bool:
-        return not any(a < e and b > s for s, e in self.taken)
-
-    def take(self, a: int, b: int) -> bool:
-        if free := self.free(a, b):
-            self.taken.append((a, b))
-        return free
-
-
-_PATTERNED: tuple[tuple[str, re.Pattern, Callable[[str, dt.date], str | None]], ...] = (
-    ("URL", re.compile(V.URL, _I), lambda t, _: t.lower()),
-    ("UPI", re.compile(V.UPI, _I), lambda t, _: t.lower()),
-    ("PHONE", re.compile(V.PHONE), lambda t, _: re.sub(r"\D", "", t)[-10:]),
-    ("HASHTAG", re.compile(V.HASHTAG), lambda t, _: t.lower()),
-    ("MONEY", re.compile(V.MONEY, _I), lambda t, _: money(t)),
-    ("PERCENT", re.compile(V.PERCENT, _I), lambda t, _: re.sub(r"[^\d.]", "", t) + "%"),
-    ("DATE", _ABSOLUTE, absolute_date),
-    ("NUMBER", re.compile(V.NUMBER, _I), lambda t, _: t.replace(",", "").lower()),
-)
-
-
-def _is_name(word: str, sentence: str, start: int) -> bool:
-    """Whether a lone capitalised first word is a name for another reason than its place."""
-    rest = sentence[start + len(word) :]
-    return bool(
-        word.isupper() or _ORG.search(word) or word.lower() in _PLACES or _TITLE.search(sentence[max(0, start - 20) : start])
-        or re.search(rf"\b{re.escape(word)}\b", rest) or _FINITE.match(rest)
+    t = spans.ascii_digits(F.translate(F.lower(text), ", ", ""))
+    number = F.nullif(F.regexp_extract(t, r"\d+(?:\.\d+)?", 0), F.lit("")).cast("double")
+    named = F
+    for unit, m in V.MONEY_UNITS:
+        named = named.when(F.contains(t, F.lit(unit)), F.lit(m))
+    named = named.otherwise(F.lit(None).cast("int"))
+    cr = t.endswith("cr") & ~F.contains(t, F.lit("crore"))
+    times = F.when(cr, 10_000_000).when(named.isNull() & t.rlike(r"\d+k$"), 1000).otherwise(F.coalesce(named, F.lit(1)))
+    has = lambda *xs: F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.contains(t, x))
+    currency = F.when(has("$", "usd", "dollar"), "USD").when(has("€"), "EUR").otherwise("INR")
+    return F.when(number.isNotNull(), F.concat(currency, F.lit(" "), F.bround(number * times.cast("double"), 0).cast("decimal(38,0)").cast("string")))
+
+
+def _iso(year: Column, month: Column, day: Column) -> Column:
+    made = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")), "yyyy-M-d")
+    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull() & (year.cast("int") >= 1), F.date_format(made, "yyyy-MM-dd"))
+
+
+def absolute_date(text: Column, today: dt.date) -> Column:
+    """ISO date by the first form that fits, day first; without a year that of ``today``."""
+    t = F.trim(F.regexp_replace(F.translate(F.regexp_replace(spans.ascii_digits(text), r"(\d)(?:st|nd|rd|th)", "$1"), ",.", ""), r"\s+", " "))
+    month_of = F.create_map(*[F.lit(x) for pair in _MONTH.items() for x in pair])
+    get = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit(""))
+    num = lambda pattern, k: get(pattern, k).cast("int")
+    name = lambda pattern, k: F.element_at(month_of, F.lower(get(pattern, k)))
+    one = F.lit(1)
+    dmy, mdy, my = r"^(\d{1,2}) ([A-Za-z]+) (\d{4})$", r"^([A-Za-z]+) (\d{1,2}) (\d{4})$", r"^([A-Za-z]+) (\d{4})$"
+    long_, short, iso, year = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})$"
+    dm, md = r"^(\d{1,2}) ([A-Za-z]+)$", r"^([A-Za-z]+) (\d{1,2})$"
+    two = num(short, 4)
+    this = F.lit(today.year)
+    return F.coalesce(
+        _iso(num(dmy, 3), name(dmy, 2), num(dmy, 1)), _iso(num(mdy, 3), name(mdy, 1), num(mdy, 2)), _iso(num(long_, 4), num(long_, 3), num(long_, 1)),
+        _iso(F.when(two >= 69, two + 1900).otherwise(two + 2000), num(short, 3), num(short, 1)), _iso(num(iso, 1), num(iso, 2), num(iso, 3)), _iso(num(my, 2), name(my, 1), one), _iso(num(year, 1), one, one),
+        _iso(this, name(dm, 2), num(dm, 1)), _iso(this, name(md, 1), num(md, 2)),
     )
 
 
-def _label(name: str, before: str) -> str:
-    words = name.split()
-    if _ORG.search(name):
-        return "ORG"
-    if any(w.lower() in _PLACES for w in words):
-        return "GPE"
-    if len(words) > 1 or _TITLE.search(before):
-        return "PERSON"
-    return "ORG" if name.isupper() else "PROPER"
-
-
-def entities_of(sentence: str, today: dt.date) -> list[tuple]:
-    """(id, text, label, normalized, start, end) by start. Patterns come in order of precedence, names last."""
-    spans, out = Spans(), []
-    for label, pattern, normal in _PATTERNED:
-        for m in pattern.finditer(sentence):
-            if spans.take(*m.span()):
-                text = m.group().strip()
-                value = normal(m.group(), today)
-                out.append((entity_id(label, value or text), text, label, value, *m.span()))
-    for m in _NAME.finditer(sentence):
-        words, start = m.group().split(), m.start()
-        while words and words[0].lower() in _NOT_NAMES:
-            start += len(words.pop(0)) + 1
-        name = " ".join(words)
-        if len(name) < 3 or not spans.free(start, start + len(name)):
-            continue
-        if len(words) == 1 and _FIRST.match(sentence[:start]) and not _is_name(name, sentence, start):
-            continue
-        spans.take(start, start + len(name))
-        label = _label(name, sentence[max(0, start - 20) : start])
-        out.append((entity_id(label, name), name, label, name.lower(), start, start + len(name)))
-    return sorted(out, key=lambda e: e[4])
-
-
-def times_of(sentence: str, today: dt.date, entities: list[tuple] = ()) -> list[tuple]:
-    """(text, kind, normalized, start, end) by start; spans of money, shares, phones and addresses are no times."""
-    spans = Spans((e[4], e[5]) for e in entities if e[2] in ("MONEY", "PERCENT", "PHONE", "UPI", "URL"))
-    out = []
-    for kind, pattern, normal in (("absolute", _ABSOLUTE, absolute_date), ("relative", _RELATIVE, relative_date), ("recurring", _RECURRING, lambda *_: None)):
-        out += [(m.group(), kind, normal(m.group(), today), *m.span()) for m in pattern.finditer(sentence) if spans.take(*m.span())]
-    return sorted(out, key=lambda r: r[3])
-
-
-def extract(sentence: Column, today: dt.date) -> Column:
-    """struct<entities, times> of a sentence; null gives empty arrays."""
-    fields = ("id", "text", "label", "normalized", "start", "end"), ("text", "kind", "normalized", "start", "end")
-
-    @F.pandas_udf(f"struct<entities:{ENTITIES},times:{TIMES}>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            found = entities_of(t or "", today)
-            rows.append(([dict(zip(fields[0], e)) for e in found], [dict(zip(fields[1], r)) for r in times_of(t or "", today, found)]))
-        return pd.DataFrame(rows, columns=["entities", "times"])
-
-    return run(sentence)
-
-
-def merge(first: list[tuple], second: list[tuple]) -> list[tuple]:
-    """Entities of patterns and of a model: patterned ones stay, the model's fill gaps, guessed names what is left."""
-    names = ("PERSON", "ORG", "GPE", "PROPER")
-    spans, out = Spans(), []
-    for group in ([e for e in first if e[2] not in names], second, [e for e in first if e[2] in names]):
-        out += [e for e in group if spans.take(e[4], e[5])]
-    return sorted(out, key=lambda e: e[4])
-
-
-def anchored(sentence: str, found: list[tuple[str, str]]) -> list[tuple]:
-    """A model's (text, label) pairs put where the sentence has them, without case; absent ones go."""
-    low, out = sentence.lower(), []
-    for text, label in found:
-        at = low.find(text.lower())
-        if text and at >= 0:
-            out.append((entity_id(label, text), sentence[at : at + len(text)], label, text.lower(), at, at + len(text)))
-    return out
+def relative_date(text: Column, today: dt.date) -> Column:
+    """Months count 30 days and years 365; phrases that name no day, and days outside the calendar, have none."""
+    t = F.trim(F.regexp_replace(spans.ascii_digits(F.lower(text)), r"\s+", " "))
+    day = lambda n: (today + dt.timedelta(days=n)).isoformat()
+    ago = r"^(\d+) (day|week|month|year|hour)s? ago"
+    n = F.try_to_number(F.regexp_extract(t, ago, 1), F.lit("999999999999999999")).cast("double")
+    per = F.element_at(F.create_map(*[F.lit(x) for p in {"hour": 0, "day": 1, "week": 7, "month": 30, "year": 365}.items() for x in p]), F.nullif(F.regexp_extract(t, ago, 2), F.lit("")))
+    back = n * per
+    known = back.between(0, (today - dt.date(1, 1, 1)).days)
+    then = F.date_format(F.date_sub(F.lit(today), F.when(known, back).cast("int")), "yyyy-MM-dd")
+    return F.when(t.isin("today", "aaj", "tonight", "abhi", "just now"), day(0)).when(t == "yesterday", day(-1)).when(t == "tomorrow", day(1)).when(known, then)
+
+
+def _entity(label: Column | str, text: Column, normalized: Column, start: Column, end: Column) -> Column:
+    label = F.lit(label) if isinstance(label, str) else label
+    return F.struct(ids.entity_id(label, F.coalesce(normalized, text)).alias("id"), text.alias("text"), label.alias("label"), normalized.alias("normalized"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+
+def _patterned(s: Column, today: dt.date) -> list[Column]:
+    """Spans by pattern, in order of precedence; each pattern is searched only where a character it needs occurs."""
+    digits = r"\p{Nd}"
+    rules = [
+        ("URL", V.URL, _I, r"(?i)://|www", lambda t: F.lower(t)), ("UPI", V.UPI, _I, "@", lambda t: F.lower(t)), ("PHONE", V.PHONE, "", digits, lambda t: F.right(F.regexp_replace(t, r"[^\p{Nd}]", ""), F.lit(10))), ("HASHTAG", V.HASHTAG, "", "#", lambda t: F.lower(t)),
+        ("MONEY", V.MONEY, _I, digits, money), ("PERCENT", V.PERCENT, _I, digits, lambda t: F.concat(F.regexp_replace(t, r"[^\p{Nd}.]", ""), F.lit("%"))),
+        ("DATE", V.DATES, _I, digits, lambda t: absolute_date(t, today)), ("NUMBER", V.NUMBER, _I, digits, lambda t: F.lower(F.translate(t, ",", ""))),
+    ]
+    none = F.array().cast(f"array<{_KIND}>")
+
+    def found(label: str, pattern: str, normal) -> Column:
+        read = F.transform(spans.matches(s, pattern), lambda m: F.struct(m["text"].alias("text"), normal(m["text"]).alias("normalized"), m["start"].alias("start"), m["end"].alias("end")))
+        return F.transform(read, lambda m: _entity(label, F.trim(m["text"]), m["normalized"], m["start"], m["end"]))
+
+    return [F.when(s.rlike(needs), found(label, flags + spans.unicode(pattern), normal)).otherwise(none) for label, pattern, flags, needs, normal in rules]
+
+
+def _names(s: Column) -> Column:
+    """Capitalised runs without leading function words; a lone first word only if something else shows that it is a name."""
+    ends, titles, finite = spans.unicode(rf"\b(?:{V.ORGANISATIONS})\b"), rf"(?:{V.TITLES})\.?\s*$", "^" + spans.unicode(rf"\s+(?:\w+\s+)?(?:{V.FINITE})\b")
+    words_of = lambda c: F.array(*[F.lit(w) for w in c.split()])
+    not_names, places = words_of(V.NOT_NAMES), words_of(V.PLACES)
+
+    def trimmed(m: Column) -> Column:
+        words = F.filter(F.split(m["text"], r"\s+"), lambda w: w != "")
+        lead = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(True).alias("on")), lambda a, w: F.when(a["on"] & F.array_contains(not_names, F.lower(w)), F.struct((a["n"] + 1).alias("n"), (a["at"] + F.length(w) + 1).alias("at"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), a["at"].alias("at"), F.lit(False).alias("on"))))
+        left = F.transform(F.array(lead), lambda a: F.slice(words, a["n"] + 1, F.size(words)))[0]
+        start = m["start"] + lead["at"]
+        return F.struct(F.array_join(left, " ").alias("text"), F.size(left).alias("n"), start.alias("start"), (start + F.length(F.array_join(left, " "))).alias("end"))
+
+    before = lambda m: F.substr(s, F.greatest(m["start"] - 20, F.lit(0)) + 1, F.least(m["start"], F.lit(20)))
+    rest = lambda m: F.substr(s, m["end"] + 1, F.greatest(F.length(s) - m["end"], F.lit(0)))
+    place = lambda m: F.exists(F.split(m["text"], " "), lambda w: F.array_contains(places, F.lower(w)))
+    capitals = lambda m: (m["text"] == F.upper(m["text"])) & m["text"].rlike(r"\p{L}")
+
+    def shown(m: Column) -> Column:
+        again = F.regexp_like(rest(m), F.concat(F.lit(rf"(?<!{spans._W})\Q"), m["text"], F.lit(rf"\E(?!{spans._W})")))
+        return capitals(m) | m["text"].rlike(ends) | place(m) | before(m).rlike(titles) | again | rest(m).rlike(finite)
+
+    def label(m: Column) -> Column:
+        return F.when(m["text"].rlike(ends), "ORG").when(place(m), "GPE").when((m["n"] > 1) | before(m).rlike(titles), "PERSON").when(capitals(m), "ORG").otherwise("PROPER")
+
+    found = F.filter(F.transform(spans.matches(s, spans.unicode(V.NAMES)), trimmed), lambda m: F.length(m["text"]) >= 3)
+    first = lambda m: F.substr(s, F.lit(1), m["start"]).rlike(spans.unicode(r"^\s*(?:\w+:\s*)?$"))
+    kept = F.filter(found, lambda m: (m["n"] > 1) | ~first(m) | shown(m))
+    return F.transform(kept, lambda m: _entity(label(m), m["text"], F.lower(m["text"]), m["start"], m["end"]))
+
+
+def model_entities(sentence: Column, hits: Column) -> Column:
+    """A tagger's spans: known kinds of enough score and two characters or more, at their places.
+
+    ``hits`` is array<struct<entity_group, score, start, end>>, places counted from 0; null is none.
+    """
+    labels = F.create_map(*[F.lit(x) for p in V.TAGGED.items() for x in p])
+    text = lambda h: F.trim(F.substr(sentence, h["start"] + 1, F.greatest(h["end"] - h["start"], F.lit(0))))
+    good = F.filter(hits, lambda h: F.element_at(labels, h["entity_group"]).isNotNull() & (h["score"] >= V.TAGGED_SCORE) & (F.length(text(h)) >= 2))
+    found = F.transform(good, lambda h: _entity(F.element_at(labels, h["entity_group"]), text(h), F.lower(text(h)), h["start"], h["start"] + F.length(text(h))))
+    return F.coalesce(found, F.array().cast(f"array<{_KIND}>"))
+
+
+def anchored(sentence: Column, named: Column) -> Column:
+    """A model's (text, label) pairs put where the sentence has them first, without case; absent and empty ones go.
+
+    ``named`` is array<struct<text, label>>; null is none.
+    """
+    at = lambda e: F.instr(F.lower(sentence), F.lower(e["text"]))
+    there = F.filter(named, lambda e: (F.coalesce(e["text"], F.lit("")) != "") & (at(e) > 0))
+    found = F.transform(there, lambda e: _entity(e["label"], F.substr(sentence, at(e), F.length(e["text"])), F.lower(e["text"]), at(e) - 1, at(e) - 1 + F.length(e["text"])))
+    return F.coalesce(found, F.array().cast(f"array<{_KIND}>"))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Entities of two readings: those of the first stay, those of the second fill gaps."""
+    return spans.resolved(F.concat(first, second), _KIND)
+
+
+def entities(sentence: Column, today: dt.date, model: Column | None = None) -> Column:
+    """array<struct<id, text, label, normalized, start, end>> by start.
+
+    Precedence: patterns (addresses, payment ids, phones, hashtags, amounts, shares, dates, numbers), then a model's
+    spans if there are any, then names by their capitals. Null and empty sentences have none.
+    """
+    s = F.coalesce(sentence, F.lit(""))
+    parts = [*_patterned(s, today), *([] if model is None else [model]), _names(s)]
+    return spans.resolved(F.concat(*parts), _KIND)
+
+
+def times(sentence: Column, today: dt.date, found: Column | None = None) -> Column:
+    """array<struct<text, kind, normalized, start, end>> by start: absolute, then relative, then recurring times.
+
+    Spans of amounts, shares, phones, payment ids and addresses among ``found`` entities are no times.
+    """
+    s = F.coalesce(sentence, F.lit(""))
+    words = _I + spans.unicode(rf"\b(?:{V.RELATIVE})\b"), _I + spans.unicode(rf"\b(?:{V.RECURRING})\b")
+    kinds = [("absolute", _DATE, lambda t: absolute_date(t, today)), ("relative", words[0], lambda t: relative_date(t, today)), ("recurring", words[1], lambda t: F.lit(None).cast("string"))]
+
+    def read(kind: str, pattern: str, normal) -> Column:
+        return F.transform(spans.matches(s, pattern), lambda m: F.struct(m["text"].alias("text"), F.lit(kind).alias("kind"), normal(m["text"]).alias("normalized"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end")))
+
+    parts = [read(*k) for k in kinds]
+    masked = None if found is None else F.filter(found, lambda e: e["label"].isin("MONEY", "PERCENT", "PHONE", "UPI", "URL"))
+    return spans.resolved(F.concat(*parts), _TIME, masked)
 
 
 def iso_date(text: Column, exif: bool = True) -> Column:

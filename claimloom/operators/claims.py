@@ -77,10 +77,15 @@ def with_features(df: DataFrame, col: str = "sentence", lexicon: text.Lexicon |
     return settled(df, found | {"tokens": text.n_tokens(F.col(col))})
 
 
-def with_entities(df: DataFrame, today: dt.date, col: str = "sentence") -> DataFrame:
+def with_spans(df: DataFrame, today: dt.date, col: str = "sentence", tagged: Column | None = None) -> DataFrame:
+    """``entities`` and ``times`` of a sentence; ``tagged`` are a model's spans (``entities.model_entities`` or ``anchored``)."""
+    df = settled(df, {"entities": E.entities(F.col(col), today, tagged)})
+    return settled(df, {"times": E.times(F.col(col), today, F.col("entities"))})
+
+
+def with_entities(df: DataFrame, today: dt.date, col: str = "sentence", tagged: Column | None = None) -> DataFrame:
     """``entities`` and ``times``, and what scoring reads of them."""
-    df = df.withColumn("__e", E.extract(F.col(col), today))
-    df = df.withColumn("entities", F.col("__e.entities")).withColumn("times", F.col("__e.times")).drop("__e")
+    df = with_spans(df, today, col, tagged)
     has = lambda labels: F.exists("entities", lambda e: e["label"].isin(*labels))
     return settled(df, {
         "named_entity": has(V.NAMED), "quantity": has(V.QUANTIFIED), "money": has(["MONEY"]), "percent": has(["PERCENT"]), "number": has(["NUMBER"]),
@@ -145,16 +150,27 @@ def drop_reason() -> Column:
     return out.otherwise("low_signal")
 
 
-def scored(df: DataFrame, model: Column | None = None) -> DataFrame:
+def modelled_type(probabilities: Column) -> Column:
+    """A model's likeliest type (map<type, probability>), null where it is unknown or the next comes within the margin."""
+    best = F.array_sort(F.transform(F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("k"))))
+    first, margin = F.get(best, F.lit(0)), F.coalesce(F.get(best, F.lit(1))["p"], F.lit(0.0)) - F.get(best, F.lit(0))["p"]
+    return F.when(first["k"].isin(*V.RISK) & (margin >= V.TYPE_MARGIN), first["k"])
+
+
+def scored(df: DataFrame, model: Column | None = None, typed: Column | None = None) -> DataFrame:
     """points, confidence, check_worthy, claim_type and drop_reason from features and entity flags.
 
-    ``model``: a second opinion (0 to 1, or null) that weighs half, except on hard rejects.
+    ``model``: a second opinion (0 to 1, or null) that weighs half, except on hard rejects. ``typed``: a model's
+    probabilities by type; its type replaces the rules' unless that is one of the sticky ones, or a hard reject.
     """
     reject = F.col("greeting") | (F.col("tokens") < V.LEAST_TOKENS) | (F.col("tokens") > V.MOST_TOKENS)
     df = settled(df, {"points": F.when(reject, F.lit(0)).otherwise(points())})
     own = F.col("points") / F.lit(1000)
-    mixed = own if model is None else F.when(model.isNotNull() & ~reject, F.round((own + model) / 2, 3)).otherwise(own)
-    df = settled(df, {"confidence": mixed, "check_worthy": mixed >= V.WORTHY / 1000, "claim_type": claim_type()})
+    mixed = own if model is None else F.when(model.isNotNull() & (F.col("points") > 0), F.round((own + model) / 2, 3)).otherwise(own)
+    kind = claim_type()
+    if typed is not None:
+        kind = F.when((F.col("points") > 0) & ~kind.isin(*V.STICKY_TYPES), F.coalesce(modelled_type(typed), kind)).otherwise(kind)
+    df = settled(df, {"confidence": mixed, "check_worthy": mixed >= V.WORTHY / 1000, "claim_type": kind})
     return settled(df, {"drop_reason": drop_reason()})
 
 
@@ -166,13 +182,23 @@ def attributed_to(sentence: Column, entities: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.trim(phrase), "[.,;:!]+$", ""), F.lit("")), F.when((verb > 0) & (F.size(before) > 0), F.element_at(before, -1)["text"]))
 
 
-def extract(packets: DataFrame, today: dt.date, lexicon: text.Lexicon | None = None, model=None) -> DataFrame:
-    """Claims and rejected sentences of packets, one row each, near-duplicates removed."""
-    rows = sentence_rows(fields_of(packets), ["packet_id", "field", "image_index", "frame_time", "pos"])
-    rows = scored(with_entities(with_features(rows, lexicon=lexicon), today), model(F.col("sentence")) if model else None)
+def extract(packets: DataFrame, today: dt.date, lexicon: text.Lexicon | None = None, model=None, typed=None, tagged=None, plain: bool = False) -> DataFrame:
+    """Claims and rejected sentences of packets, one row each, near-duplicates removed.
+
+    ``model``, ``typed`` and ``tagged`` make columns of a sentence: a second score, probabilities by type, and a
+    tagger's hits (array<struct<entity_group, score, start, end>>). ``plain`` reads flags from patterns alone, and no
+    entities and times.
+    """
+    s = F.col("sentence")
+    rows = with_features(sentence_rows(fields_of(packets), ["packet_id", "field", "image_index", "frame_time", "pos"]), lexicon=lexicon)
+    if plain:
+        rows = with_plain_entities(rows).withColumns({"entities": F.array().cast(E.ENTITIES), "times": F.array().cast(E.TIMES)})
+    else:
+        rows = with_entities(rows, today, tagged=E.model_entities(s, tagged(s)) if tagged else None)
+    rows = scored(rows, model(s) if model else None, typed(s) if typed else None)
     rows = rows.withColumns({
-        "normalized_text": text.normalize(F.col("sentence")), "language": text.language(F.col("sentence")),
-        "attributed_to": F.when(F.col("claim_type") == "attribution", attributed_to(F.col("sentence"), F.col("entities"))),
+        "normalized_text": text.normalize(s), "language": text.language(s),
+        "attributed_to": F.when(F.col("claim_type") == "attribution", attributed_to(s, F.col("entities"))),
         "numbers": F.transform(F.filter("entities", lambda e: e["label"].isin(*V.QUANTIFIED)), lambda e: F.coalesce(e["normalized"], e["text"])),
     })
     rows = rows.withColumn("claim_id", ids.claim_id(F.col("packet_id"), F.col("normalized_text")))

@@ -10,10 +10,10 @@ from claimloom.functions.vectors import rate
 ACCUSING = ("false", "misleading")
 
 
-def valid_cases(cases: DataFrame) -> DataFrame:
+def valid_cases(cases: DataFrame, languages: tuple[str, ...] = ("en", "hi", "hinglish")) -> DataFrame:
     """``problems`` of each case: missing keys, unknown values, or a target that is not in the corpus."""
     p = [
-        (F.coalesce("id", F.lit("")) == "", "no id"), (F.coalesce("text", F.lit("")) == "", "no text"), (~F.coalesce(F.col("language").isin("en", "hi", "hinglish"), F.lit(False)), "unknown language"),
+        (F.coalesce("id", F.lit("")) == "", "no id"), (F.coalesce("text", F.lit("")) == "", "no text"), (~F.coalesce(F.col("language").isin(*languages), F.lit(False)), "unknown language"),
         (~F.coalesce(F.col("expect.verdict").isin("false", "misleading", "disputed", "unverified", "true"), F.lit(False)), "unknown verdict"), (F.col("expect.check_worthy").isNull(), "check_worthy is no boolean"),
         (F.col("in_corpus").isNull(), "in_corpus is no boolean"), (F.col("expect.retrieves").isNotNull() & ~F.coalesce("in_corpus", F.lit(False)), "a target outside the corpus"),
     ]

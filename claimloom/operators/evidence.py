@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions import text, urls, vectors
+from claimloom.functions import ids, text, urls, vectors
 from claimloom.functions import vocab as V
 from claimloom.operators.claims import settled
 
@@ -52,12 +52,20 @@ def entry_text(claim: Column, claim_hi: Column, topics: Column) -> Column:
 def lexical_candidates(claims: DataFrame, corpus: DataFrame, floor: float = V.DECISIVE_OVERLAP, k: int | None = None) -> DataFrame:
     """claim_id, item_id, shared, terms, overlap: corpus items that have at least ``floor`` of a claim's words.
 
-    claims (claim_id, text) and corpus (item_id, text) meet word by word, so only pairs with a common word are made.
+    An item that has m of a claim's n words has one of its n - m + 1 rarest, so only these meet the corpus: the words
+    that most items have are in no join unless a claim is made of them. Pairs found so are counted on all words. Words
+    that no item has count, and are the rarest. No claim and no item need have words; such have no pairs.
     """
-    a = claims.select("claim_id", text.overlap_tokens(F.col("text")).alias("w")).select("claim_id", F.size("w").alias("terms"), F.explode("w").alias("w"))
-    b = corpus.select("item_id", F.explode(text.overlap_tokens(F.col("text"))).alias("w"))
-    pairs = a.join(b, "w").groupBy("claim_id", "item_id", "terms").agg(F.count("*").alias("shared"))
-    pairs = pairs.withColumn("overlap", F.col("shared") / F.col("terms")).where(F.col("overlap") >= floor)
+    a = claims.select("claim_id", text.overlap_tokens(F.col("text")).alias("w")).withColumn("terms", F.size("w"))
+    b = corpus.select("item_id", text.overlap_tokens(F.col("text")).alias("items"))
+    words = b.select("item_id", F.explode("items").alias("w"))
+    seen = words.groupBy("w").agg(F.count("*").alias("n"))
+    least = F.greatest(F.ceil(F.lit(floor) * F.col("terms") - 1e-9), F.lit(1))
+    rarest = Window.partitionBy("claim_id", "terms").orderBy(F.col("n").asc_nulls_first(), "w")
+    own = a.select("claim_id", "terms", F.explode("w").alias("w")).join(seen, "w", "left").withColumn("k", F.row_number().over(rarest))
+    met = own.where((F.col("k") <= F.col("terms") - least + 1) & F.col("n").isNotNull()).select("claim_id", "w").join(words, "w").select("claim_id", "item_id").distinct()
+    pairs = met.join(a, "claim_id").join(b, "item_id").withColumn("shared", F.size(F.array_intersect("w", "items")).cast("long"))
+    pairs = pairs.select("claim_id", "item_id", "terms", "shared", (F.col("shared") / F.col("terms")).alias("overlap")).where(F.col("overlap") >= floor)
     if k is None:
         return pairs
     order = Window.partitionBy("claim_id").orderBy(F.desc("overlap"), "item_id")
@@ -149,6 +157,15 @@ def deduped(df: DataFrame) -> DataFrame:
     return out.withColumn("also_found_by", F.array_except("__all", F.array("source_type"))).drop("__all", "__key")
 
 
+def from_sources(found: DataFrame) -> DataFrame:
+    """What sources found (``fanout.FOUND``) as candidates with ids; a source's name is its kind."""
+    url = urls.canonical_url(F.col("url"))
+    return found.select(
+        ids.evidence_id(F.col("claim_id"), F.col("source"), url, F.col("title"), F.col("snippet")).alias("id"), "claim_id", F.col("source").alias("source_type"), "url", "title", "snippet", "text", "publisher", "domain", "published_date",
+        F.lit(None).cast("string").alias("rating"), "rating_raw", "score", F.lit(False).alias("decisive"), F.coalesce("demo", F.lit(False)).alias("demo"), "language", "item_id", F.xxhash64("source", "item_id", "url", "title").alias("seq"),
+    )
+
+
 def ranked(df: DataFrame, most: int = 10) -> DataFrame:
     """Decisive first, then weight, score, having a text, id; ``most`` a claim."""
     order = Window.partitionBy("claim_id").orderBy(F.desc("decisive"), F.desc(F.coalesce("source_weight", F.lit(0.0))), F.desc(F.coalesce("score", F.lit(0.0))), (F.coalesce("text", F.lit("")) == "").cast("int"), "id")

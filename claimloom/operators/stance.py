@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import text, vectors
+from claimloom.operators import scoring
 
 
 def gated(evidence: DataFrame) -> DataFrame:
@@ -34,13 +35,15 @@ def ranked(passages_: DataFrame, claims: DataFrame, floor: float = 0.3, k: int =
     return rows.withColumn("relevant", (F.col("similarity") >= floor) & (F.col("rank") <= k)).where((F.col("rank") == 1) | F.col("relevant"))
 
 
-def strongest(votes: DataFrame, keys: list[str], floor: float = 0.5) -> DataFrame:
-    """The strongest side from ``floor`` among supports and refutes, else the surest neutral; the first position wins ties."""
+def strongest(votes: DataFrame, keys: list[str], floor: float = 0.5, order: str | None = None, neutral: str | None = None) -> DataFrame:
+    """The strongest side from ``floor`` among supports and refutes, else the surest neutral; of equal ones the first by
+    ``order`` falling, then by position. ``neutral``: a column with every vote's neutral score, else only neutral votes have one."""
     sided = F.col("stance").isin("supports", "refutes") & (F.col("score") >= floor)
-    rank = F.struct(F.col("score"), -F.col("pos"))
-    side = F.max_by(F.struct("stance", "score", "pos"), F.when(sided, rank))
-    neutral = F.max_by(F.struct(F.lit("neutral").alias("stance"), "score", "pos"), F.when(F.col("stance") == "neutral", rank))
-    out = votes.groupBy(*keys).agg(F.when(F.count_if(sided) > 0, side).otherwise(neutral).alias("v"))
+    rank = lambda score: F.struct(score, *([F.col(order)] if order else []), -F.col("pos"))
+    side = F.max_by(F.struct("stance", "score", "pos"), F.when(sided, rank(F.col("score"))))
+    calm = F.when(F.col("stance") == "neutral", F.col("score")) if neutral is None else F.col(neutral)
+    none = F.max_by(F.struct(F.lit("neutral").alias("stance"), calm.alias("score"), "pos"), F.when(calm.isNotNull(), rank(calm)))
+    out = votes.groupBy(*keys).agg(F.when(F.count_if(sided) > 0, side).otherwise(none).alias("v"))
     return out.select(*keys, F.coalesce("v.stance", F.lit("neutral")).alias("stance"), F.coalesce("v.score", F.lit(0.0)).alias("score"), F.col("v.pos").alias("pos"))
 
 
@@ -65,5 +68,47 @@ def decided(evidence: DataFrame, votes: DataFrame | None) -> DataFrame:
     return df.withColumns({"method": method, "stance": stance, "stance_score": vectors.clamp(score), "misleading": ~away & (F.col("rating") == "misleading")}).drop("__s", "__v")
 
 
+def judged(evidence: DataFrame, claims: DataFrame, load=scoring.word_overlap, name: str = "words", floor: float = 0.3, k: int = 3, batch: int = 8, similarity=term_similarity) -> DataFrame:
+    """Every item with stance, stance_score, relevance, best_passage, method, misleading and note, from its text.
+
+    Items that passed the gate are cut into passages; of each, the ``k`` most similar to the claim at or above
+    ``floor`` are scored against it, all claims' together, in batches (``scoring.score_pairs``). The strongest side
+    decides (``strongest``); then a publisher's rating overrides all but the gate.
+
+    Methods: not_about, rating, nli, off_topic (a text, but no passage is similar), unavailable (no claim, no text, or
+    the model failed on every passage; ``note`` says which). Items of claims that are not in ``claims`` are neutral.
+    """
+    known = claims.select("claim_id", F.trim(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''").dropDuplicates(["claim_id"])
+    df = gated(evidence).join(known.select("claim_id", F.lit(True).alias("__claim")), "claim_id", "left")
+    ranks = ranked(passages(df.where("__claim")), known, floor, k, lambda a, b: F.round(F.greatest(similarity(a, b), F.lit(0.0)), 4))
+    asked = ranks.where("relevant").join(known.withColumnRenamed("text", "hypothesis"), "claim_id")
+    got = scoring.votes(scoring.score_pairs(asked.select("claim_id", "evidence_id", "pos", "similarity", F.col("passage").alias("premise"), "hypothesis"), load, name, ["claim_id", "evidence_id", "pos"], batch=batch))
+    keys = ["claim_id", "evidence_id"]
+    of = ranks.groupBy(*keys).agg(F.max("best").alias("__best"), F.min_by("passage", F.when(F.col("relevant"), F.col("rank"))).alias("__top"), F.count_if("relevant").alias("__relevant"))
+    cast = got.where("stance IS NOT NULL").withColumns({"pos": F.col("pos").cast("long"), "neutral": F.round(F.col("scores")["neutral"], 4)})
+    won = strongest(cast, keys, order="similarity", neutral="neutral").withColumnRenamed("pos", "__pos")
+    failed = got.groupBy(*keys).agg(F.min("error").alias("__error"))
+    used = got.select(*keys, F.col("pos").cast("long").alias("__pos"), F.col("similarity").alias("__used"), F.col("premise").alias("__read"))
+    model = of.join(failed, keys, "left").join(won.join(used, [*keys, "__pos"], "left").withColumnRenamed("stance", "__s").withColumnRenamed("score", "__v"), keys, "left").withColumnRenamed("evidence_id", "id")
+    df = df.join(model, ["claim_id", "id"], "left")
+    raw = text.rating_stance(F.coalesce("rating_raw", "rating"))
+    away, read = F.col("gate") == "not_about", F.col("__best").isNotNull()
+    own = F.when(~read, "unavailable").when(F.col("__relevant") == 0, "off_topic").when(F.col("__s").isNull(), "unavailable").otherwise("nli")
+    method = F.when(away, "not_about").when(raw.isNotNull(), "rating").otherwise(own)
+    sides = {"refute": "refutes", "support": "supports", "neutral": "neutral"}
+    rated = F.element_at(F.create_map(*[F.lit(x) for p in sides.items() for x in p]), raw)
+    stance = F.when(away, "neutral").when(raw.isNotNull(), rated).otherwise(F.coalesce("__s", F.lit("neutral")))
+    score = F.when(away, 0.0).when(raw == "neutral", 0.5).when(raw.isNotNull(), 1.0).otherwise(F.coalesce("__v", F.lit(0.0)))
+    none = F.lit(None).cast("string")
+    note = F.when(away, F.lit("rating withheld: about another claim")).when(F.col("__claim").isNull(), "claim has no text").when(~read, "no evidence text").when(F.col("__relevant") == 0, "no passage cleared the relevance cutoff").when(F.col("__s").isNull(), F.coalesce("__error", F.lit("model unavailable"))).otherwise(none)
+    misleading = ~away & F.coalesce((raw == "refute") & (F.col("__s") == "supports"), F.lit(False))
+    out = df.withColumns({
+        "method": method, "stance": stance, "stance_score": F.round(vectors.clamp(score), 4), "misleading": misleading, "note": note,
+        "relevance": F.when(away, 0.0).otherwise(F.round(vectors.clamp(F.coalesce("__used", "__best", F.lit(0.0))), 4)),
+        "best_passage": F.when(away, none).when(raw.isNotNull(), F.col("__top")).when(own == "nli", F.col("__read")).when(own == "unavailable", F.col("__top")),
+    })
+    return out.drop("__claim", "__best", "__top", "__relevant", "__error", "__pos", "__s", "__v", "__used", "__read")
+
+
 def report(stances: DataFrame) -> DataFrame:
     return stances.groupBy("method", "stance").agg(F.count("*").alias("n"), F.count_if(F.col("misleading")).alias("misleading"))

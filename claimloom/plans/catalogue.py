@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions import entities, ids, text, urls, vectors
+from claimloom.functions import ids, text, urls, vectors
 from claimloom.functions import vocab as V
-from claimloom.operators import agents, evaluation, graph, media, stance, verdict
+from claimloom.operators import agents, evaluation, graph, media, model_claims, stance, verdict
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
-from claimloom.plans import lifecycle
-from claimloom.sources import readers, sinks
+from claimloom.plans import evaluate, lifecycle
+from claimloom.sources import fanout, readers, sinks
 from claimloom.sources.folders import shared_folder
 from claimloom.streaming import ingest
 
@@ -91,13 +91,13 @@ def fold_spelling(spark, d):
 
 
 def entity_scan(spark, d):
-    s = _sentences(spark, d).withColumn("x", entities.extract(F.col("sentence"), TODAY))
-    return s.select("doc_id", F.explode("x.entities").alias("e")).groupBy("e.label", "e.id").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
+    s = C.with_spans(_sentences(spark, d), TODAY)
+    return s.select("doc_id", F.explode("entities").alias("e")).groupBy("e.label", "e.id").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"))
 
 
 def time_refs(spark, d):
-    s = _sentences(spark, d).withColumn("x", entities.extract(F.col("sentence"), TODAY))
-    return s.select("doc_id", F.explode("x.times").alias("t")).groupBy("t.kind", "t.text", "t.normalized").agg(F.count("*").alias("n"))
+    s = C.with_spans(_sentences(spark, d), TODAY)
+    return s.select("doc_id", F.explode("times").alias("t")).groupBy("t.kind", "t.text", "t.normalized").agg(F.count("*").alias("n"))
 
 
 def feature_flags(spark, d):
@@ -261,6 +261,15 @@ def stance_replace(spark, d):
     return graph.replaced_stances(_stance_log(spark, d)).select("claim_id", "evidence_id", "seq", "stance")
 
 
+def passage_stances(spark, d):
+    """Documents about benchmark items: their passages ranked, and scored against the item in batches."""
+    p = _pairs(spark, d)
+    none = lambda t="string": F.lit(None).cast(t)
+    evidence = p.select("claim_id", F.col("item_id").alias("id"), none().alias("title"), none().alias("snippet"), "text", none().alias("rating"), none().alias("rating_raw"), none().alias("about"))
+    judged = stance.judged(evidence, _t(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), "text"))
+    return judged.select("claim_id", "id", "stance", "stance_score", "method", "relevance", F.sha1(F.coalesce("best_passage", F.lit(""))).alias("best"))
+
+
 def stance_totals(spark, d):
     return verdict.totals(_stance_log(spark, d))
 
@@ -374,16 +383,55 @@ def _records(spark, d):
     )
 
 
+def _checked_corpus(spark, d):
+    """The benchmark as a corpus of rated fact-checks."""
+    k = F.col("item_id")
+    return _t(spark, d, "benchmark").select("item_id", "text", F.when(k % 3 == 0, "False").when(k % 3 == 1, "Misleading").otherwise("True").alias("rating_raw"), F.concat(F.lit("https://check.example.org/"), k.cast("string")).alias("url"), F.lit("Checkers").alias("publisher"))
+
+
+def _checkers(spark):
+    return spark.createDataFrame([("check.example.org", "factchecker")], "entry string, tier string")
+
+
+def _labelled_cases(spark, d):
+    """Labelled documents as cases. One that repeats a long sentence of a benchmark item should find that item, and get
+    its rating's verdict; any other is unverified. Those of good quality should have something to check."""
+    key = text.normalize(F.col("sentence"))
+    items = C.sentence_rows(_t(spark, d, "benchmark"), ["item_id"]).where("length(sentence) >= 40").select("item_id", key.alias("key"))
+    target = _sentences(spark, d).select("doc_id", key.alias("key")).join(items, "key").groupBy("doc_id").agg(F.min("item_id").alias("item"))
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").join(target, "doc_id", "left")
+    verdict_of = F.when(F.col("item") % 3 == 0, "false").when(F.col("item") % 3 == 1, "misleading").when(F.col("item") % 3 == 2, "true").otherwise("unverified")
+    expect = F.struct(verdict_of.alias("verdict"), (F.col("quality") == 1).alias("check_worthy"), F.col("item").cast("string").alias("retrieves"))
+    return rows.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("language"), F.col("source").alias("category"), expect.alias("expect"), F.col("item").isNotNull().alias("in_corpus"))
+
+
+def _engine_records(spark, d, modes=("claims", "retrieval", "full")):
+    """Records of the engine itself over the labelled documents, flags by patterns alone."""
+    sources = lifecycle.Sources(tables={"seed_index": lifecycle.seed_index(_checked_corpus(spark, d))})
+    return evaluate.run(_labelled_cases(spark, d), TODAY, sources, _checkers(spark), modes, plain=True, languages=("en", "fr", "de", "es"))[0]
+
+
+def evaluation_records(spark, d):
+    r = _engine_records(spark, d)
+    return r.select("id", "mode", "expected_verdict", "verdict", "confidence", "check_worthy", "n_claims", F.array_join("retrieved_seed_ids", ",").alias("retrieved"), F.size("stage_errors").alias("errors"))
+
+
+def evaluation_modes(spark, d):
+    """What each mode measures of the same cases."""
+    m = _engine_records(spark, d).groupBy("mode").agg(*evaluation.measures())
+    return m.select("mode", "n", "n_verdicts", "correct", "false_accusations", "missed", "abstained", "tp", "fp", "fn", "tn", "targeted", "hits", "untargeted", "strays")
+
+
 def confusion(spark, d):
-    return evaluation.confusion(_records(spark, d))
+    return evaluation.confusion(_engine_records(spark, d, ("full",)))
 
 
 def evaluation_summary(spark, d):
-    return evaluation.summary(_records(spark, d)).select("block", "value", "n", "correct", "false_accusations", "missed", "abstained", "tp", "fp", "fn", "tn", "targeted", "hits", "untargeted", "strays", F.round("f1", 6).alias("f1"))
+    return evaluation.summary(_engine_records(spark, d, ("full",))).select("block", "value", "n", "correct", "false_accusations", "missed", "abstained", "tp", "fp", "fn", "tn", "targeted", "hits", "untargeted", "strays", F.round("f1", 6).alias("f1"))
 
 
 def evaluation_gate(spark, d):
-    return evaluation.gate(evaluation.summary(_records(spark, d)), {"accuracy": 0.9}, {"false_accusations": 1_000_000}).select("passed", F.array_join("reasons", ";").alias("reasons"))
+    return evaluation.gate(evaluation.summary(_engine_records(spark, d, ("full",))), {"accuracy": 0.9}, {"false_accusations": 0}).select("passed", F.array_join("reasons", ";").alias("reasons"))
 
 
 def compare_runs(spark, d):
@@ -429,10 +477,48 @@ def stream_merge(spark, d):
 def check_messages(spark, d):
     """Users' turns as messages against the benchmark as a corpus of fact-checks."""
     packets = readers.text_packets(_t(spark, d, "conversations").where("role = 'user'")).dropDuplicates(["packet_id"])
-    k = F.col("item_id")
-    corpus = _t(spark, d, "benchmark").select("item_id", "text", F.when(k % 3 == 0, "False").when(k % 3 == 1, "Misleading").otherwise("True").alias("rating_raw"), F.concat(F.lit("https://check.example.org/"), k.cast("string")).alias("url"), F.lit("Checkers").alias("publisher"))
-    tiers = spark.createDataFrame([("check.example.org", "factchecker")], "entry string, tier string")
-    return lifecycle.check(packets, corpus, tiers, TODAY)[1].select("packet_id", "label", F.round("confidence", 4).alias("confidence"), "n_claims")
+    return lifecycle.check(packets, _checked_corpus(spark, d), _checkers(spark), TODAY)[1].select("packet_id", "label", F.round("confidence", 4).alias("confidence"), "n_claims")
+
+
+def first_words(asked: list[dict]) -> list[dict]:
+    """A source that has a page for every text."""
+    return [{"claim_id": q["claim_id"], "url": f"https://web.example.org/{len(q['text'])}", "title": q["text"][:40], "snippet": q["text"]} for q in asked]
+
+
+def short_only(asked: list[dict]) -> list[dict]:
+    """A source that fails on a batch with a text beyond 400 characters."""
+    if any(len(q["text"]) > 400 for q in asked):
+        raise ValueError("a text is too long")
+    return [{"claim_id": q["claim_id"], "url": "https://check.example.org/none", "title": "reviewed", "rating_raw": "False"} for q in asked]
+
+
+def source_fanout(spark, d):
+    """Users' turns asked of three sources, one of which fails on some batches: what each claim got of each."""
+    t = _t(spark, d, "conversations").where("role = 'user' AND trim(text) <> ''").select(F.concat_ws("-", "conv_id", "turn").alias("claim_id"), "text")
+    corpus = _checked_corpus(spark, d)
+    found, failed = fanout.collect(t, t.withColumn("rank", F.lit(1)), {"web": first_words, "factcheck": short_only}, {"seed_index": lifecycle.seed_index(corpus)}, batch=16, tries=2)
+    a = found.groupBy("source", "claim_id").agg(F.count("*").alias("candidates"), F.lit(0).alias("tries"))
+    b = failed.select("source", F.explode("claim_ids").alias("claim_id"), F.lit(0).cast("long").alias("candidates"), "tries")
+    return a.unionByName(b)
+
+
+def model_claim_rows(spark, d):
+    """Events as a language model's answers: whole, cut off, with numbers for text, and with fields of other kinds."""
+    t, v = F.col("event_type"), F.col("value").cast("string")
+    k = F.get_json_object("props", "$.k")
+    claim = lambda *fields: F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    text_ = F.concat(F.lit('"text":" '), t, F.lit(" of "), v, F.lit(' "'))
+    entity = F.concat(F.lit('"entities":[{"text":" '), v, F.lit('","label":"NUMBER"},{"text":"x","label":"ANIMAL"},{"text":" ","label":"ORG"},7]'))
+    answer = lambda *claims: F.concat(F.lit('{"claims":['), F.concat_ws(",", *claims), F.lit("]}"))
+    a = (
+        F.when(t == "view", answer(claim(text_, F.concat(F.lit('"confidence":'), k, F.lit("e-1")), F.lit('"claim_type":"event"')), claim(text_, F.lit('"confidence":true'))))
+        .when(t == "click", answer(claim(text_, F.concat(F.lit('"confidence":"0.'), k, F.lit('"')), F.lit('"claim_type":"click"'), entity)))
+        .when(t == "error", F.lit('{"claims":[{"text":"cut off'))
+        .when(t == "purchase", answer(claim(F.concat(F.lit('"text":'), v)), F.lit("null"), claim(text_, F.lit('"confidence":[1]'), F.lit('"claim_type":"money"'), F.lit('"attributed_to":"shop","time":""'), entity)))
+        .otherwise(answer(claim(F.lit('"text":"  "'))))
+    )
+    rows = _t(spark, d, "events").select("event_id", F.posexplode(model_claims.claims_of(a)).alias("n", "c"))
+    return rows.select("event_id", "n", "c.text", "c.claim_type", "c.confidence", "c.attributed_to", F.col("c.time").alias("said"), F.array_join(F.transform("c.entities", lambda e: F.concat(e["label"], F.lit(":"), e["text"])), ";").alias("entities"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -440,4 +526,5 @@ QUERIES = {f.__name__: f for f in (
     priority_topk, claim_dedupe, canonical_url, source_tier, page_dedupe, page_text, message_route, query_build, claim_overlap_topk, aboutness, decisive_flag, candidate_rank_cap, ratings, cosine_topk,
     image_index_match, best_spelling_max, keyframe_dedupe, shares_entity, node_upsert, graph_round_trip, stance_replace, stance_totals, passage_vote, evidence_order, duplicate_links, oldest_matches, message_limit, image_urls, stance_aliases, open_claims, escalation, claim_verdict, packet_verdict,
     recycled_images, date_mismatch, timeline, confusion, evaluation_summary, evaluation_gate, compare_runs, chat_reply, request_check, event_tumbling, event_sliding, event_sessions, stream_merge, check_messages,
+    evaluation_records, evaluation_modes, passage_stances, source_fanout, model_claim_rows,
 )}

@@ -125,7 +125,7 @@ _RECORDS = f"""{_SCORED}, wd AS (SELECT doc_id, lang, source, bool_or(check_wort
 rec AS (SELECT doc_id, lang AS language, source AS category, {_NAMES}[(k % 5 + 1)::INT] AS verdict, {_NAMES}[(doc_id % 5 + 1)::INT] AS expected_verdict, w AS check_worthy, quality = 1 AS expected, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS target,
   CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN []::BIGINT[] ELSE [(doc_id // 2) * 2] END END AS got, doc_id % 3 = 0 AS in_corpus FROM labels JOIN wd USING (doc_id))"""
 _ACC = "('false', 'misleading')"
-_MEASURES = f"""count(*) AS n, count_if(verdict = expected_verdict)::BIGINT AS correct, count_if(expected_verdict NOT IN {_ACC} AND verdict IN {_ACC})::BIGINT AS false_accusations, count_if(expected_verdict IN {_ACC} AND verdict NOT IN {_ACC})::BIGINT AS missed,
+_MEASURES = f"""count(*) AS n, count_if(coalesce(verdict = expected_verdict, false))::BIGINT AS correct, count_if(expected_verdict NOT IN {_ACC} AND verdict IN {_ACC})::BIGINT AS false_accusations, count_if(expected_verdict IN {_ACC} AND verdict NOT IN {_ACC})::BIGINT AS missed,
   count_if(verdict = 'unverified' AND expected_verdict <> 'unverified')::BIGINT AS abstained, count_if(check_worthy AND expected)::BIGINT AS tp, count_if(check_worthy AND NOT expected)::BIGINT AS fp, count_if(NOT check_worthy AND expected)::BIGINT AS fn, count_if(NOT check_worthy AND NOT expected)::BIGINT AS tn,
   count_if(got IS NOT NULL AND target IS NOT NULL)::BIGINT AS targeted, count_if(coalesce(list_contains(got, target), false))::BIGINT AS hits, count_if(got IS NOT NULL AND target IS NULL)::BIGINT AS untargeted, count_if(coalesce(len(got) > 0, false) AND target IS NULL)::BIGINT AS strays"""
 
@@ -170,6 +170,57 @@ _HINDI_OF = "CASE claim_type " + " ".join(f"WHEN {q(k)} THEN {q(v[2])}" for k, v
 _SITES_OF = "CASE claim_type " + " ".join(f"WHEN {q(k)} THEN {q(' '.join(dict.fromkeys(s for g in v[1] for s in V.SITES[g])))}" for k, v in V.ROUTES.items()) + " END"
 _QUERY_TERMS = "list_transform(list_filter(list_zip(t8, range(1, len(t8) + 1)), lambda z: list_position(list_transform(t8, lambda y: lower(y)), lower(z[1])) = z[2]), lambda z: z[1])"
 
+
+def _sentences_of(table: str, keys: str, name: str, where: str = "true") -> str:
+    """Sentences of a table with their places, as ``name``."""
+    return f"""{name} AS (SELECT {keys}, n, sentence FROM (SELECT {keys}, generate_subscripts(l, 1) - 1 AS n, {fill(_SQUEEZE, "unnest(l)")} AS sentence FROM
+  (SELECT {keys}, {_pieces(fill(_CLEAN, "text"))} AS l FROM {table} WHERE {where})) WHERE sentence <> '')"""
+
+
+_SET_OF = f"list_distinct(list_filter(string_split({fill(_NORM, 'sentence')}, ' '), lambda x: x <> ''))"
+
+
+def _survivors(source: str, key: str, order: str) -> str:
+    """Greedy near-duplicate removal of ``source`` (confidence, check_worthy), one sentence of each key after another, as ``kept``."""
+    like = "len(list_intersect(k.t, r.t)) > 0 AND len(list_intersect(k.t, r.t))::DOUBLE / len(list_distinct(list_concat(k.t, r.t))) >= 0.8"
+    first = f"list_position(list_transform(f.kept, lambda k: {like}), true)"
+    grown = "list_append(f.kept, {'id': r.id, 't': r.t, 'c': r.confidence, 'w': r.check_worthy})"
+    raised = f"list_transform(f.kept, lambda k, i: CASE WHEN i = {first} AND r.confidence > k.c THEN {{'id': k.id, 't': k.t, 'c': r.confidence, 'w': r.check_worthy}} ELSE k END)"
+    return f"""rowed AS (SELECT *, {_SET_OF} AS t, row_number() OVER (ORDER BY {key}, {order}) AS id, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS step FROM {source}),
+folded AS (SELECT {key}, step, [{{'id': id, 't': t, 'c': confidence, 'w': check_worthy}}] AS kept FROM rowed WHERE step = 1
+  UNION ALL SELECT f.{key}, r.step, CASE WHEN {first} IS NULL OR {first} = 0 THEN {grown} ELSE {raised} END FROM folded f JOIN rowed r ON r.{key} = f.{key} AND r.step = f.step + 1),
+kept AS (SELECT rowed.* EXCLUDE (confidence, check_worthy, t, step), k.c AS confidence, k.w AS check_worthy FROM
+  (SELECT unnest(kept) AS k FROM folded QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY step DESC) = 1) JOIN rowed ON rowed.id = k.id)"""
+
+
+_CASE_TEXTS = """cs AS (SELECT d.doc_id, lang, source, quality, coalesce(text, '') AS text, 'pkt_' || left(sha1('text|' || left(coalesce(text, ''), 500) || '|0'), 12) AS packet_id FROM labels JOIN documents d USING (doc_id)),
+ps AS (SELECT packet_id, any_value(text) AS text, any_value(lang) AS lang, any_value(source) AS source FROM cs WHERE text <> '' GROUP BY packet_id)"""
+_BENCH_SENT = _sentences_of("benchmark", "item_id", "bs")
+_TARGETS = f"""tg AS (SELECT doc_id, min(item_id) AS item FROM sent JOIN bs ON {fill(_NORM, 'sent.sentence')} = {fill(_NORM, 'bs.sentence')} WHERE length(bs.sentence) >= 40 GROUP BY doc_id)"""
+_ITEMS = f"""it AS (SELECT item_id, text AS item_text, {_overlap_words('text')} AS iw, {_terms('text')} AS it_terms, CASE item_id % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'misleading' ELSE 'true' END AS rating FROM benchmark)"""
+_ENGINE = f"""{_SENT}, {_BENCH_SENT}, {_TARGETS}, {_CASE_TEXTS}, {_ITEMS},
+{_sentences_of("ps", "packet_id", "es")}, ef AS (SELECT *, {_FLAGS}, {fill(_TOKENS, 'sentence')} AS tokens FROM es),
+sc AS (SELECT packet_id, n, sentence, p / 1000.0::DOUBLE AS confidence, p >= {V.WORTHY} AS check_worthy FROM (SELECT *, {_points()} AS p FROM ef)),
+{_survivors("sc", "packet_id", "n")},
+cm AS (SELECT DISTINCT packet_id, 'clm_' || left(sha1(packet_id || '|' || {fill(_NORM, 'sentence')}), 12) AS claim_id, sentence, confidence FROM kept WHERE check_worthy),
+cw AS (SELECT *, {_overlap_words('sentence')} AS w, {_terms('sentence')} AS terms FROM cm),
+hits AS (SELECT claim_id, packet_id, sentence, terms, item_id, it_terms, item_text, rating, len(list_intersect(w, iw))::DOUBLE / len(w) AS o FROM cw, it WHERE len(w) > 0 AND len(list_intersect(w, iw))::DOUBLE / len(w) >= 0.3),
+ev AS (SELECT *, 'ev_' || left(sha1(claim_id || '|seed_index|https://check.example.org/' || item_id), 12) AS id, CASE WHEN {fill(_SCRIPT, 'sentence')} <> {fill(_SCRIPT, 'item_text')} OR least(len(terms), len(it_terms)) < {V.ABOUT_LEAST_TERMS} THEN 'unclear'
+  WHEN len(list_intersect(terms, it_terms))::DOUBLE / least(len(terms), len(it_terms)) >= {V.ABOUT_FLOOR} THEN 'about' ELSE 'not_about' END AS about FROM hits QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY o DESC, item_id::VARCHAR::BIGINT) <= 3),
+st AS (SELECT claim_id, sum(CASE WHEN about <> 'not_about' AND rating <> 'true' THEN 1 ELSE 0 END) AS r, sum(CASE WHEN about <> 'not_about' AND rating = 'true' THEN 1 ELSE 0 END) AS s,
+  arg_max(rating, id) FILTER (WHERE about <> 'not_about' AND rating <> 'true' AND o >= {V.DECISIVE_OVERLAP}) AS hit FROM ev GROUP BY claim_id),
+vc AS (SELECT packet_id, claim_id, coalesce(r, 0) AS r, coalesce(s, 0) AS s, hit FROM cm LEFT JOIN st USING (claim_id)),
+vl AS (SELECT packet_id, claim_id, CASE WHEN hit IS NOT NULL THEN hit WHEN r >= 0.5 AND r >= 2 * s THEN 'false' WHEN s >= 0.5 AND s >= 2 * r THEN 'true' WHEN s > 0 AND r > 0 THEN 'disputed' ELSE 'unverified' END AS label,
+  CASE WHEN hit IS NOT NULL THEN 0.9 WHEN r >= 0.5 AND r >= 2 * s THEN least(0.85, 0.5 + r / 4.0) WHEN s >= 0.5 AND s >= 2 * r THEN least(0.85, 0.5 + s / 4.0) WHEN s > 0 AND r > 0 THEN 0.4 ELSE 0.2 END::DOUBLE AS c FROM vc),
+vp AS (SELECT packet_id, arg_min({{'l': label, 'c': c}}, {{'a': {_SEV}, 'b': -c, 'i': claim_id}}) AS w, count(*) AS n_claims FROM vl GROUP BY packet_id),
+vr AS (SELECT packet_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS got FROM ev GROUP BY packet_id),
+er AS (SELECT cs.doc_id, lang AS language, source AS category, CASE item % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'misleading' WHEN 2 THEN 'true' ELSE 'unverified' END AS expected_verdict, coalesce(w.l, 'unverified') AS verdict, coalesce(w.c, 0.2) AS confidence,
+  coalesce(n_claims, 0) AS n_claims, coalesce(n_claims, 0) > 0 AS check_worthy, quality = 1 AS expected, item::VARCHAR AS target, coalesce(got, []::VARCHAR[]) AS got, item IS NOT NULL AS in_corpus, text <> '' AS ran
+  FROM cs LEFT JOIN tg USING (doc_id) LEFT JOIN vp USING (packet_id) LEFT JOIN vr USING (packet_id))"""
+_ENGINE_MODES = f"""{_ENGINE}, mr AS (SELECT doc_id, mode, expected_verdict, CASE WHEN mode = 'full' AND ran THEN verdict END AS verdict, CASE WHEN mode = 'full' AND ran THEN round(confidence, 4) END AS confidence, CASE WHEN ran THEN check_worthy END AS check_worthy,
+  CASE WHEN ran THEN n_claims END AS n_claims, expected, target, CASE WHEN mode <> 'claims' AND ran THEN got END AS got, (NOT ran)::INT AS errors FROM er, unnest(['claims', 'retrieval', 'full']) AS m(mode))"""
+
+
 SQL: dict[str, str] = {
     "clean_text": f"SELECT doc_id, length(t)::INT AS n, sha1(t) AS digest FROM (SELECT doc_id, {fill(_CLEAN, 'text')} AS t FROM documents)",
     "sentences": f"WITH {_SENT} SELECT doc_id, sentence FROM sent",
@@ -248,10 +299,13 @@ SELECT image_id, claimed, first_seen, date_diff('day', first_seen, claimed)::INT
     "timeline": """WITH u AS (SELECT o_orderkey AS p, o_orderdate::DATE AS d, 'claimed' AS type, 'claim' AS node FROM orders UNION SELECT l_orderkey, l_shipdate::DATE, 'published', l_linenumber::VARCHAR FROM lineitem
   UNION SELECT l_orderkey, min(l_shipdate)::DATE, 'first_seen', 'image' FROM lineitem GROUP BY 1 UNION SELECT o_orderkey, o_orderdate::DATE, 'message', 'packet' FROM orders)
 SELECT p AS packet_id, strftime(d, '%Y-%m-%d') AS day, type, node, strftime(d, '%Y-%m-%d') AS label FROM u""",
-    "confusion": f"WITH {_RECORDS} SELECT expected_verdict, verdict, count(*) AS n FROM rec GROUP BY ALL",
-    "evaluation_summary": f"""WITH {_RECORDS}, u AS (SELECT 'overall' AS block, NULL::VARCHAR AS value, * FROM rec UNION ALL SELECT 'in_corpus', in_corpus::VARCHAR, * FROM rec UNION ALL SELECT 'language', language, * FROM rec UNION ALL SELECT 'category', category, * FROM rec),
+    "confusion": f"WITH RECURSIVE {_ENGINE} SELECT expected_verdict, verdict, count(*) AS n FROM er WHERE ran GROUP BY ALL",
+    "evaluation_records": f"WITH RECURSIVE {_ENGINE_MODES} SELECT doc_id::VARCHAR AS id, mode, expected_verdict, verdict, confidence, check_worthy, n_claims, array_to_string(got, ',') AS retrieved, errors FROM mr",
+    "evaluation_modes": f"WITH RECURSIVE {_ENGINE_MODES} SELECT mode, {_MEASURES}, count(verdict) AS n_verdicts FROM mr GROUP BY mode",
+    "evaluation_summary": f"""WITH RECURSIVE {_ENGINE}, rec AS (SELECT * FROM er), u AS (SELECT 'overall' AS block, NULL::VARCHAR AS value, * FROM rec UNION ALL SELECT 'in_corpus', in_corpus::VARCHAR, * FROM rec UNION ALL SELECT 'language', language, * FROM rec UNION ALL SELECT 'category', category, * FROM rec),
 m AS (SELECT block, value, {_MEASURES} FROM u GROUP BY block, value) SELECT *, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM m""",
-    "evaluation_gate": f"WITH {_RECORDS} SELECT count_if(verdict = expected_verdict)::DOUBLE / count(*) >= 0.9 AS passed, CASE WHEN count_if(verdict = expected_verdict)::DOUBLE / count(*) < 0.9 THEN 'accuracy is below 0.9' ELSE '' END AS reasons FROM rec",
+    "evaluation_gate": f"""WITH RECURSIVE {_ENGINE}, g AS (SELECT count_if(verdict = expected_verdict)::DOUBLE / count(*) AS a, count_if(expected_verdict NOT IN {_ACC} AND verdict IN {_ACC}) AS f FROM er)
+SELECT a >= 0.9 AND f = 0 AS passed, concat_ws(';', CASE WHEN a < 0.9 THEN 'accuracy is below 0.9' END, CASE WHEN f > 0 THEN 'false_accusations is above 0' END) AS reasons FROM g""",
     "compare_runs": f"""WITH {_RECORDS}, b AS (SELECT verdict = expected_verdict AS was, CASE WHEN doc_id % 2 = 0 THEN expected_verdict ELSE verdict END AS after, * FROM rec)
 SELECT CASE WHEN NOT was AND after = expected_verdict THEN 'better' WHEN was AND after <> expected_verdict THEN 'worse' WHEN verdict <> after THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM b GROUP BY 1""",
     "chat_reply": f"WITH r AS (SELECT conv_id, turn, {_reply()} AS f FROM conversations) SELECT conv_id, turn, CASE WHEN length(f) > 900 THEN {_truncated('f', 900)} || ' ...' ELSE f END AS reply FROM r",
@@ -261,4 +315,33 @@ SELECT CASE WHEN NOT was AND after = expected_verdict THEN 'better' WHEN was AND
     "event_sessions": """WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 6 HOUR, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM k GROUP BY user_id, s""",
     "stream_merge": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
+    "claim_dedupe": f"""WITH RECURSIVE {_sentences_of("conversations", "conv_id, turn", "cs")}, cf AS (SELECT *, {_FLAGS}, {fill(_TOKENS, 'sentence')} AS tokens FROM cs),
+sc AS (SELECT conv_id, turn, n, sentence, p / 1000.0::DOUBLE AS confidence, p >= {V.WORTHY} AS check_worthy FROM (SELECT *, {_points()} AS p FROM cf)), {_survivors("sc", "conv_id", "turn, n")}
+SELECT conv_id, turn, n::INT AS n, sentence, confidence FROM kept""",
+    "source_fanout": f"""WITH q AS (SELECT conv_id || '-' || turn AS claim_id, text, {_overlap_words("text")} AS w FROM conversations WHERE role = 'user' AND trim(text) <> ''),
+b AS (SELECT *, ('0x' || left(md5(claim_id), 8))::BIGINT % (SELECT ceil(count(*) / 16.0)::BIGINT FROM q) AS batch FROM q), bad AS (SELECT batch FROM b GROUP BY batch HAVING max(length(text)) > 400),
+s AS (SELECT claim_id, item_id FROM b, (SELECT item_id, {_overlap_words("text")} AS i FROM benchmark) WHERE len(w) > 0 AND len(list_intersect(w, i))::DOUBLE / len(w) >= 0.3 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY len(list_intersect(w, i))::DOUBLE / len(w) DESC, item_id) <= 3)
+SELECT 'web' AS source, claim_id, 1::BIGINT AS candidates, 0 AS tries FROM b UNION ALL SELECT 'factcheck', claim_id, CASE WHEN batch IN (FROM bad) THEN 0 ELSE 1 END, CASE WHEN batch IN (FROM bad) THEN 2 ELSE 0 END FROM b
+UNION ALL SELECT 'seed_index', claim_id, count(*), 0 FROM s GROUP BY claim_id""",
+    "passage_stances": f"""WITH {_ABOUT}, pp AS (SELECT claim_id, item_id, claim, flatten(list_transform({_pieces(fill(_CLEAN, "text"))}, lambda x: {_LONG})) AS l FROM about),
+pg AS (SELECT *, len(l) AS n, ceil(len(l) / 3.0)::INT AS k, CASE WHEN len(l) > 3 AND len(l) % 3 = 1 THEN 1 ELSE 0 END AS lack FROM pp WHERE len(l) > 0),
+pr AS (SELECT *, unnest(range(0, k)) AS i FROM pg),
+px AS (SELECT claim_id, item_id, claim, i AS pos, array_to_string(l[(i * 3 - CASE WHEN i = k - 1 THEN lack ELSE 0 END + 1):(CASE WHEN i = k - 2 THEN (i + 1) * 3 - lack WHEN i = k - 1 THEN n ELSE (i + 1) * 3 END)], ' ') AS passage FROM pr),
+pt AS (SELECT *, {_terms("claim")} AS a, {_terms("passage")} AS b FROM px),
+pm AS (SELECT *, coalesce(round(len(list_intersect(a, b)) / nullif(sqrt((len(a) * len(b))::DOUBLE), 0), 4), 0.0) AS sim FROM pt),
+rk AS (SELECT *, row_number() OVER (PARTITION BY claim_id, item_id ORDER BY sim DESC, pos) AS rank, max(sim) OVER (PARTITION BY claim_id, item_id) AS best FROM pm),
+wd AS (SELECT *, list_distinct(regexp_extract_all(lower(passage), '[a-z]+')) AS p, list_distinct(regexp_extract_all(lower(claim), '[a-z]+')) AS h FROM rk WHERE sim >= 0.3 AND rank <= 3),
+wc AS (SELECT *, len(list_intersect(p, h)) AS both_, len(p) - len(list_intersect(p, h)) AS rest, len(h) - len(list_intersect(p, h)) AS lack, greatest(1, len(list_distinct(list_concat(p, h)))) AS u FROM wd),
+wv AS (SELECT *, round(both_::DOUBLE / u, 4) AS s, round(rest::DOUBLE / u, 4) AS nn, round(lack::DOUBLE / u, 4) AS r, CASE WHEN both_ >= rest AND both_ >= lack THEN 'supports' WHEN rest >= lack THEN 'neutral' ELSE 'refutes' END AS v FROM wc),
+wn AS (SELECT claim_id, item_id, arg_max({{'v': v, 's': greatest(s, r), 'sim': sim, 'p': passage}}, {{'a': greatest(s, r), 'b': sim, 'c': -pos}}) FILTER (v <> 'neutral' AND greatest(s, r) >= 0.5) AS side,
+  arg_max({{'v': 'neutral', 's': nn, 'sim': sim, 'p': passage}}, {{'a': nn, 'b': sim, 'c': -pos}}) AS calm FROM wv GROUP BY ALL),
+bb AS (SELECT claim_id, item_id, max(best) AS best FROM rk GROUP BY ALL)
+SELECT claim_id, item_id AS id, coalesce(side.v, calm.v, 'neutral') AS stance, coalesce(side.s, calm.s, 0.0) AS stance_score, CASE WHEN best IS NULL THEN 'unavailable' WHEN calm IS NULL THEN 'off_topic' ELSE 'nli' END AS method,
+  coalesce(side.sim, calm.sim, best, 0.0) AS relevance, sha1(coalesce(side.p, calm.p, '')) AS best FROM about LEFT JOIN bb USING (claim_id, item_id) LEFT JOIN wn USING (claim_id, item_id)""",
+    "model_claim_rows": """WITH e AS (SELECT event_id, event_type AS t, value::VARCHAR AS v, json_extract_string(props, '$.k') AS k FROM events),
+c AS (SELECT event_id, 0 AS n, t || ' of ' || v AS text, 'event' AS claim_type, least(1.0, (k || 'e-1')::DOUBLE) AS confidence, NULL AS attributed_to, '' AS entities FROM e WHERE t = 'view'
+  UNION ALL SELECT event_id, 1, t || ' of ' || v, 'generic', 1.0, NULL, '' FROM e WHERE t = 'view'
+  UNION ALL SELECT event_id, 0, t || ' of ' || v, 'generic', ('0.' || k)::DOUBLE, NULL, 'NUMBER:' || v FROM e WHERE t = 'click'
+  UNION ALL SELECT event_id, 0, t || ' of ' || v, 'money', 0.5, 'shop', 'NUMBER:' || v FROM e WHERE t = 'purchase')
+SELECT event_id, n, text, claim_type, confidence, attributed_to, NULL::VARCHAR AS said, entities FROM c""",
 }

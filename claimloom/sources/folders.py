@@ -14,3 +14,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or tempfile.mkdtemp(prefix="claimloom-")
+
+
+def checkpointing(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder, unless the session has one for them."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

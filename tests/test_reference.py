@@ -5,12 +5,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.functions import entities, ids, text, urls, vectors
+from claimloom.functions import entities, ids, spans, text, urls, vectors
 from claimloom.operators import agents, evaluation, graph, media, stance, verdict
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
 from claimloom.sources import readers, sinks
 
+from tests import plain_entities
+
 DAY = dt.date(2024, 3, 10)
 
 
@@ -51,28 +53,73 @@ def test_language_and_scripts(spark):
         assert one(spark, text.fold_spelling(F.col("w")), w=w) == text.Lexicon.fold(w)
 
 
-def test_entities_by_precedence():
-    found = {e[2]: (e[1], e[3]) for e in entities.entities_of("Send Rs 5,000 to help@paytm or 9876543210 by 5 May 2024, 12% off at www.x.in #Free says Reserve Bank", DAY)}
+SENTENCES = [
+    "Send Rs 5,000 to help@paytm or 9876543210 by 5 May 2024, 12% off at www.x.in #Free says Reserve Bank", "2 lakh crore and ₹2 lakh, $3 million, 5k, 10 cr, 10 crores, € 12.50, USD 7 billion", "Kal shaam ko ghar", "Modi announces it",
+    "Dr Anil Rao of Delhi", "The Reserve Bank of India and the SBI met Mr Das in New Delhi", "Massive earthquake in Nepal; Massive!", "RBI says 3.5 percent growth on 12/05/2023, 12-5-23, 2023-05-12, May 2023, 5 May, May 5th, June 3, 2020 and sept 2020, Sept 2020",
+    "yesterday 3 days ago 2 months ago 5 years ago 99999999 years ago today tonight last week next month recently daily every monday", "x5 5.5.5 a.5 5a 1,000 1,000.50 million 7 8 9", "http://A.b/c?d www.foo.com, HTTPS://X.Y",
+    "call +91 9876543210 or 09876543210 or 98765432101", "me@upi you@ybl a.b-c@okaxis z@gmail.com", "Prime Minister Modi said. President Biden", "Namak: lekar aana", "note: Forward this", "हिंदी #हिंदी में 5 लाख", "Apple's Tim O'Brien-Smith visited",
+    "31 Feb 2024 and 2021", "Rs.5 Rs 5 INR5 5 rupees 5 rupaye", "1st January 2024, 22nd of March", "May will come. 1 May", "The. A An", "to The Who", "", " ", "Delhi", "Delhi is hot", "USA", "Ok Google. Hey Google", "Running shoes. Running", "Walks fast", "Paris he walks", None,
+]
+
+
+def test_spans_equal_plain_rules(spark):
+    """Column expressions against the rules in plain Python, on hard sentences and on all of the smallest table."""
+    hand = spark.createDataFrame([(s,) for s in SENTENCES], "sentence string")
+    docs = C.sentence_rows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), ["doc_id"]).select("sentence")
+    for r in C.with_spans(hand.unionByName(docs), DAY).select("sentence", "entities", "times").toLocalIterator():
+        want = plain_entities.entities_of(r["sentence"] or "", DAY)
+        assert [tuple(x) for x in r["entities"]] == want, r["sentence"]
+        assert [tuple(x) for x in r["times"]] == plain_entities.times_of(r["sentence"] or "", DAY, want), r["sentence"]
+
+
+def test_entities_by_precedence(spark):
+    found = {e["label"]: (e["text"], e["normalized"]) for e in one(spark, entities.entities(F.col("t"), DAY), t=SENTENCES[0])}
     assert found["MONEY"] == ("Rs 5,000", "INR 5000") and found["UPI"][1] == "help@paytm" and found["PHONE"][1] == "9876543210"
     assert found["DATE"][1] == "2024-05-05" and found["PERCENT"][1] == "12%" and found["URL"][1] == "www.x.in" and found["HASHTAG"][1] == "#free" and found["ORG"][0] == "Reserve Bank"
-    assert entities.money("2 lakh crore") == "INR 20000000" and entities.money("₹2 lakh") == "INR 200000"
-    assert entities.money("$3 million") == "USD 3000000" and entities.money("5k") == "INR 5000" and entities.money("10 cr") == "INR 100000000"
-    labels = lambda s: [(e[1], e[2]) for e in entities.entities_of(s, DAY)]
+    money = lambda t: one(spark, entities.money(F.col("t")), t=t)
+    assert money("2 lakh crore") == "INR 20000000" and money("₹2 lakh") == "INR 200000" and money("no amount") is None and money("₹५०० लाख") == "INR 500"
+    assert money("$3 million") == "USD 3000000" and money("5k") == "INR 5000" and money("10 cr") == "INR 100000000"
+    labels = lambda s: [(e["text"], e["label"]) for e in one(spark, entities.entities(F.col("t"), DAY), t=s)]
     assert labels("Kal shaam ko ghar") == [] and labels("Modi announces it") == [("Modi", "PROPER")] and labels("Dr Anil Rao of Delhi")[0][1] in ("PERSON", "GPE")
-    merged = entities.merge([("a", "Foo", "PROPER", "foo", 0, 3), ("b", "5%", "PERCENT", "5%", 4, 6)], [("c", "Foo", "ORG", "foo", 0, 3), ("d", "x", "ORG", "x", 5, 6)])
-    assert [(e[0], e[2]) for e in merged] == [("c", "ORG"), ("b", "PERCENT")]
-    assert entities.anchored("He met RAO today", [("rao", "PERSON"), ("gone", "ORG")])[0][1] == "RAO"
+    assert labels("₹५,००० दिए") == [("₹५,०००", "MONEY")]
+
+
+def test_model_spans(spark):
+    """A tagger's spans fill what patterns leave, and win over names by capitals; a language model's are put where the sentence has them."""
+    s = "Foo paid 5% to bar in Old Town"
+    hits = "array<struct<entity_group:string,score:double,start:int,end:int>>"
+    df = spark.createDataFrame([(s, [("ORG", 0.9, 0, 3), ("LOC", 0.9, 8, 12), ("PER", 0.59, 15, 18), ("MISC", 0.6, 14, 18), ("DATE", 0.9, 4, 8), ("PER", 0.9, 4, 5), ("PER", 0.9, 26, 30)]), (s, None), (None, [])], f"s string, h {hits}")
+    rows = df.select(entities.model_entities(F.col("s"), F.col("h")).alias("m"), entities.entities(F.col("s"), DAY, entities.model_entities(F.col("s"), F.col("h"))).alias("e")).collect()
+    assert [(e["text"], e["label"], e["start"], e["end"]) for e in rows[0]["m"]] == [("Foo", "ORG", 0, 3), ("5% t", "GPE", 8, 12), ("bar", "PROPER", 14, 17), ("Town", "PERSON", 26, 30)]
+    assert [(e["text"], e["label"]) for e in rows[0]["e"]] == [("Foo", "ORG"), ("5%", "PERCENT"), ("bar", "PROPER"), ("Town", "PERSON")]
+    assert rows[1]["m"] == [] and [(e["text"], e["label"]) for e in rows[1]["e"]] == [("5%", "PERCENT"), ("Old Town", "PERSON")] and rows[2]["e"] == []
+    named = "array<struct<text:string,label:string>>"
+    df = spark.createDataFrame([("He met RAO today", [("rao", "PERSON"), ("gone", "ORG"), ("", "ORG"), (None, "ORG")])], f"s string, n {named}")
+    assert [(e["text"], e["normalized"], e["start"], e["end"]) for e in df.select(entities.anchored(F.col("s"), F.col("n")).alias("x")).first()["x"]] == [("RAO", "rao", 7, 10)]
+    both = df.select(entities.merged(F.array(entities._entity("ORG", F.lit("met RAO"), F.lit(None).cast("string"), F.lit(3), F.lit(10))), entities.anchored(F.col("s"), F.col("n"))).alias("x")).first()["x"]
+    assert [e["label"] for e in both] == ["ORG"]
+
+
+def test_matches_and_overlaps(spark):
+    got = one(spark, spans.matches(F.col("t"), "[0-9]+"), t="12 a3\ue0004 ५5")
+    assert [(m["text"], m["start"], m["end"]) for m in got] == [("12", 0, 2), ("3", 4, 5), ("4", 6, 7), ("५5", 8, 10)]
+    assert one(spark, spans.matches(F.col("t"), "x"), t=None) == [] == one(spark, spans.matches(F.col("t"), "x"), t="")
+    at = F.expr("from_json(t, 'array<struct<start:int,end:int>>')")
+    kept = one(spark, spans.resolved(at, "struct<start:int,end:int>"), t='[{"start":5,"end":9},{"start":0,"end":6},{"start":0,"end":5},{"start":9,"end":9},{"start":6,"end":7}]')
+    assert [(k["start"], k["end"]) for k in kept] == [(0, 5), (5, 9), (9, 9)]
 
 
 @pytest.mark.parametrize("given,want", [("1st January 2024", "2024-01-01"), ("03/04/2024", "2024-04-03"), ("May 2023", "2023-05-01"), ("2021", "2021-01-01"), ("5 May", "2024-05-05"), ("31 Feb 2024", None)])
-def test_absolute_dates(given, want):
-    assert entities.absolute_date(given, DAY) == want
+def test_absolute_dates(spark, given, want):
+    assert one(spark, entities.absolute_date(F.col("t"), DAY), t=given) == want == plain_entities.absolute_date(given, DAY)
 
 
-def test_relative_dates_and_times():
-    assert entities.relative_date("2 months ago", DAY) == "2024-01-10" and entities.relative_date("yesterday", DAY) == "2024-03-09" and entities.relative_date("recently", DAY) is None
+def test_relative_dates_and_times(spark):
+    relative = lambda t: one(spark, entities.relative_date(F.col("t"), DAY), t=t)
+    assert relative("2 months ago") == "2024-01-10" and relative("yesterday") == "2024-03-09" and relative("recently") is None and relative("9999999999999999999999 years ago") is None
     s = "Rs 2000 was paid yesterday and every week since 2021"
-    assert [(t[0], t[1]) for t in entities.times_of(s, DAY, entities.entities_of(s, DAY))] == [("yesterday", "relative"), ("every week", "recurring"), ("2021", "absolute")]
+    got = C.with_spans(spark.createDataFrame([(s,)], "sentence string"), DAY).first()["times"]
+    assert [(t["text"], t["kind"]) for t in got] == [("yesterday", "relative"), ("every week", "recurring"), ("2021", "absolute")]
 
 
 def test_source_dates(spark):
