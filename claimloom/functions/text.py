@@ -26,11 +26,12 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
+_HELD = rf"(?i)(?<=(?:^|[^{W}])(?:{V.ABBREVIATIONS})\.)\s+"
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a text: after ``.!?`` or danda and white space, or at line ends; an abbreviation holds on to what follows."""
-    held = rf"(?i)((?:^|[^{W}])(?:{V.ABBREVIATIONS})\.)\s+"
-    t = F.regexp_replace(F.regexp_replace(text, held, "$1\u0001"), held, "$1\u0001")
-    parts = F.split(t, r"(?<=[.!?।])\s+|\n+", -1)
+    parts = F.split(F.regexp_replace(text, _HELD, "\u0001"), r"(?<=[.!?।])\s+|\n+", -1)
     tidy = F.transform(parts, lambda p: F.replace(F.regexp_replace(p, r"^\s+|\s+$", ""), F.lit("\u0001"), F.lit(" ")))
     return F.filter(tidy, lambda p: p != "")
 
@@ -167,9 +168,12 @@ class Lexicon:
 
     def hits(self, text: Column) -> Column:
         words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
-        return F.struct(F.size(F.filter(words, lambda w: F.element_at(self._map(self.native), fold_spelling(w)).isNotNull())).alias("hits"), F.size(words).alias("words"))
+        found = F.size(F.filter(words, lambda w: fold_spelling(w).isin(*self.native))) if self.native else F.lit(0)
+        return F.struct(found.alias("hits"), F.size(words).alias("words"))
 
     def looks_romanised(self, text: Column) -> Column:
+        if not self.native:  # nothing opens the gate
+            return F.when(text.isNotNull(), F.lit(False))
         h = self.hits(text)
         share = h["hits"].cast("double") / F.greatest(h["words"], F.lit(1))
         return ~is_devanagari(text) & (h["hits"] >= V.HINDI_LEAST) & (share >= V.HINDI_SHARE)

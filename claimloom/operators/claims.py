@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import entities as E
-from claimloom.functions import ids, text, vectors
+from claimloom.functions import ids, phrases, text, vectors
 from claimloom.functions import vocab as V
 
 FEATURES = {
@@ -29,6 +29,16 @@ FEATURES = {
     "urgency": text.whole(V.URGENCY),
 }
 
+#: The features that are words and phrases anywhere in a sentence, as sets; the others look at how it begins or ends.
+ANYWHERE = {
+    name: phrases.Phrases.of(words)
+    for name, words in {
+        "opinion": V.OPINION, "personal": V.PERSONAL, "person_marked": V.PERSON_MARKED, "has_verb": V.VERB, "attribution": V.ATTRIBUTION, "policy": V.POLICY, "health": V.HEALTH, "chain_offer": V.CHAIN_OFFER,
+        "prediction": V.PREDICTION, "causal": V.CAUSAL, "event": V.EVENT, "urgency": V.URGENCY, "time_ref": rf"{V.MONTHS}|(?:19|20)\d{{2}}|{V.RELATIVE}|{V.RECURRING}",
+    }.items()
+}
+_EDGES = {"question": FEATURES["question"], "personal": text.leading(V.PERSONAL_START), "greeting": FEATURES["greeting"], "imperative_only": FEATURES["imperative_only"]}
+
 #: What ``with_plain_entities`` looks for.
 _NUMBER = rf"(?:^|[^{text.W}.])\d[\d,]*(?:\.\d+)?(?:$|[^{text.W}.])"
 PLAIN = {
@@ -65,16 +75,32 @@ def sentence_rows(fields: DataFrame, keys: list[str], text_col: str = "text") ->
     return rows.withColumn("sentence", text.squeezed(F.col("sentence"))).where("sentence <> ''")
 
 
+def _read(s: Column) -> Column:
+    """struct<words, known, digits> of a sentence: what features look up."""
+    words = phrases.words_of(s)
+    return F.transform(F.array(words), lambda w: F.struct(w.alias("words"), phrases.known(w, ANYWHERE).alias("known"), s.rlike("[0-9]").alias("digits")))[0]
+
+
+def _shown(name: str, s: Column, read: Column) -> Column:
+    out = F.lit(False)
+    if name in ANYWHERE:
+        out = ANYWHERE[name].found(s, read["words"], read["known"], read["digits"])
+    return out | s.rlike(_EDGES[name]) if name in _EDGES else out
+
+
 def with_features(df: DataFrame, col: str = "sentence", lexicon: text.Lexicon | None = None) -> DataFrame:
-    """One boolean a feature, true if any spelling of the sentence shows it, and ``tokens``."""
-    spellings = [F.col(col)] if lexicon is None else [F.col(col), F.coalesce(lexicon.romanised(F.col(col)), F.lit(""))]
+    """One boolean a feature, true if any spelling of the sentence shows it, and ``tokens``.
+
+    A sentence is cut into words once; a feature looks up those that any feature knows, and tries the pattern of its
+    phrases only if a word is there that one begins with. Flags are those of the patterns in ``FEATURES``.
+    """
+    df = settled(df, {"__s": F.coalesce(F.col(col), F.lit("")), "__o": F.lit("") if lexicon is None else F.coalesce(lexicon.romanised(F.col(col)), F.lit(""))})
+    df = settled(df, {"__r": _read(F.col("__s")), "__p": _read(F.col("__o")) if lexicon is not None else F.lit(0)})
     found = {}
-    for name, pattern in FEATURES.items():
-        one = spellings[0].rlike(pattern)
-        for other in spellings[1:]:
-            one = one | other.rlike(pattern)
-        found[name] = F.coalesce(one, F.lit(False))
-    return settled(df, found | {"tokens": text.n_tokens(F.col(col))})
+    for name in FEATURES:
+        one = _shown(name, F.col("__s"), F.col("__r"))
+        found[name] = one if lexicon is None else one | _shown(name, F.col("__o"), F.col("__p"))
+    return settled(df, found | {"tokens": text.n_tokens(F.col(col))}).drop("__s", "__o", "__r", "__p")
 
 
 def with_spans(df: DataFrame, today: dt.date, col: str = "sentence", tagged: Column | None = None) -> DataFrame:
@@ -94,12 +120,17 @@ def with_entities(df: DataFrame, today: dt.date, col: str = "sentence", tagged:
 
 
 def with_plain_entities(df: DataFrame, col: str = "sentence") -> DataFrame:
-    """The same flags from patterns alone, without Python: for scans where only the score counts.
+    """The same flags from patterns alone: for scans where only the score counts.
 
     Names need two capitalised words, or one that does not begin the sentence; times are numbers of four digits from 19
     or 20 and month or day words. It is a narrower reading than ``with_entities``.
     """
-    return settled(df, {name: F.coalesce(F.col(col).rlike(pattern), F.lit(False)) for name, pattern in PLAIN.items()})
+    df = settled(df, {"__s": F.coalesce(F.col(col), F.lit(""))})
+    df = settled(df, {"__r": _read(F.col("__s"))})
+    s, r = F.col("__s"), F.col("__r")
+    digits = ("quantity", "money", "percent", "number", "contact")
+    found = {name: s.rlike(pattern) if name not in digits else r["digits"] & s.rlike(pattern) for name, pattern in PLAIN.items() if name != "time_ref"}
+    return settled(df, found | {"time_ref": _shown("time_ref", s, r)}).drop("__s", "__r")
 
 
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -209,21 +240,33 @@ def deduped(df: DataFrame, key: str, order: list[str], similar: float = 0.8, col
     """Greedy near-duplicate removal in order: a row whose token set is similar to a survivor's goes, and the survivor
     takes the higher confidence of the two. Survivors only are compared with, so A~B~C without A~C keeps A and C.
 
-    The fold runs in the JVM over a packet's rows; a packet is one message, so its rows are few.
+    The fold runs in the JVM over a packet's rows, which travel with it, so they are made once; a packet is one
+    message, so its rows are few. Sets whose sizes alone exclude the similarity are not compared.
     """
-    struct = F.struct(*[F.col(c) for c in order], text.token_set(F.col(col)).alias("__t"), F.col("confidence").alias("__c"), F.col("check_worthy").alias("__w"))
-    kind = df.select(struct.alias("x")).schema["x"].dataType.simpleString()
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(struct)).alias("__a"))
+    rest = [c for c in df.columns if c not in (key, "confidence", "check_worthy")]
+    t = text.token_set(F.col(col))
+    struct = F.struct(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], F.struct(*rest).alias("__r"), t.alias("__t"), F.col("confidence").alias("__c"), F.col("check_worthy").alias("__w"))
+    rows = df.groupBy(key).agg(F.collect_list(struct).alias("__a"))
+    kind = rows.schema["__a"].dataType.elementType.simpleString()
+
+    def before(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for k in reversed(range(len(order))):
+            out = F.when(a[f"__o{k}"] < b[f"__o{k}"], -1).when(a[f"__o{k}"] > b[f"__o{k}"], 1).otherwise(out)
+        return out
+
+    def like(k: Column, x: Column) -> Column:
+        a, b = F.size(k["__t"]), F.size(x["__t"])
+        return (F.least(a, b) >= similar * F.greatest(a, b)) & (vectors.jaccard(k["__t"], x["__t"]) >= similar)
 
     def step(kept: Column, x: Column) -> Column:
-        like = lambda k: (vectors.jaccard(k["__t"], x["__t"]) >= similar)
-        first = F.array_position(F.transform(kept, like), F.lit(True))
-        fields = lambda k, i: F.struct(*[k[c].alias(c) for c in order], k["__t"].alias("__t"), F.when((i + 1 == first) & (x["__c"] > k["__c"]), x["__c"]).otherwise(k["__c"]).alias("__c"), F.when((i + 1 == first) & (x["__c"] > k["__c"]), x["__w"]).otherwise(k["__w"]).alias("__w"))
-        return F.when(first == 0, F.array_append(kept, x)).otherwise(F.transform(kept, fields))
-
-    kept = rows.select(F.col(key), F.explode(F.aggregate("__a", F.array().cast(f"array<{kind}>"), step)).alias("k"))
-    kept = kept.select(key, *[F.col(f"k.{c}").alias(c) for c in order], F.col("k.__c").alias("confidence"), F.col("k.__w").alias("check_worthy"))
-    return df.drop("confidence", "check_worthy").join(kept, [key, *order])
+        first = F.array_position(F.transform(kept, lambda k: like(k, x)), F.lit(True))
+        surer = lambda k, i: (i + 1 == first) & (x["__c"] > k["__c"])
+        fields = lambda k, i: F.struct(*[k[f"__o{n}"].alias(f"__o{n}") for n in range(len(order))], k["__r"].alias("__r"), k["__t"].alias("__t"), F.when(surer(k, i), x["__c"]).otherwise(k["__c"]).alias("__c"), F.when(surer(k, i), x["__w"]).otherwise(k["__w"]).alias("__w"))
+        return F.when(~F.exists(kept, lambda k: like(k, x)), F.array_append(kept, x)).otherwise(F.transform(kept, fields))
+
+    kept = rows.select(F.col(key), F.explode(F.aggregate(F.array_sort("__a", before), F.array().cast(f"array<{kind}>"), step)).alias("k"))
+    return kept.select(key, *[F.col("k.__r")[c].alias(c) for c in rest], F.col("k.__c").alias("confidence"), F.col("k.__w").alias("check_worthy"))
 
 
 def top(df: DataFrame, key: str, k: int, score: str, tie: str) -> DataFrame:

@@ -52,9 +52,10 @@ def entry_text(claim: Column, claim_hi: Column, topics: Column) -> Column:
 def lexical_candidates(claims: DataFrame, corpus: DataFrame, floor: float = V.DECISIVE_OVERLAP, k: int | None = None) -> DataFrame:
     """claim_id, item_id, shared, terms, overlap: corpus items that have at least ``floor`` of a claim's words.
 
-    An item that has m of a claim's n words has one of its n - m + 1 rarest, so only these meet the corpus: the words
-    that most items have are in no join unless a claim is made of them. Pairs found so are counted on all words. Words
-    that no item has count, and are the rarest. No claim and no item need have words; such have no pairs.
+    Of an item that has m of a claim's words, m - d are among all but the claim's d most frequent ones, which here are
+    half of m: so words that most items have are in no join, unless a claim is made of them, and only pairs with m - d
+    of the rarer words are counted on all words. Words that no item has count, and are the rarest. No claim and no
+    item need have words; such have no pairs.
     """
     a = claims.select("claim_id", text.overlap_tokens(F.col("text")).alias("w")).withColumn("terms", F.size("w"))
     b = corpus.select("item_id", text.overlap_tokens(F.col("text")).alias("items"))
@@ -62,9 +63,10 @@ def lexical_candidates(claims: DataFrame, corpus: DataFrame, floor: float = V.DE
     seen = words.groupBy("w").agg(F.count("*").alias("n"))
     least = F.greatest(F.ceil(F.lit(floor) * F.col("terms") - 1e-9), F.lit(1))
     rarest = Window.partitionBy("claim_id", "terms").orderBy(F.col("n").asc_nulls_first(), "w")
-    own = a.select("claim_id", "terms", F.explode("w").alias("w")).join(seen, "w", "left").withColumn("k", F.row_number().over(rarest))
-    met = own.where((F.col("k") <= F.col("terms") - least + 1) & F.col("n").isNotNull()).select("claim_id", "w").join(words, "w").select("claim_id", "item_id").distinct()
-    pairs = met.join(a, "claim_id").join(b, "item_id").withColumn("shared", F.size(F.array_intersect("w", "items")).cast("long"))
+    own = a.select("claim_id", "terms", least.alias("least"), F.floor((least - 1) / 2).alias("left_out"), F.explode("w").alias("w"))
+    own = own.join(seen, "w", "left").withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= F.col("terms") - F.col("left_out")) & F.col("n").isNotNull())
+    met = own.select("claim_id", (F.col("least") - F.col("left_out")).alias("needed"), "w").join(words, "w").groupBy("claim_id", "item_id", "needed").agg(F.count("*").alias("rare"))
+    pairs = met.where("rare >= needed").select("claim_id", "item_id").join(a, "claim_id").join(b, "item_id").withColumn("shared", F.size(F.array_intersect("w", "items")).cast("long"))
     pairs = pairs.select("claim_id", "item_id", "terms", "shared", (F.col("shared") / F.col("terms")).alias("overlap")).where(F.col("overlap") >= floor)
     if k is None:
         return pairs
@@ -96,17 +98,22 @@ def about(claim: Column, evidence: Column, lexicon: text.Lexicon | None = None)
     are half shared.
     """
     lexicon = lexicon or text.Lexicon()
-    a, b = text.content_terms(claim), text.content_terms(evidence)
     blank = (F.trim(F.coalesce(claim, F.lit(""))) == "") | (F.trim(F.coalesce(evidence, F.lit(""))) == "")
-    unclear = blank | (lexicon.script(claim) != lexicon.script(evidence)) | (F.least(F.size(a), F.size(b)) < V.ABOUT_LEAST_TERMS)
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    focus, coverage = F.coalesce(both / F.nullif(F.size(a), F.lit(0)), F.lit(0.0)), F.coalesce(both / F.nullif(F.size(b), F.lit(0)), F.lit(0.0))
-    answer = F.when(unclear, "unclear").when(F.greatest(focus, coverage) >= V.ABOUT_FLOOR, "about").otherwise("not_about")
-    known = lambda c, other: F.when(unclear, other).otherwise(c)
+    read = F.struct(text.content_terms(claim).alias("a"), text.content_terms(evidence).alias("b"), (blank | (lexicon.script(claim) != lexicon.script(evidence))).alias("apart"))
+    # terms are bound once, and then what they share: written out, each field of the answer would make them anew
+    shared = F.transform(F.array(read), lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), F.array_intersect(r["a"], r["b"]).alias("s"), (r["apart"] | (F.least(F.size(r["a"]), F.size(r["b"])) < V.ABOUT_LEAST_TERMS)).alias("unclear")))
+    return F.transform(shared, _answered)[0]
+
+
+def _answered(r: Column) -> Column:
+    both = F.size(r["s"]).cast("double")
+    focus, coverage = F.coalesce(both / F.nullif(F.size(r["a"]), F.lit(0)), F.lit(0.0)), F.coalesce(both / F.nullif(F.size(r["b"]), F.lit(0)), F.lit(0.0))
+    answer = F.when(r["unclear"], "unclear").when(F.greatest(focus, coverage) >= V.ABOUT_FLOOR, "about").otherwise("not_about")
+    known = lambda c, other: F.when(r["unclear"], other).otherwise(c)
     none = F.array().cast("array<string>")
     return F.struct(
-        answer.alias("answer"), known(focus, F.lit(0.0)).alias("focus"), known(coverage, F.lit(0.0)).alias("coverage"), known(F.array_sort(F.array_intersect(a, b)), none).alias("shared"),
-        known(F.array_sort(F.array_except(a, b)), none).alias("claim_only"), known(F.array_sort(F.array_except(b, a)), none).alias("evidence_only"),
+        answer.alias("answer"), known(focus, F.lit(0.0)).alias("focus"), known(coverage, F.lit(0.0)).alias("coverage"), known(F.sort_array(r["s"]), none).alias("shared"),
+        known(F.sort_array(F.array_except(r["a"], r["b"])), none).alias("claim_only"), known(F.sort_array(F.array_except(r["b"], r["a"])), none).alias("evidence_only"),
     )
 
 

@@ -25,7 +25,7 @@ RATINGS = ["False", "Half True", "Mostly True", "Unverified", "Misleading", "Pan
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return readers.table(spark, d, name)
+    return readers.table(spark, d, name, spread=name in ("documents", "conversations", "pages"))
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:

@@ -14,8 +14,14 @@ from claimloom import schemas
 from claimloom.functions import ids, text, urls
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; with ``spread``, one whose scan has fewer tasks than the cluster has cores is dealt to all of them.
+
+    Text costs far more to read than to move, and a small table may be one row group. Large tables stay as scanned.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def text_packets(df: DataFrame, text_col: str = "text", keys: list[str] | None = None) -> DataFrame:
