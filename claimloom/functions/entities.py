@@ -17,12 +17,21 @@ _KIND = ENTITIES.removeprefix("array<").removesuffix(">")
 _TIME = TIMES.removeprefix("array<").removesuffix(">")
 _I = "(?iu)"
 _DATE = _I + spans.unicode(V.DATES)
-_MONTH = {m: i // 2 + 1 for i, m in enumerate("january jan february feb march mar april apr may may june jun july jul august aug september sep october oct november nov december dec".split())}
+#: Twice each month, in full and short.
+_MONTHS = "january jan february feb march mar april apr may may june jun july jul august aug september sep october oct november nov december dec"
+
+
+def _bound(value: Column, read) -> Column:
+    """``read`` of a value that is made once, where written out it would be made at each place it stands."""
+    return F.transform(F.array(value), read)[0]
 
 
 def money(text: Column) -> Column:
     """Currency and whole amount: the first unit named multiplies."""
-    t = spans.ascii_digits(F.translate(F.lower(text), ", ", ""))
+    return _bound(spans.ascii_digits(F.translate(F.lower(text), ", ", "")), _money)
+
+
+def _money(t: Column) -> Column:
     number = F.nullif(F.regexp_extract(t, r"\d+(?:\.\d+)?", 0), F.lit("")).cast("double")
     named = F
     for unit, m in V.MONEY_UNITS:
@@ -43,10 +52,14 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 def absolute_date(text: Column, today: dt.date) -> Column:
     """ISO date by the first form that fits, day first; without a year that of ``today``."""
     t = F.trim(F.regexp_replace(F.translate(F.regexp_replace(spans.ascii_digits(text), r"(\d)(?:st|nd|rd|th)", "$1"), ",.", ""), r"\s+", " "))
-    month_of = F.create_map(*[F.lit(x) for pair in _MONTH.items() for x in pair])
+    return _bound(t, lambda t: _absolute_date(t, today))
+
+
+def _absolute_date(t: Column, today: dt.date) -> Column:
     get = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit(""))
     num = lambda pattern, k: get(pattern, k).cast("int")
-    name = lambda pattern, k: F.element_at(month_of, F.lower(get(pattern, k)))
+    place = lambda word: F.array_position(F.split(F.lit(_MONTHS), " "), F.lower(word))
+    name = lambda pattern, k: F.nullif(F.floor((place(get(pattern, k)) + 1) / 2), F.lit(0)).cast("int")
     one = F.lit(1)
     dmy, mdy, my = r"^(\d{1,2}) ([A-Za-z]+) (\d{4})$", r"^([A-Za-z]+) (\d{1,2}) (\d{4})$", r"^([A-Za-z]+) (\d{4})$"
     long_, short, iso, year = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$", r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})$"

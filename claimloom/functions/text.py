@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions import hindi
 from claimloom.functions import vocab as V
 
 #: A character of a word.
@@ -152,6 +153,26 @@ class Lexicon:
         for k, v in self.all.items():
             self.roman.setdefault(v, k)
 
+    @classmethod
+    def hindi(cls) -> Lexicon:
+        """The built-in words, spelled by rule (``hindi.by_rule``) but for listed exceptions."""
+        return cls(hindi.table(V.HINDI_WORDS, V.HINDI_SPELLED), V.HINDI_LOANS)
+
+    @classmethod
+    def of_table(cls, words: DataFrame, version: int | None = None, most: int = 20_000) -> Lexicon:
+        """A version (the latest, if none is named) of a table (roman, devanagari, kind native, loan or ambiguous, version).
+
+        Its words become literals of every plan, so a version of more than ``most`` words is an error. Rows without a
+        spelling are left out; of several spellings of one word the first by code point counts.
+        """
+        rows = words.where("roman IS NOT NULL AND devanagari IS NOT NULL")
+        rows = rows.where(F.col("version") == version) if version is not None else rows.join(rows.agg(F.max("version").alias("version")), "version", "left_semi")
+        found = rows.groupBy("kind", "roman").agg(F.min("devanagari").alias("devanagari")).orderBy("kind", "roman").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"a lexicon of more than {most} words")
+        of = lambda kind: {r["roman"]: r["devanagari"] for r in found if r["kind"] == kind}
+        return cls(of("native"), of("loan"), of("ambiguous"))
+
     @staticmethod
     def fold(word: str) -> str:
         import re
@@ -192,7 +213,8 @@ class Lexicon:
 
         def one(w: Column) -> Column:
             capitals = (F.length(w) > 1) & w.rlike("^[A-Z]+$")
-            return F.when(capitals | ~w.rlike("^[A-Za-z]"), w).otherwise(F.coalesce(F.element_at(table, fold_spelling(w)), w))
+            known = w.rlike("^[A-Za-z]") & ~capitals & fold_spelling(w).isin(*self.all) if self.all else F.lit(False)  # the map is searched only for what it has
+            return F.when(known, F.element_at(table, fold_spelling(w))).otherwise(w)
 
         return F.array_join(F.transform(self._pieces(text, "A-Za-z"), one), "")
 

@@ -85,6 +85,14 @@ def language_tag(spark, d):
     return rows.select("key", text.language(F.col("text")).alias("language"), text.hinglish_hits(F.col("text")).alias("hits"), lex.script(F.col("text")).alias("script"))
 
 
+def hinglish_rewrites(spark, d):
+    """Turns whose words the built-in lexicon knows: how many open the gate, and what they read as in Devanagari."""
+    lex = text.Lexicon.hindi()
+    t = F.col("text")
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "text", lex.hits(t).alias("h"), lex.script(t).alias("script"))
+    return rows.where("h.hits > 0").select("conv_id", "turn", "h.hits", "h.words", "script", F.sha1(lex.transliterate(t)).alias("rewritten"))
+
+
 def fold_spelling(spark, d):
     w = _t(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
     return w.groupBy(text.fold_spelling(F.col("w")).alias("folded")).agg(F.count_distinct(F.lower("w")).alias("spellings"), F.count("*").alias("n"))
@@ -526,5 +534,5 @@ QUERIES = {f.__name__: f for f in (
     priority_topk, claim_dedupe, canonical_url, source_tier, page_dedupe, page_text, message_route, query_build, claim_overlap_topk, aboutness, decisive_flag, candidate_rank_cap, ratings, cosine_topk,
     image_index_match, best_spelling_max, keyframe_dedupe, shares_entity, node_upsert, graph_round_trip, stance_replace, stance_totals, passage_vote, evidence_order, duplicate_links, oldest_matches, message_limit, image_urls, stance_aliases, open_claims, escalation, claim_verdict, packet_verdict,
     recycled_images, date_mismatch, timeline, confusion, evaluation_summary, evaluation_gate, compare_runs, chat_reply, request_check, event_tumbling, event_sliding, event_sessions, stream_merge, check_messages,
-    evaluation_records, evaluation_modes, passage_stances, source_fanout, model_claim_rows,
+    hinglish_rewrites, evaluation_records, evaluation_modes, passage_stances, source_fanout, model_claim_rows,
 )}

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.functions import entities, ids, spans, text, urls, vectors
+from claimloom.functions import entities, hindi, ids, spans, text, urls, vectors
 from claimloom.operators import agents, evaluation, graph, media, stance, verdict
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
@@ -62,6 +62,30 @@ SENTENCES = [
 ]
 
 
+def test_romanised_hindi_out_of_the_box(spark):
+    lex = text.Lexicon.hindi()
+    for given, want in (("garam paani peene se corona theek ho jata hai", "गरम पानी पीने से कोरोना ठीक हो जाता है"), ("Sarkaar sabko muft laptop degi, SBI bank mein", "सरकार sabko मुफ्त लैपटॉप degi, SBI बैंक में"), ("The bank will send me the note", None), ("यह सच है", None), ("", None), (None, None)):
+        assert one(spark, lex.devanagari(F.col("t")), t=given) == want, given
+    assert one(spark, lex.romanised(F.col("t")), t="सरकार का पानी") == "sarkar ka pani" and one(spark, lex.script(F.col("t")), t="kya yeh sach hai") == "hinglish"
+    assert [hindi.by_rule(w) for w in ("paani", "kya", "hain", "mantri", "bachche", "sandesh", "zaroor", "aurat", "logon", "")] == ["पानी", "क्या", "हैं", "मंत्री", "बच्चे", "संदेश", "ज़रूर", "औरत", "लोगों", ""]
+    words = [r["w"] for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct().limit(300).collect()]
+    df = spark.createDataFrame([(" ".join(words[k : k + 7]),) for k in range(0, len(words), 7)], "t string")
+    for r in df.select("t", lex.hits(F.col("t")).alias("h"), lex.transliterate(F.col("t")).alias("x")).collect():
+        own = r["t"].split(" ")
+        assert r["h"]["hits"] == sum(lex.fold(w) in lex.native for w in own)
+        assert r["x"] == " ".join(w if len(w) > 1 and w.isupper() else lex.all.get(lex.fold(w), w) for w in own)
+
+
+def test_a_lexicon_of_a_table(spark):
+    rows = [("paani", "पानी", "native", 1), ("sarkar", "पुराना", "native", 1), ("sarkar", "सरकार", "native", 2), ("sarkar", "सरकार2", "native", 2), ("laptop", "लैपटॉप", "loan", 2), ("kam", "काम", "ambiguous", 2), ("gone", None, "native", 2), ("degi", "देगी", "native", 2)]
+    df = spark.createDataFrame(rows, "roman string, devanagari string, kind string, version int")
+    assert one(spark, text.Lexicon.of_table(df).transliterate(F.col("t")), t="Sarkar degi laptop paani kam gone") == "सरकार देगी लैपटॉप paani काम gone"
+    assert one(spark, text.Lexicon.of_table(df, 1).transliterate(F.col("t")), t="sarkar paani") == "पुराना पानी"
+    with pytest.raises(ValueError, match="more than 2 words"):
+        text.Lexicon.of_table(df, most=2)
+    assert one(spark, text.Lexicon.of_table(df.limit(0)).transliterate(F.col("t")), t="sarkar") == "sarkar"
+
+
 def test_spans_equal_plain_rules(spark):
     """Column expressions against the rules in plain Python, on hard sentences and on all of the smallest table."""
     hand = spark.createDataFrame([(s,) for s in SENTENCES], "sentence string")
@@ -90,7 +114,7 @@ def test_model_spans(spark):
     hits = "array<struct<entity_group:string,score:double,start:int,end:int>>"
     df = spark.createDataFrame([(s, [("ORG", 0.9, 0, 3), ("LOC", 0.9, 8, 12), ("PER", 0.59, 15, 18), ("MISC", 0.6, 14, 18), ("DATE", 0.9, 4, 8), ("PER", 0.9, 4, 5), ("PER", 0.9, 26, 30)]), (s, None), (None, [])], f"s string, h {hits}")
     rows = df.select(entities.model_entities(F.col("s"), F.col("h")).alias("m"), entities.entities(F.col("s"), DAY, entities.model_entities(F.col("s"), F.col("h"))).alias("e")).collect()
-    assert [(e["text"], e["label"], e["start"], e["end"]) for e in rows[0]["m"]] == [("Foo", "ORG", 0, 3), ("5% t", "GPE", 8, 12), ("bar", "PROPER", 14, 17), ("Town", "PERSON", 26, 30)]
+    assert [(e["text"], e["label"], e["start"], e["end"]) for e in rows[0]["m"]] == [("Foo", "ORG", 0, 3), ("5%", "GPE", 8, 10), ("bar", "PROPER", 14, 17), ("Town", "PERSON", 26, 30)]
     assert [(e["text"], e["label"]) for e in rows[0]["e"]] == [("Foo", "ORG"), ("5%", "PERCENT"), ("bar", "PROPER"), ("Town", "PERSON")]
     assert rows[1]["m"] == [] and [(e["text"], e["label"]) for e in rows[1]["e"]] == [("5%", "PERCENT"), ("Old Town", "PERSON")] and rows[2]["e"] == []
     named = "array<struct<text:string,label:string>>"
