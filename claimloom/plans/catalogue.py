@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import ids, text, urls, vectors
 from claimloom.functions import vocab as V
-from claimloom.operators import agents, evaluation, graph, media, model_claims, stance, verdict
+from claimloom.operators import agents, evaluation, graph, image_index, media, model_claims, stance, verdict
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
 from claimloom.plans import evaluate, lifecycle
@@ -220,6 +220,15 @@ def image_index_match(spark, d):
     return found.select(F.col("left_id").alias("image_id"), F.col("right_id").alias("entry_id"), "rank")
 
 
+def stored_index_match(spark, d):
+    """Every 20th vector asked of a stored index that was built of one half of the vectors and grown by the other."""
+    at = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    image_index.build(e.where("id % 2 = 0"), at, cells=16)
+    image_index.append(e.where("id % 2 = 1"), at)
+    return image_index.search(e.where("id % 20 = 0").select("id", F.col("embedding").alias("v")), at, 0.35).select("image_id", "entry_id", "rank")
+
+
 def best_spelling_max(spark, d):
     e = _t(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select((F.col("vec_id") % 200).alias("claim_id"), F.col("vec_id").alias("spelling"), F.col("embedding").alias("v"))
@@ -534,5 +543,5 @@ QUERIES = {f.__name__: f for f in (
     priority_topk, claim_dedupe, canonical_url, source_tier, page_dedupe, page_text, message_route, query_build, claim_overlap_topk, aboutness, decisive_flag, candidate_rank_cap, ratings, cosine_topk,
     image_index_match, best_spelling_max, keyframe_dedupe, shares_entity, node_upsert, graph_round_trip, stance_replace, stance_totals, passage_vote, evidence_order, duplicate_links, oldest_matches, message_limit, image_urls, stance_aliases, open_claims, escalation, claim_verdict, packet_verdict,
     recycled_images, date_mismatch, timeline, confusion, evaluation_summary, evaluation_gate, compare_runs, chat_reply, request_check, event_tumbling, event_sliding, event_sessions, stream_merge, check_messages,
-    hinglish_rewrites, evaluation_records, evaluation_modes, passage_stances, source_fanout, model_claim_rows,
+    hinglish_rewrites, stored_index_match, evaluation_records, evaluation_modes, passage_stances, source_fanout, model_claim_rows,
 )}

@@ -345,3 +345,5 @@ c AS (SELECT event_id, 0 AS n, t || ' of ' || v AS text, 'event' AS claim_type,
   UNION ALL SELECT event_id, 0, t || ' of ' || v, 'money', 0.5, 'shop', 'NUMBER:' || v FROM e WHERE t = 'purchase')
 SELECT event_id, n, text, claim_type, confidence, attributed_to, NULL::VARCHAR AS said, entities FROM c""",
 }
+
+SQL["stored_index_match"] = SQL["image_index_match"]

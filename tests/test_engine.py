@@ -9,7 +9,7 @@ import pytest
 from claimloom.functions import text
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
-from claimloom.operators import evaluation, model_claims, scoring, stance
+from claimloom.operators import evaluation, image_index, model_claims, scoring, stance
 from claimloom.plans import evaluate, lifecycle
 from claimloom.sources import fanout, readers
 from pyspark.sql import functions as F
@@ -314,3 +314,69 @@ def test_a_model_in_the_run(spark):
     done = evaluate.run(cases, DAY, sources, tiers, model=("words", scoring.word_overlap))[1]
     got = {r["source_type"]: r for r in done.stances.collect()}
     assert got["seed_index"]["method"] == "rating" and got["web"]["method"] == "nli" and math.isclose(got["web"]["stance_score"], 1.0, abs_tol=0.6)
+
+
+def clustered(n=240, width=8, seed=3):
+    """Vectors in eight tight groups."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return [(k, (np.eye(width)[k % width] + 0.05 * rng.normal(size=width)).tolist()) for k in range(n)]
+
+
+def nearest(entries, asked, floor, k):
+    import numpy as np
+
+    out = set()
+    for i, v in asked:
+        near = sorted((-float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), j) for j, w in entries if j != i)
+        out |= {(i, j, r) for r, (s, j) in enumerate([x for x in near if -x[0] >= floor][:k], 1)}
+    return out
+
+
+def test_stored_index_grows_and_reads_only_near_cells(spark, tmp_path):
+    at, rows = str(tmp_path / "index"), clustered()
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [float("nan")] * 8), (1004, [1.0] * 3), (1005, [1e200] * 8)]
+    frame = lambda part: spark.createDataFrame(part, "id int, embedding array<double>").withColumn("extra", F.lit("x"))
+    assert image_index.build(frame(rows[:100] + odd), at, cells=8) == 1 and image_index.append(frame(rows[100:200]), at) == 2
+    asked = [rows[k] for k in (0, 8, 120)] + [(2000, rows[3][1])]
+    queries = spark.createDataFrame([*asked, (2001, None), (2002, [1.0] * 3), (2003, [0.0] * 8)], "id int, v array<double>")
+    got = image_index.search(queries, at, 0.95, 3)
+    assert {(r["image_id"], r["entry_id"], r["rank"]) for r in got.collect()} == nearest(rows[:200], asked, 0.95, 3)
+    assert {(r["image_id"], r["entry_id"], r["rank"]) for r in image_index.search(queries, at, 0.95, 3, version=1).collect()} == nearest(rows[:100], asked, 0.95, 3)
+    assert {(r["image_id"], r["entry_id"], r["rank"]) for r in image_index.search(queries, at, -1.0, 300).collect()} == nearest(rows[:200], asked, -1.0, 300)
+    one, entries = image_index.probed(spark.createDataFrame(asked[:1], "id int, v array<double>"), at, 0.95)
+    cells = {r["cell"] for r in one.collect()}
+    assert len(cells) == 1 and len(entries.inputFiles()) > len(cells) * 2
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan and entries.count() < 60
+    assert image_index.append(frame([]), at) == 3 and image_index.manifest(spark, at).count() == image_index.manifest(spark, at, 2).count()
+    empty = str(tmp_path / "empty")
+    assert image_index.build(frame(odd[:2]), empty) == 1 and image_index.search(queries, empty).isEmpty()
+    with pytest.raises(ValueError, match="no version 9"):
+        image_index.search(queries, at, version=9)
+
+
+def test_an_unfinished_version_is_not_read(spark, tmp_path):
+    at = str(tmp_path / "index")
+    rows = clustered(40)
+    image_index.build(spark.createDataFrame(rows[:20], "id int, embedding array<double>"), at, cells=4)
+    (tmp_path / "index" / "entries" / "batch=2").mkdir()
+    (tmp_path / "index" / "manifest" / "v2").mkdir()
+    assert image_index.manifest(spark, at).agg(F.sum("rows")).first()[0] == 20
+    with pytest.raises(Exception, match="(?i)already exists"):
+        image_index.append(spark.createDataFrame(rows[20:], "id int, embedding array<double>"), at)
+    assert image_index.manifest(spark, at).agg(F.sum("rows")).first()[0] == 20
+
+
+def test_a_picture_is_flagged_once_by_its_earliest_match(spark, tmp_path):
+    at = str(tmp_path / "index")
+    e = [1.0, 0.0, 0.0]
+    stored = spark.createDataFrame([("a", e, dt.date(2020, 5, 1), "flood"), ("b", e, dt.date(2019, 1, 1), "storm"), ("c", [0.0, 1.0, 0.0], dt.date(2024, 3, 1), "rally"), ("d", e, None, "undated")], "id string, embedding array<double>, first_seen date, context string")
+    image_index.build(stored, at, cells=2)
+    images = spark.createDataFrame([("p", "i1", 0, e, None), ("p", "i2", 1, [0.0, 1.0, 0.0], dt.date(2024, 3, 9)), ("q", "i3", 0, [0.0, 0.0, 1.0], None), ("q", "i4", 1, None, None)], "packet_id string, image_id string, image_index int, v array<double>, day date")
+    claims = spark.createDataFrame([("p", "c1", 0, True), ("p", "c2", None, True), ("p", "c3", None, False)], "packet_id string, claim_id string, image_index int, check_worthy boolean")
+    found, flags = image_index.passed(images, claims, at, stored, DAY)
+    got = {r["image_id"]: (r["entry_id"], r["first_seen"], r["date_mismatch"]) for r in flags.collect()}
+    assert got == {"i1": ("b", dt.date(2019, 1, 1), True), "i2": ("c", dt.date(2024, 3, 1), False), "i3": (None, None, False), "i4": (None, None, False)}
+    assert sorted((r["claim_id"], r["image_id"], r["entry_id"], r["context"]) for r in found.collect()) == [("c1", "i1", "a", "flood"), ("c1", "i1", "b", "storm"), ("c1", "i1", "d", "undated"), ("c1", "i2", "c", "rally"), ("c2", "i2", "c", "rally")]
