@@ -12,19 +12,28 @@ def canonical_url(url: Column) -> Column:
     """What identifies the document: https, lower-case host without www. and default port, no /amp, fragment, tracking
     parameters or last slash; the other parameters sorted. Null and blank give the empty text."""
     t = F.trim(F.coalesce(url, F.lit("")))
-    t = F.when(F.contains(t, F.lit("//")), t).otherwise(F.concat(F.lit("https://"), t))
+    return _bound(t, lambda t: F.when(t == "", F.lit("")).otherwise(_bound(F.when(F.contains(t, F.lit("//")), t).otherwise(F.concat(F.lit("https://"), t)), _canonical)))
+
+
+def _bound(value: Column, read) -> Column:
+    """``read`` of a value that is made once; written out it would be made at each place it stands, and plans grow with the product."""
+    return F.transform(F.array(value), read)[0]
+
+
+def _canonical(t: Column) -> Column:
     part = lambda pattern, k: F.regexp_extract(t, pattern, k)
     whole = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d*))?([^?#]*)(?:\?([^#]*))?"
-    scheme, port, path, query = F.lower(part(whole, 1)), part(whole, 3), part(whole, 4), part(whole, 5)
-    host = F.regexp_replace(F.lower(part(whole, 2)), r"^www\.", "")
-    host = F.when(port.isin("", "80", "443"), host).otherwise(F.concat(host, F.lit(":"), port))
-    path = F.regexp_replace(path, r"(?i)/amp/?$|\.amp$", "")
-    path = F.when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    pairs = F.array_sort(F.filter(pairs, lambda p: ~F.regexp_extract(p, "^([^=]*)", 1).rlike(f"(?i)^(?:{V.TRACKING})$")))
-    tail = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit(""))
-    scheme = F.when(scheme.isin("", "http", "https"), F.lit("https")).otherwise(scheme)
-    return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", F.lit("")).otherwise(F.concat(scheme, F.lit("://"), host, path, tail))
+    pairs = F.transform(F.filter(F.split(part(whole, 5), "&"), lambda p: p != ""), lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
+    pairs = F.sort_array(F.filter(pairs, lambda p: ~F.regexp_extract(p, "^([^=]*)", 1).rlike(f"(?i)^(?:{V.TRACKING})$")))
+    path = F.regexp_replace(part(whole, 4), r"(?i)/amp/?$|\.amp$", "")
+    return _bound(F.struct(F.lower(part(whole, 1)).alias("scheme"), F.regexp_replace(F.lower(part(whole, 2)), r"^www\.", "").alias("host"), part(whole, 3).alias("port"), path.alias("path"), F.array_join(pairs, "&").alias("query")), _joined)
+
+
+def _joined(u: Column) -> Column:
+    host = F.when(u["port"].isin("", "80", "443"), u["host"]).otherwise(F.concat(u["host"], F.lit(":"), u["port"]))
+    path = F.when(F.length(u["path"]) > 1, F.regexp_replace(u["path"], "/$", "")).otherwise(u["path"])
+    scheme = F.when(u["scheme"].isin("", "http", "https"), F.lit("https")).otherwise(u["scheme"])
+    return F.concat(scheme, F.lit("://"), host, path, F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(F.lit("")))
 
 
 def domain(url: Column) -> Column:

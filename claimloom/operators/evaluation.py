@@ -87,6 +87,15 @@ def agent_scores(trace: DataFrame) -> DataFrame:
     return out.withColumn("calls_per_case", rate(F.col("calls"), F.col("cases")))
 
 
+def escalation(rounds: DataFrame, messages: DataFrame) -> DataFrame:
+    """One row: messages, escalated and settled ones, and what share of the former each is. rounds: before, after, found of
+    each message that had a second round; it settled if its label is no longer unverified."""
+    settled = (F.col("before") == "unverified") & (F.col("after") != "unverified")
+    out = rounds.agg(F.count("*").alias("escalated"), F.count_if(settled).alias("settled"), F.count_if(F.col("before") != F.col("after")).alias("changed"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"))
+    out = out.withColumn("messages", F.lit(messages.count()))
+    return out.withColumns({"escalation_rate": rate(F.col("escalated"), F.col("messages")), "escalation_yield": rate(F.col("settled"), F.col("escalated"))})
+
+
 def stage_timings(trace: DataFrame) -> DataFrame:
     """id, stage: total ms, calls and the first error. trace: id, stage, seq, ms, error."""
     first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seq")))

@@ -128,8 +128,9 @@ def evidence_for(edges: DataFrame, nodes: DataFrame, stance: str | None = None)
 
 
 def evidence_order(evidence: DataFrame, key: str = "claim_id") -> DataFrame:
-    """Each claim's evidence by rank: decisive first, then weighted score, weight and id."""
-    order = Window.partitionBy(key).orderBy(F.desc("decisive"), F.desc(F.col("score") * F.col("weight")), F.desc("weight"), "id")
+    """Each claim's evidence by rank: decisive first, then weighted score, weight and id; missing scores and weights count as 0."""
+    score, weight = F.coalesce("score", F.lit(0.0)), F.coalesce("weight", F.lit(0.0))
+    order = Window.partitionBy(key).orderBy(F.desc(F.coalesce("decisive", F.lit(False))), F.desc(score * weight), F.desc(weight), "id")
     return evidence.withColumn("rank", F.row_number().over(order))
 
 

@@ -433,6 +433,16 @@ def evaluation_records(spark, d):
     return r.select("id", "mode", "expected_verdict", "verdict", "confidence", "check_worthy", "n_claims", F.array_join("retrieved_seed_ids", ",").alias("retrieved"), F.size("stage_errors").alias("errors"))
 
 
+def second_round(spark, d):
+    """Labelled documents checked against false and misleading items; those still open are asked of the true ones."""
+    corpus = _checked_corpus(spark, d)
+    first = lifecycle.Sources(tables={"seed_index": lifecycle.seed_index(corpus.where("rating_raw <> 'True'"))})
+    reserve = lifecycle.Sources(tables={"seed_index": lifecycle.seed_index(corpus.where("rating_raw = 'True'"))})
+    packets = readers.text_packets(_labelled_cases(spark, d).where("text <> ''"))
+    done = lifecycle.run(packets, TODAY, first, _checkers(spark), plain=True)
+    return lifecycle.second_round(done, reserve, _checkers(spark))[1]
+
+
 def evaluation_modes(spark, d):
     """What each mode measures of the same cases."""
     m = _engine_records(spark, d).groupBy("mode").agg(*evaluation.measures())
@@ -543,5 +553,5 @@ QUERIES = {f.__name__: f for f in (
     priority_topk, claim_dedupe, canonical_url, source_tier, page_dedupe, page_text, message_route, query_build, claim_overlap_topk, aboutness, decisive_flag, candidate_rank_cap, ratings, cosine_topk,
     image_index_match, best_spelling_max, keyframe_dedupe, shares_entity, node_upsert, graph_round_trip, stance_replace, stance_totals, passage_vote, evidence_order, duplicate_links, oldest_matches, message_limit, image_urls, stance_aliases, open_claims, escalation, claim_verdict, packet_verdict,
     recycled_images, date_mismatch, timeline, confusion, evaluation_summary, evaluation_gate, compare_runs, chat_reply, request_check, event_tumbling, event_sliding, event_sessions, stream_merge, check_messages,
-    hinglish_rewrites, stored_index_match, evaluation_records, evaluation_modes, passage_stances, source_fanout, model_claim_rows,
+    hinglish_rewrites, stored_index_match, second_round, evaluation_records, evaluation_modes, passage_stances, source_fanout, model_claim_rows,
 )}

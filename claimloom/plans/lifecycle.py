@@ -15,7 +15,7 @@ from claimloom.functions import text
 from claimloom.functions import vocab as V
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as EV
-from claimloom.operators import scoring, stance, verdict
+from claimloom.operators import agents, scoring, stance, verdict
 from claimloom.sources import fanout
 from claimloom.sources.folders import checkpointing
 
@@ -121,3 +121,31 @@ def check(packets: DataFrame, corpus: DataFrame, tiers: DataFrame, today: dt.dat
     if done.failures.count():
         raise RuntimeError(f"the corpus could not be searched: {done.failures.first()['error']}")
     return done.verdicts, done.packets
+
+
+def second_round(done: Checked, reserve: Sources, tiers: DataFrame | None = None, lexicon: text.Lexicon | None = None, model: tuple[str, Callable[[], scoring.Scorer]] | None = None, most_claims: int = agents.MOST_ESCALATED, most_queries: int = 5) -> tuple[Checked, DataFrame]:
+    """(the run with what sources held back found for its open claims, escalation): only claims that nothing supports or refutes are asked about.
+
+    Of a message at most ``most_claims`` are asked, the surest first, with up to ``most_queries`` queries each. What is
+    new is judged alone and added; evidence that was known stays as it was judged. escalation: packet_id, before, after,
+    claims, found: one row for each message that had such claims.
+    """
+    stages = Stages(done.claims.sparkSession)
+    worthy = done.claims.where("check_worthy").dropDuplicates(["claim_id"])
+    open_ = agents.escalated(worthy, done.stances, worthy.limit(0), most_claims)
+    open_ = stages.settled("open claims", worthy.join(open_.select("claim_id"), "claim_id", "left_semi"), packets=F.approx_count_distinct("packet_id"))
+    asked = open_.select("claim_id", F.col("sentence").alias("text"))
+    found, failures = fanout.collect(asked, claim_queries(open_, most_queries), reserve.services, reserve.tables, **reserve.how)
+    tiers = tiers if tiers is not None else done.claims.sparkSession.createDataFrame([], "entry string, tier string")
+    kept = EV.normalised(EV.from_sources(found), asked, tiers, lexicon=lexicon).join(done.evidence.select("claim_id", "id"), ["claim_id", "id"], "left_anti")
+    new = stages.settled("second evidence", kept, decisive=F.count_if("decisive"))
+    judged = stages.settled("second stances", stance.judged(new, asked, model[1], model[0]) if model else stance.decided(new, None), sided=F.count_if(F.col("stance") != "neutral"))
+    out = Checked(done.claims, done.evidence.unionByName(new, allowMissingColumns=True), done.failures.unionByName(failures), done.stances.unionByName(judged, allowMissingColumns=True))
+    items = out.stances.select("claim_id", "id", "stance", F.col("stance_score").alias("score"), F.col("source_weight").alias("weight"), "decisive", "demo", "rating")
+    out.verdicts = stages.settled("second verdicts", verdict.for_claims(worthy.select("packet_id", "claim_id", F.col("sentence").alias("text")), items), verified=F.count_if(F.col("label") != "unverified"))
+    out.packets = done.packets.select("packet_id").join(verdict.roll_up(out.verdicts), "packet_id", "left").fillna({"label": "unverified", "confidence": 0.2, "n_claims": 0, "summary": "no claim to check"})
+    out.stages = done.stages.unionByName(stages.table())
+    tried = open_.groupBy("packet_id").agg(F.count("*").alias("claims"))
+    got = new.join(open_.select("claim_id", "packet_id"), "claim_id").groupBy("packet_id").agg(F.count("*").alias("found"))
+    labels = done.packets.select("packet_id", F.col("label").alias("before")).join(out.packets.select("packet_id", F.col("label").alias("after")), "packet_id")
+    return out, tried.join(labels, "packet_id").join(got, "packet_id", "left").fillna(0, ["found"]).select("packet_id", "before", "after", "claims", "found")

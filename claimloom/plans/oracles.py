@@ -347,3 +347,17 @@ SELECT event_id, n, text, claim_type, confidence, attributed_to, NULL::VARCHAR A
 }
 
 SQL["stored_index_match"] = SQL["image_index_match"]
+# the first round without true items; of each message the four surest claims without a side go on to the true ones
+SQL["second_round"] = f"""WITH RECURSIVE {_ENGINE.split("hits AS (")[0]}
+hits AS (SELECT claim_id, packet_id, confidence, sentence, terms, item_id, it_terms, item_text, rating, len(list_intersect(w, iw))::DOUBLE / len(w) AS o FROM cw, it WHERE len(w) > 0 AND len(list_intersect(w, iw))::DOUBLE / len(w) >= 0.3),
+ev AS (SELECT *, 'ev_' || left(sha1(claim_id || '|seed_index|https://check.example.org/' || item_id), 12) AS id, CASE WHEN {fill(_SCRIPT, 'sentence')} <> {fill(_SCRIPT, 'item_text')} OR least(len(terms), len(it_terms)) < {V.ABOUT_LEAST_TERMS} THEN 'unclear'
+  WHEN len(list_intersect(terms, it_terms))::DOUBLE / least(len(terms), len(it_terms)) >= {V.ABOUT_FLOOR} THEN 'about' ELSE 'not_about' END AS about FROM hits QUALIFY row_number() OVER (PARTITION BY claim_id, rating = 'true' ORDER BY o DESC, item_id) <= 3),
+sided AS (SELECT DISTINCT claim_id FROM ev WHERE rating <> 'true' AND about <> 'not_about'),
+op AS (SELECT packet_id, claim_id FROM cm WHERE claim_id NOT IN (FROM sided) QUALIFY row_number() OVER (PARTITION BY packet_id ORDER BY confidence DESC, claim_id) <= 4),
+ne AS (SELECT ev.* FROM ev JOIN op USING (packet_id, claim_id) WHERE rating = 'true'),
+st AS (SELECT claim_id, true AS second, rating <> 'true' AS against, about, rating, o, id FROM ev WHERE rating <> 'true' UNION ALL SELECT claim_id, true, false, about, rating, o, id FROM ne),
+tv AS (SELECT claim_id, sum(CASE WHEN against AND about <> 'not_about' THEN 1 ELSE 0 END) AS r, sum(CASE WHEN NOT against AND about <> 'not_about' THEN 1 ELSE 0 END) AS s, arg_max(rating, id) FILTER (WHERE against AND about <> 'not_about' AND o >= {V.DECISIVE_OVERLAP}) AS hit FROM st GROUP BY claim_id),
+lc AS (SELECT packet_id, claim_id, CASE WHEN hit IS NOT NULL THEN hit WHEN coalesce(r, 0) >= 1 THEN 'false' ELSE 'unverified' END AS l1,
+  CASE WHEN hit IS NOT NULL THEN hit WHEN coalesce(r, 0) >= 1 AND r >= 2 * s THEN 'false' WHEN coalesce(s, 0) >= 1 AND s >= 2 * r THEN 'true' WHEN coalesce(s, 0) > 0 AND r > 0 THEN 'disputed' ELSE 'unverified' END AS l2 FROM cm LEFT JOIN tv USING (claim_id)),
+lp AS (SELECT packet_id, arg_min(l1, {_SEV.replace("label", "l1")}) AS before, arg_min(l2, {_SEV.replace("label", "l2")}) AS after FROM lc GROUP BY packet_id)
+SELECT packet_id, before, after, (SELECT count(*) FROM op WHERE op.packet_id = lp.packet_id) AS claims, (SELECT count(*) FROM ne WHERE ne.packet_id = lp.packet_id) AS found FROM lp WHERE packet_id IN (SELECT packet_id FROM op)"""

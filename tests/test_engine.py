@@ -380,3 +380,26 @@ def test_a_picture_is_flagged_once_by_its_earliest_match(spark, tmp_path):
     got = {r["image_id"]: (r["entry_id"], r["first_seen"], r["date_mismatch"]) for r in flags.collect()}
     assert got == {"i1": ("b", dt.date(2019, 1, 1), True), "i2": ("c", dt.date(2024, 3, 1), False), "i3": (None, None, False), "i4": (None, None, False)}
     assert sorted((r["claim_id"], r["image_id"], r["entry_id"], r["context"]) for r in found.collect()) == [("c1", "i1", "a", "flood"), ("c1", "i1", "b", "storm"), ("c1", "i1", "d", "undated"), ("c1", "i2", "c", "rally"), ("c2", "i2", "c", "rally")]
+
+
+def test_second_round_asks_only_what_is_open(spark):
+    corpus, tiers, cases = setting(spark)
+    seen = []
+
+    def reserve(claims, queries):
+        seen.append(sorted({r["text"] for r in claims.collect()}))
+        return claims.select("claim_id", F.lit("https://check.example.org/9").alias("url"), F.col("text").alias("title"), F.lit("True").alias("rating_raw"))
+
+    packets = readers.text_packets(cases.where("text <> ''")).dropDuplicates(["packet_id"])
+    done = lifecycle.run(packets, DAY, lifecycle.Sources(tables={"seed_index": lifecycle.seed_index(corpus)}), tiers)
+    out, rounds = lifecycle.second_round(done, lifecycle.Sources(tables={"factcheck": reserve}), tiers)
+    assert len(seen) == 1 and len(seen[0]) == 1 and "laptop" in seen[0][0]
+    (r,) = rounds.collect()
+    assert (r["before"], r["after"], r["claims"], r["found"]) == ("unverified", "true", 1, 1)
+    before, after = ({r["packet_id"]: r["label"] for r in x.packets.collect()} for x in (done, out))
+    assert sum(before[p] != after[p] for p in before) == 1 and out.evidence.count() == done.evidence.count() + 1
+    e = evaluation.escalation(rounds, done.packets).first()
+    assert (e["messages"], e["escalated"], e["settled"], e["changed"], e["found"], e["escalation_yield"]) == (done.packets.count(), 1, 1, 1, 1, 1.0)
+    assert [s["stage"] for s in out.stages.collect()][4:] == ["open claims", "second evidence", "second stances", "second verdicts"]
+    again, none = lifecycle.second_round(out, lifecycle.Sources(tables={"factcheck": reserve}), tiers)
+    assert none.isEmpty() and evaluation.escalation(none, again.packets).first()["escalation_yield"] is None
