@@ -1,6 +1,7 @@
 """Text, entities, claims, evidence, graph and verdicts on small frames with the scripts, amounts and dates that the driver tables lack."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,3 +328,29 @@ def test_entry_without_the_training_operators(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert said.returncode == 0 and said.stdout.strip().endswith("False"), said.stderr
+
+
+def test_copies_of_a_vector_tie(spark):
+    """Similarities are those of the plain sums in order, so that of equal vectors the smaller ids are taken."""
+    import random
+
+    from claimloom.functions import vectors
+
+    rng = random.Random(3)
+    kinds = [[rng.gauss(0, 1) for _ in range(48)] for _ in range(40)]
+    rows = [(k, kinds[k % 40]) for k in range(640)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+
+    def dot(a, b):
+        total = 0.0
+        for x, y in zip(a, b):
+            total += x * y
+        return total
+
+    like = lambda a, b: dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+    want = set()
+    for k, v in rows[::20]:
+        near = sorted((-s, j) for j, w in rows if j != k and (s := like(v, w)) >= 0.25)
+        want |= {(k, j, rank + 1, -s) for rank, (s, j) in enumerate(near[:18])}
+    got = vectors.similar_pairs(df.where("id % 20 = 0"), df, 0.25, 18)
+    assert {(r["left_id"], r["right_id"], r["rank"], r["similarity"]) for r in got.collect()} == want
