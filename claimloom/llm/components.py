@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import frames
+
 
 def checkpoint_folder(df: DataFrame) -> None:
     """Use the shared folder the cluster names. Where it names none, a session in one process gets a folder of its own; a cluster is an error."""
@@ -42,6 +44,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct().checkpoint()
         links, now = small, _state(small)
+        del both, least, large, small
+        frames.rest(links.sparkSession)
         if now == before:
             break
         before = now

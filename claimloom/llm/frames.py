@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -78,6 +79,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def rest(spark: SparkSession) -> None:
+    """What steps that are done had on the driver goes: their models and plans, and with them their broadcasts and shuffles.
+
+    The driver's heap shrinks to a multiple of what is still in use. Between steps that plan much it would else grow on
+    what the last ones left.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    give_back()
+
+
 class Memo(dict):
     """A dict that computes what it lacks. Beyond ``limit`` entries it forgets those that it was not asked for since the last time it was full."""
 

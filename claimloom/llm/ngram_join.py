@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import frames
 from claimloom.llm.components import checkpoint_folder, components
 from claimloom.llm.frames import map_slices
 
@@ -353,6 +354,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def verify(pairs: DataFrame, rows: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, hub) of ids whose sets are linked. A hub's set comes first in its stretch, then members stream by."""
     pairs = pairs.checkpoint()
+    frames.rest(rows.sparkSession)
     sets = _fetch(rows, pairs.select(F.explode(F.array("a", "hub")).alias("id")).distinct(), words)
     many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STRETCH).alias("k"))
     salted = pairs.join(many, "hub").select("a", "hub", F.pmod(F.xxhash64("a"), F.col("k")).alias("salt"))
@@ -486,6 +488,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     checkpoint_folder(df)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("__t"))
     heavy = df.sparkSession.sparkContext.broadcast(heavy_shingles(rows, words))
+    frames.rest(df.sparkSession)
     tagged = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("__t"), (F.lit(None) if tag is None else tag).cast("long").alias("tag"))
     sets = _prefixes(tagged, heavy, words, similar).checkpoint()
     reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
@@ -496,7 +499,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
         F.array_min(F.transform("t", lambda x: F.struct(F.xxhash64(x["token"]).alias("by"), x["df"].alias("df"), x["token"].alias("token")))).alias("home1"),
     ).checkpoint()
     heavy.destroy()  # what follows rests on the shared folder
+    del heavy
+    frames.rest(df.sparkSession)
     edges = _near_ones(members, rows, words, similar)
+    frames.rest(df.sparkSession)
     found = components(edges).withColumnRenamed("id", "rep")
 
     # what those stretches left apart
@@ -506,7 +512,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     pairs = _pairs_apart(groups, similar).unionByName(groups.where("lo <> hi").select(F.col("gid").alias("x"), F.col("gid").alias("y")))
     x, y = (placed.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("component").alias(c)) for g, r, c in (("x", "a", "ca"), ("y", "hub", "cb")))
     pairs = pairs.join(x, "x").join(y, "y").where("ca <> cb AND (x <> y OR a > hub)").select("a", "hub")
+    frames.rest(df.sparkSession)
     more = verify(pairs, rows, words, similar)
+    frames.rest(df.sparkSession)
     if not more.isEmpty():
         found = components(edges.unionByName(more)).withColumnRenamed("id", "rep")
     of_set = reps.select("sig", "rep").join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))

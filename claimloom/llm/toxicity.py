@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import frames
 from claimloom.llm.frames import Memo, crc_remainder, map_slices, word_list
 
 #: The classifier is fitted on at most so many labelled documents of each class (the first by a hash of the id).
@@ -158,6 +159,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = df.select(F.col(id_col), F.col(text_col).cast("binary").alias("__t")).join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select("__id", "__y", "__t")
     held = sorted((r["id"], r["y"], bytes(r["words"])) for r in map_slices(rows, make, "id long, y int, words binary").collect())
     y = [r[1] for r in held]
+    frames.rest(df.sparkSession)  # fitting takes more than all before
     if len(set(y)) < 2:
         return Model({}, np.empty(0), np.empty(0), {0: -30.0, 1: 30.0, None: -30.0}[y[0] if y else None])
     return fit((r[2].split() for r in held), y)

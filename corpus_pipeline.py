@@ -6,7 +6,6 @@ one's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import byte_bpe, line_dedup, ngram_join, source_mixing, toxicity
 from claimloom.llm.components import checkpoint_folder
-from claimloom.llm.frames import give_back
+from claimloom.llm.frames import rest
 from claimloom.llm.queries import pattern, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; the others stay as they are."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    give_back()  # fitting takes far more than the model has
+    rest(spark)  # fitting takes far more than the model has
     return toxicity.score(docs, model, carry=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
@@ -70,13 +69,6 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _rest(spark: SparkSession) -> None:
-    """What a stage that is written had on the driver goes: its model and plans, and with them its broadcasts and shuffles."""
-    gc.collect()
-    spark._jvm.System.gc()
-    give_back()
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages from ``documents``; each result is written to the shared folder and read again, and removed when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -90,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if before:
                 _remove(spark, before)
             before = f"{at}/{name}"
-            _rest(spark)
+            rest(spark)
     return docs

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm import byte_bpe, components, language_model, line_dedup, merkle, multi_index, ngram_join, secrets_crf, source_mixing, token_counts, toxicity
+from claimloom.llm import byte_bpe, components, frames, language_model, line_dedup, merkle, multi_index, ngram_join, secrets_crf, source_mixing, token_counts, toxicity
 
 HARD = [(0, None), (1, ""), (2, " \t\n "), (3, "a b c"), (4, "A  b\tc"), (5, "x" * 300_000), (6, "one two three four five six seven " * 3000), (7, "é🎉日本 <|endoftext|> it's  1234\r\n\r\n"), (8, "same text of six words here"), (9, "same text of six words here"), (9, "same text of six words here"), (None, "no id at all in this row"), (10, "line one is long\nline two\nline one is long")]
 SCHEMA = "doc_id long, text string, source string, id int, key string, sig int, n int, component string"
@@ -209,6 +209,18 @@ def test_ngram_join_of_families_across_stretches_and_many_partitions(spark, stre
     assert rows(ngram_join.join(df)) == want
 
 
+def test_the_driver_rests_between_the_steps_of_a_join(spark, hard, monkeypatch):
+    """Each round of components and each step of a join ends with what it had on the driver given back."""
+    calls = []
+    monkeypatch.setattr(frames, "rest", calls.append)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["component"] for r in components.components(edges).collect()} == {0}
+    assert len(calls) >= 3
+    calls.clear()
+    ngram_join.join(hard).collect()
+    assert len(calls) >= 5
+
+
 def test_chains_are_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     found = {r["id"]: r["component"] for r in components.components(edges).collect()}
