@@ -5,8 +5,10 @@ bytes. A first log-bilinear model gives a word's class from the classes of the t
 has its smoothed share of the class. On top of it stands a log-bilinear model over words: each of the ``HEAD_WORDS`` most
 frequent words, and each class of the rarer ones, has a vector as context and one as target, and their product is added
 to the first model's log probability. The vectors are trained by noise-contrastive estimation on every position of all
-training texts, in all tasks, and meet word by word. As usual with this estimation the sum over all words is not divided
-out; the training drives it towards one.
+training texts, in all tasks, and meet word by word.
+
+A score is a probability: words are leaves of a tree of classes, groups of words with like vectors, and words. Each level
+divides out the sum over its choices (see ``Tree``), so the probabilities of all words after a context sum to one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import frames
 from claimloom.llm.components import checkpoint_folder
 from claimloom.llm.frames import crc_remainder, map_slices, word_list
 
@@ -36,6 +39,8 @@ COUNTED_AT_ONCE = 300_000
 BATCH, SHARED, HELD_POSITIONS, ROUNDS, LEAST_STEPS, RATE = 1024, 32, 1 << 20, 1, 400, 0.1
 #: Words whose vectors meet in one row of the exchange.
 BLOCK = 1024
+#: Positions that are scored at a time, rows of a product of matrices, and what bounds the exponents of a tree.
+SCORED_AT_ONCE, PRODUCT_ROWS, BOUND = 1 << 17, 4096, 60
 END = b""
 
 
@@ -108,24 +113,35 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return map_slices(rows, make, "key binary, shape int, c long").groupBy("key").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"))
 
 
-def _sequence(single: dict[bytes, int], text: bytes | None) -> np.ndarray:
+class Classes(dict):
+    """The classes of words; of those asked for the first ones are remembered."""
+
+    def __init__(self, single: dict[bytes, int]):
+        super().__init__(single)
+        self.single = single
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.single.get(word_key(word), shape(word))
+        if len(word) <= KEY_BYTES and len(self) < HEAD_WORDS:
+            self[word] = found
+        return found
+
+
+def _sequence(class_of: Classes, text: bytes | None) -> np.ndarray:
     """The classes of a text's words and of its end, after two ends."""
-    found, get = word_list(text), single.get
+    found = word_list(text)
     seq = np.zeros(len(found) + 3, np.int64)
-    seq[2:-1] = [k if (k := get(w)) is not None else shape(w) if len(w) <= KEY_BYTES else single.get(word_key(w), shape(w)) for w in found]
+    seq[2:-1] = np.fromiter(map(class_of.__getitem__, found), np.int64, len(found))
     return seq
 
 
 def _triples(rows: DataFrame, single: dict[bytes, int]) -> np.ndarray:
     def make():
         class Step:
-            sums = np.zeros(CLASSES**3, np.int64)
-
             def __call__(self, columns):
-                for text in columns[0]:
-                    s = _sequence(single, text)
-                    codes, n = np.unique((s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:], return_counts=True)
-                    self.sums[codes] += n
+                found = [_sequence(self.class_of, text) for text in columns[0]]
+                codes = np.concatenate([(s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:] for s in found])
+                self.sums += np.bincount(codes, minlength=CLASSES**3)
                 return ()
 
             def finish(self):
@@ -133,7 +149,7 @@ def _triples(rows: DataFrame, single: dict[bytes, int]) -> np.ndarray:
                 return zip(at.tolist(), self.sums[at].tolist())
 
         step = Step()
-        step.sums = np.zeros(CLASSES**3, np.int64)
+        step.sums, step.class_of = np.zeros(CLASSES**3, np.int64), Classes(single)
         return step
 
     table = map_slices(rows, make, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 rows
@@ -142,28 +158,112 @@ def _triples(rows: DataFrame, single: dict[bytes, int]) -> np.ndarray:
     return out.reshape(CLASSES, CLASSES, CLASSES)
 
 
-def of_words(near: np.ndarray, far: np.ndarray, target: np.ndarray, seq: np.ndarray, at_once: int = 65_536) -> float:
-    """What the word vectors (as context at both places, and as target) add to a text's log10 probability; seq as in ``WordTrainer.add``."""
-    out = 0.0
-    for k in range(0, len(seq) - 2, at_once):
-        part = seq[k : k + at_once + 2]
-        h = near.take(part[1:-1], axis=0)
-        h += far.take(part[:-2], axis=0)
-        out += float(np.einsum("ij,ij->i", h, target.take(part[2:], axis=0)).sum(dtype=np.float64))
-    return out / math.log(10)
+def _like(x: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Rows in ``parts`` (a power of two) groups of one size, or nearly: halved again and again along the direction in which they differ most."""
+    runs = [np.arange(len(x))]
+    while len(runs) < parts:
+        halves = []
+        for r in runs:
+            y = x[r] - x[r].mean(0)
+            r = r[np.argsort(y @ np.linalg.eigh(y.T @ y)[1][:, -1], kind="stable")]
+            halves += [r[: len(r) // 2], r[len(r) // 2 :]]
+        runs = halves
+    return runs
+
+
+def _moments(q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Mean and half the variance of vectors: times (h, h ** 2) about the log of their mean exp(h q)."""
+    mean = np.average(q, axis=0, weights=weight)
+    return np.append(mean, np.average((q - mean) ** 2, axis=0, weights=weight) / 2)
+
+
+def _runs(at: np.ndarray) -> list[tuple[int, int]]:
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist() if len(at) else []
+    return list(zip(first, [*first[1:], len(at)]))
+
+
+class Tree:
+    """Probabilities of words by class, group and word, each divided by its sum over the classes, the class's groups, the group's words.
+
+    of_class, weight, q: each word's class, share (up to a factor) and vector as target. logp: natural log of the class
+    given two classes. The groups of a class, about as many as words in each, hold words of like vectors; classes and
+    groups enter with the first two moments of their words' vectors.
+    """
+
+    def __init__(self, of_class: np.ndarray, weight: np.ndarray, q: np.ndarray, logp: np.ndarray):
+        self.of_class, self.logp = of_class, logp
+        order, group, first, moments = [], np.zeros(len(q), np.int64), [0], []
+        self.classes = np.zeros((logp.shape[1], 2 * q.shape[1]), np.float32)
+        members = np.argsort(of_class, kind="stable")
+        edges = np.searchsorted(of_class[members], np.arange(logp.shape[1] + 1))
+        for c in range(logp.shape[1]):
+            own = members[edges[c] : edges[c + 1]]
+            if len(own):
+                self.classes[c] = _moments(q[own].astype(np.float64), weight[own])
+                for r in _like(q[own].astype(np.float64), 1 << round(math.log2(len(own)) / 2)):
+                    group[own[r]] = len(moments)
+                    moments.append(_moments(q[own[r]].astype(np.float64), weight[own[r]]))
+                    order.append(own[r])
+            first.append(len(moments))
+        self.first, self.group, self.groups = np.array(first), group, np.array(moments, np.float32)
+        order, mass = np.concatenate(order), np.bincount(group, weights=weight)
+        self.slot = np.empty(len(q), np.int64)
+        self.slot[order] = np.arange(len(q))
+        self.start = np.searchsorted(group[order], np.arange(len(moments) + 1))
+        self.q, self.log_word = q[order], np.log(weight[order] / mass[group[order]]).astype(np.float32)
+        self.log_group = np.log(mass / np.bincount(of_class, weights=weight)[of_class[order[self.start[:-1]]]]).astype(np.float32)
+
+    @staticmethod
+    def _log_sum(x: np.ndarray, q: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        z = x @ q.T
+        np.clip(z, -BOUND, BOUND, out=z)
+        z += prior
+        return np.log(np.exp(z, out=z).sum(1))
+
+    @staticmethod
+    def _own(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("ij,ij->i", x, q), -BOUND, BOUND)
+
+    def log_p(self, h: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural log of each word's probability; h: what its context predicts, before: the number of the two classes before."""
+        x, c = np.concatenate([h, h * h], 1), self.of_class.take(word)
+        out = self._own(x, self.classes.take(c, axis=0)) + self.logp[before, c]
+        for k in range(0, len(h), PRODUCT_ROWS):
+            out[k : k + PRODUCT_ROWS] -= self._log_sum(x[k : k + PRODUCT_ROWS], self.classes, self.logp.take(before[k : k + PRODUCT_ROWS], axis=0))
+        g = self.group.take(word)
+        inner = np.flatnonzero((self.first[c + 1] - self.first[c] > 1) | (self.start[g + 1] - self.start[g] > 1))
+        inner = inner[np.argsort(g[inner].astype(np.uint16) if len(self.groups) <= 1 << 16 else g[inner], kind="stable")]
+        x, g, c, slot = x.take(inner, axis=0), g[inner], c[inner], self.slot.take(word[inner])
+        part = self._own(x, self.groups.take(g, axis=0)) + self.log_group.take(g)
+        for a, b in _runs(c):
+            low, high = self.first[c[a]], self.first[c[a] + 1]
+            for k in range(a, b, PRODUCT_ROWS):
+                e = min(b, k + PRODUCT_ROWS)
+                part[k:e] -= self._log_sum(x[k:e], self.groups[low:high], self.log_group[low:high])
+        x = np.ascontiguousarray(x[:, : h.shape[1]])
+        part += self._own(x, self.q.take(slot, axis=0)) + self.log_word.take(slot)
+        for a, b in _runs(g):
+            low, high = self.start[g[a]], self.start[g[a] + 1]
+            for k in range(a, b, PRODUCT_ROWS):
+                e = min(b, k + PRODUCT_ROWS)
+                part[k:e] -= self._log_sum(x[k:e], self.q[low:high], self.log_word[low:high])
+        out[inner] += part
+        return out
 
 
-def word_model(head: dict, single: dict[bytes, int], table_of: np.ndarray, share: np.ndarray, mass: np.ndarray) -> WordModel:
+def word_model(head: dict, single: dict[bytes, int], table_of: np.ndarray, share: np.ndarray, mass: np.ndarray, vocab: np.ndarray) -> WordModel:
     """What training needs to know of words, from the counts and the model of classes."""
     keys = sorted({END, *head}, key=lambda k: (-head[k][1] if k in head else 0, k))  # frequent words lie together
     number = Numbers((k, j) for j, k in enumerate(keys))
     count = np.array([head[k][1] if k in head else 0 for k in keys], np.float64)
     cls = np.array([0 if k == END else single.get(k, head[k][0]) for k in keys], np.int64)
     rare = np.maximum(mass[CLASSES - SHAPES :] - np.bincount(cls, weights=count, minlength=CLASSES)[CLASSES - SHAPES :], 0)
+    kinds = np.maximum(vocab - np.bincount(cls, minlength=CLASSES), 0)[CLASSES - SHAPES :]
+    weight = np.append(count, rare + 0.5 * kinds) + 0.5  # all rarer words of a class, and one unknown
     cls = np.append(cls, np.arange(CLASSES - SHAPES, CLASSES))
     count = np.append(count, rare) + 0.5
     log_share = np.minimum(np.log(count) - math.log(10) * share[cls], 0)
-    return WordModel(number, log_share.astype(np.float32), cls, count / count.sum(), (math.log(10) * table_of.reshape(-1, CLASSES)).astype(np.float32))
+    return WordModel(number, log_share.astype(np.float32), cls, count / count.sum(), weight, (math.log(10) * table_of.reshape(-1, CLASSES)).astype(np.float32))
 
 
 class Numbers(dict):
@@ -182,6 +282,7 @@ class WordModel:
     log_share: np.ndarray  # natural log of a word's share of its class; all rarer words of a class as one
     of_class: np.ndarray
     noise: np.ndarray
+    weight: np.ndarray  # count + 0.5; of all rarer words of a class the sum, with one unknown
     logp: np.ndarray  # natural log of the class given two classes, as [before that * CLASSES + before, class]
 
     def numbered(self, found: list[bytes]) -> np.ndarray:
@@ -378,28 +479,46 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
     share = np.log10(mass + 0.5 * (vocab + (np.arange(CLASSES) >= CLASSES - SHAPES)))  # a class by shape has room for one unknown word
     share[:1] = np.log10(mass[:1] + 0.5)
     rest = math.log10(total + 0.5 * (kinds + 1))
-    words = word_model(head, single, table_of, share, mass)
+    words = word_model(head, single, table_of, share, mass, vocab)
+    end_known = END in head
+    del table, head
+    frames.rest(spark)
     vectors = _train_words(rows, words) if total else words.start()
-    del table
-    sent = spark.sparkContext.broadcast(({k: n for k, (_, n) in head.items()}, table_of, share, words, vectors))
+    tree = Tree(words.of_class, words.weight, vectors[:, 1], words.logp)
+    near = vectors[:, 0].copy()
+    del vectors
+    frames.rest(spark)
+    sent = spark.sparkContext.broadcast((words.number, words.weight, near, tree, end_known))
 
     def make():
-        known, logp, share_, model, vectors_ = sent.value
-        near, target = vectors_[:, 0].copy(), vectors_[:, 1].copy()
-        far_ = near @ _turn()
-        logs = np.full(len(model.noise), np.nan)
-        for w, k in model.number.items():
-            if w in known:
-                logs[k] = math.log10(known[w] + 0.5)
+        number, weight, near, tree, end_known = sent.value
+        model = WordModel(number, None, tree.of_class, None, weight, tree.logp)
+        far_, adjust = near @ _turn(), np.log10(weight)
+        logs = adjust.copy()
+        logs[len(number) :] = np.nan
+        if not end_known:
+            logs[number[END]] = np.nan
+
+        def probabilities(seqs):
+            """What each text's words have over their own counts in log10 probability."""
+            far, before, word = (np.concatenate([s[k : len(s) - 2 + k] for s in seqs]) for k in range(3))
+            value = np.empty(len(word))
+            for k in range(0, len(word), SCORED_AT_ONCE):
+                e = k + SCORED_AT_ONCE
+                h = near.take(before[k:e], axis=0)
+                h += far_.take(far[k:e], axis=0)
+                value[k:e] = tree.log_p(h, tree.of_class.take(far[k:e]) * CLASSES + tree.of_class.take(before[k:e]), word[k:e])
+            value /= math.log(10)
+            value -= adjust.take(word)
+            return np.add.reduceat(value, np.cumsum([0, *(len(s) - 2 for s in seqs[:-1])]))
 
         def step(columns):
-            for doc, text, out in zip(*columns):
-                found = tokens(text)
-                seq = model.numbered(found)
-                s, value = model.of_class.take(seq), logs.take(seq[2:])
+            texts = [tokens(text) for text in columns[1]]
+            seqs = [model.numbered(found) for found in texts]
+            for doc, text, out, found, seq, lm in zip(*columns, texts, seqs, probabilities(seqs).tolist()):
+                value = logs.take(seq[2:])
                 far = np.isnan(value)
                 keys = [word_key(found[k]) for k in np.flatnonzero(far)]
-                lm = float(logp.take((s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:]).sum() - share_.take(s[2:]).sum()) + of_words(near, far_, target, seq)
                 sig = int.from_bytes(hashlib.blake2b(text or b"", digest_size=8).digest(), "little", signed=True)
                 yield doc, sig, out, len(found), float(value[~far].sum()), lm, keys
 

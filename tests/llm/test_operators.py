@@ -396,6 +396,19 @@ def test_language_model_tells_the_order_of_words_of_one_class(spark):
     assert len(pairs) > 5 and all(a > b + 5 for a, b in pairs)
 
 
+@pytest.mark.parametrize("sizes", [[1, 1, 1, 1], [1, 1, 40, 300], [1, 0, 5, 2000]])
+def test_language_model_probabilities_of_all_words_sum_to_one(sizes):
+    r = np.random.default_rng(3)
+    c, n = len(sizes), sum(sizes)
+    table = r.random((c * c, c)) + 0.1
+    logp = np.log(np.where(np.array(sizes) > 0, table, 1e-30) / np.where(np.array(sizes) > 0, table, 0).sum(1, keepdims=True))
+    tree = language_model.Tree(np.repeat(np.arange(c), sizes), r.random(n) + 0.5, r.normal(0, 1, (n, 16)).astype(np.float32), logp.astype(np.float32))
+    for k in range(5):
+        h = np.repeat(r.normal(0, 3, (1, 16)), n, axis=0).astype(np.float32)
+        p = np.exp(tree.log_p(h, np.full(n, k % (c * c)), np.arange(n)).astype(np.float64))
+        assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
+
+
 def test_log_bilinear_learns_order():
     t = np.zeros((6, 6, 6))
     for k in range(6):
