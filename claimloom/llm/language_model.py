@@ -40,7 +40,7 @@ BATCH, SHARED, HELD_POSITIONS, ROUNDS, LEAST_STEPS, RATE = 1024, 32, 1 << 20, 1,
 #: Words whose vectors meet in one row of the exchange.
 BLOCK = 1024
 #: Positions that are scored at a time, rows of a product of matrices, and what bounds the exponents of a tree.
-SCORED_AT_ONCE, PRODUCT_ROWS, BOUND = 1 << 17, 4096, 60
+SCORED_AT_ONCE, PRODUCT_ROWS, BOUND = 1 << 17, 512, 60
 END = b""
 
 
@@ -113,33 +113,65 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return map_slices(rows, make, "key binary, shape int, c long").groupBy("key").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"))
 
 
-class Classes(dict):
-    """The classes of words; of those asked for the first ones are remembered."""
-
-    def __init__(self, single: dict[bytes, int]):
-        super().__init__(single)
-        self.single = single
+class Numbers(dict):
+    """Numbers of words by key; what it lacks is found by its key, if that is another, or by its shape."""
 
     def __missing__(self, word: bytes) -> int:
-        found = self.single.get(word_key(word), shape(word))
-        if len(word) <= KEY_BYTES and len(self) < HEAD_WORDS:
-            self[word] = found
-        return found
+        key = word_key(word)
+        return self[key] if key is not word and key in self else len(self) - (CLASSES - SHAPES) + shape(word)
 
+    def sequence(self, found: list[bytes]) -> np.ndarray:
+        """The numbers of words after two ends."""
+        seq = np.full(len(found) + 2, self[END], np.int32)
+        seq[2:] = np.fromiter(map(self.__getitem__, found), np.int32, len(found))
+        return seq
 
-def _sequence(class_of: Classes, text: bytes | None) -> np.ndarray:
-    """The classes of a text's words and of its end, after two ends."""
-    found = word_list(text)
-    seq = np.zeros(len(found) + 3, np.int64)
-    seq[2:-1] = np.fromiter(map(class_of.__getitem__, found), np.int64, len(found))
-    return seq
 
+def _numbered(rows: DataFrame, number: Numbers, end_known: bool) -> DataFrame:
+    """id, signature of the text, h, the numbers of its tokens after two ends (``seq``), and the keys of those without a count of their own (``far``), each after its length.
+
+    Each text is cut into words and looked up here once, for the classes, the vectors and the scores.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(number)
+
+    def make():
+        number = sent.value
+        end, own = number[END], len(number)
+
+        def step(columns):
+            for doc, text, h in zip(*columns):
+                found = tokens(text)
+                seq = number.sequence(found)
+                far = seq[2:] >= own
+                if not end_known:
+                    far |= seq[2:] == end
+                keys = [word_key(found[k]) for k in np.flatnonzero(far).tolist()]
+                sig = int.from_bytes(hashlib.blake2b(text or b"", digest_size=8).digest(), "little", signed=True)
+                yield doc, sig, h, seq.tobytes(), b"".join([b"%c%b" % (len(k), k) for k in keys])
+
+        return step
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_slices(rows.select("id", "__t", "h"), make, f"id {kind}, sig long, h boolean, seq binary, far binary")
+
+
+def _keys(far: bytes) -> list[bytes]:
+    out, k = [], 0
+    while k < len(far):
+        e = k + 1 + far[k]
+        out.append(far[k + 1 : e])
+        k = e
+    return out
+
+
+def _triples(rows: DataFrame, of_class: np.ndarray) -> np.ndarray:
+    """How often each class follows two others; rows: sequences of numbers."""
+    sent = rows.sparkSession.sparkContext.broadcast(of_class.astype(np.int32))
 
-def _triples(rows: DataFrame, single: dict[bytes, int]) -> np.ndarray:
     def make():
         class Step:
             def __call__(self, columns):
-                found = [_sequence(self.class_of, text) for text in columns[0]]
+                found = [sent.value.take(np.frombuffer(seq, np.int32)) for seq in columns[0]]
                 codes = np.concatenate([(s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:] for s in found])
                 self.sums += np.bincount(codes, minlength=CLASSES**3)
                 return ()
@@ -149,7 +181,7 @@ def _triples(rows: DataFrame, single: dict[bytes, int]) -> np.ndarray:
                 return zip(at.tolist(), self.sums[at].tolist())
 
         step = Step()
-        step.sums, step.class_of = np.zeros(CLASSES**3, np.int64), Classes(single)
+        step.sums = np.zeros(CLASSES**3, np.int64)
         return step
 
     table = map_slices(rows, make, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 rows
@@ -212,85 +244,87 @@ class Tree:
         self.start = np.searchsorted(group[order], np.arange(len(moments) + 1))
         self.q, self.log_word = q[order], np.log(weight[order] / mass[group[order]]).astype(np.float32)
         self.log_group = np.log(mass / np.bincount(of_class, weights=weight)[of_class[order[self.start[:-1]]]]).astype(np.float32)
-
-    @staticmethod
-    def _log_sum(x: np.ndarray, q: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        z = x @ q.T
-        np.clip(z, -BOUND, BOUND, out=z)
-        z += prior
-        return np.log(np.exp(z, out=z).sum(1))
-
-    @staticmethod
-    def _own(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, q), -BOUND, BOUND)
+        self.share_of_word, self.share_of_group = np.exp(self.log_word), np.exp(self.log_group)
+        n = q.shape[1]
+        self.longest = [[max(_longest(y[:, k]) for y in (self.classes, self.groups)) for k in (slice(n), slice(n, None))], [_longest(self.q)]]
 
     def log_p(self, h: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability; h: what its context predicts, before: the number of the two classes before."""
-        x, c = np.concatenate([h, h * h], 1), self.of_class.take(word)
-        out = self._own(x, self.classes.take(c, axis=0)) + self.logp[before, c]
-        for k in range(0, len(h), PRODUCT_ROWS):
-            out[k : k + PRODUCT_ROWS] -= self._log_sum(x[k : k + PRODUCT_ROWS], self.classes, self.logp.take(before[k : k + PRODUCT_ROWS], axis=0))
         g = self.group.take(word)
-        inner = np.flatnonzero((self.first[c + 1] - self.first[c] > 1) | (self.start[g + 1] - self.start[g] > 1))
-        inner = inner[np.argsort(g[inner].astype(np.uint16) if len(self.groups) <= 1 << 16 else g[inner], kind="stable")]
-        x, g, c, slot = x.take(inner, axis=0), g[inner], c[inner], self.slot.take(word[inner])
-        part = self._own(x, self.groups.take(g, axis=0)) + self.log_group.take(g)
+        order = np.argsort(g.astype(np.uint16) if len(self.groups) <= 1 << 16 else g, kind="stable")  # words of a class and of a group lie together
+        g, word, before, h = g.take(order), word.take(order), before.take(order), h.take(order, axis=0)
+        x, c, slot = np.concatenate([h, h * h], 1), self.of_class.take(word), self.slot.take(word)
+        far = [sum(_longest(y) * n for y, n in zip((h, x[:, h.shape[1] :]), level)) > BOUND for level in self.longest]  # only then may a product be beyond BOUND
+        own, sums = np.zeros((3, len(h)), np.float32), np.ones((3, len(h)), np.float32)
+        place = np.arange(PRODUCT_ROWS)
+        one = np.ones(self.classes.shape[0], np.float32)
+        for k in range(0, len(h), PRODUCT_ROWS):
+            z, prior = _products(x[k : k + PRODUCT_ROWS], self.classes, far[0]), self.logp.take(before[k : k + PRODUCT_ROWS], axis=0)
+            z += prior
+            own[0, k : k + PRODUCT_ROWS] = z[place[: len(z)], c[k : k + PRODUCT_ROWS]]
+            np.matmul(np.exp(z, out=z), one, out=sums[0, k : k + PRODUCT_ROWS])
         for a, b in _runs(c):
             low, high = self.first[c[a]], self.first[c[a] + 1]
-            for k in range(a, b, PRODUCT_ROWS):
+            for k in range(a, b if high - low > 1 else a, PRODUCT_ROWS):
                 e = min(b, k + PRODUCT_ROWS)
-                part[k:e] -= self._log_sum(x[k:e], self.groups[low:high], self.log_group[low:high])
-        x = np.ascontiguousarray(x[:, : h.shape[1]])
-        part += self._own(x, self.q.take(slot, axis=0)) + self.log_word.take(slot)
+                z = _products(x[k:e], self.groups[low:high], far[0])
+                own[1, k:e] = z[place[: e - k], g[k:e] - low]
+                np.matmul(np.exp(z, out=z), self.share_of_group[low:high], out=sums[1, k:e])
+        own[1] += self.log_group.take(g)
+        np.einsum("ij,ij->i", h, self.q.take(slot, axis=0), out=own[2])
+        if far[1]:
+            np.clip(own[2], -BOUND, BOUND, out=own[2])
         for a, b in _runs(g):
             low, high = self.start[g[a]], self.start[g[a] + 1]
             for k in range(a, b, PRODUCT_ROWS):
                 e = min(b, k + PRODUCT_ROWS)
-                part[k:e] -= self._log_sum(x[k:e], self.q[low:high], self.log_word[low:high])
-        out[inner] += part
+                z = _products(h[k:e], self.q[low:high], far[1])
+                np.matmul(np.exp(z, out=z), self.share_of_word[low:high], out=sums[2, k:e])
+        own[2] += self.log_word.take(slot)
+        own -= np.log(sums, out=sums)
+        out = np.empty(len(h), np.float32)
+        out[order] = own.sum(0)
         return out
 
 
-def word_model(head: dict, single: dict[bytes, int], table_of: np.ndarray, share: np.ndarray, mass: np.ndarray, vocab: np.ndarray) -> WordModel:
-    """What training needs to know of words, from the counts and the model of classes."""
+def _longest(x: np.ndarray) -> float:
+    return math.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0))
+
+
+def _products(x: np.ndarray, q: np.ndarray, far: bool) -> np.ndarray:
+    z = x @ q.T
+    return np.clip(z, -BOUND, BOUND, out=z) if far else z
+
+
+def numbers(head: dict, single: dict[bytes, int]) -> tuple[Numbers, np.ndarray, np.ndarray]:
+    """Words by number: those of ``head`` by falling count, with the end; their counts, and the classes of these and of the rarer words of each shape."""
     keys = sorted({END, *head}, key=lambda k: (-head[k][1] if k in head else 0, k))  # frequent words lie together
-    number = Numbers((k, j) for j, k in enumerate(keys))
     count = np.array([head[k][1] if k in head else 0 for k in keys], np.float64)
-    cls = np.array([0 if k == END else single.get(k, head[k][0]) for k in keys], np.int64)
-    rare = np.maximum(mass[CLASSES - SHAPES :] - np.bincount(cls, weights=count, minlength=CLASSES)[CLASSES - SHAPES :], 0)
-    kinds = np.maximum(vocab - np.bincount(cls, minlength=CLASSES), 0)[CLASSES - SHAPES :]
+    cls = np.array([0 if k == END else single.get(k, head[k][0]) for k in keys] + list(range(CLASSES - SHAPES, CLASSES)), np.int64)
+    return Numbers((k, j) for j, k in enumerate(keys)), count, cls
+
+
+def word_model(count: np.ndarray, cls: np.ndarray, table_of: np.ndarray, share: np.ndarray, mass: np.ndarray, vocab: np.ndarray) -> WordModel:
+    """What training needs to know of words, from the counts and the model of classes."""
+    own = cls[: len(count)]
+    rare = np.maximum(mass[CLASSES - SHAPES :] - np.bincount(own, weights=count, minlength=CLASSES)[CLASSES - SHAPES :], 0)
+    kinds = np.maximum(vocab - np.bincount(own, minlength=CLASSES), 0)[CLASSES - SHAPES :]
     weight = np.append(count, rare + 0.5 * kinds) + 0.5  # all rarer words of a class, and one unknown
-    cls = np.append(cls, np.arange(CLASSES - SHAPES, CLASSES))
     count = np.append(count, rare) + 0.5
     log_share = np.minimum(np.log(count) - math.log(10) * share[cls], 0)
-    return WordModel(number, log_share.astype(np.float32), cls, count / count.sum(), weight, (math.log(10) * table_of.reshape(-1, CLASSES)).astype(np.float32))
-
-
-class Numbers(dict):
-    """Numbers of words by key; what it lacks is found by its key, if that is another, or by its shape."""
-
-    def __missing__(self, word: bytes) -> int:
-        key = word_key(word)
-        return self[key] if key is not word and key in self else len(self) - (CLASSES - SHAPES) + shape(word)
+    return WordModel(log_share.astype(np.float32), cls, count / count.sum(), weight, (math.log(10) * table_of.reshape(-1, CLASSES)).astype(np.float32))
 
 
 @dataclass
 class WordModel:
     """Words by number: those of ``head`` by falling count, then the classes by shape for all others."""
 
-    number: Numbers
     log_share: np.ndarray  # natural log of a word's share of its class; all rarer words of a class as one
     of_class: np.ndarray
     noise: np.ndarray
     weight: np.ndarray  # count + 0.5; of all rarer words of a class the sum, with one unknown
     logp: np.ndarray  # natural log of the class given two classes, as [before that * CLASSES + before, class]
 
-    def numbered(self, found: list[bytes]) -> np.ndarray:
-        """The numbers of words after two ends."""
-        seq = np.full(len(found) + 2, self.number[END], np.int64)
-        seq[2:] = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
-        return seq
-
     def start(self) -> np.ndarray:
         """Vectors as context (random, the same in all tasks) and as target (zero)."""
         out = np.zeros((len(self.noise), 2, DIMENSIONS), np.float32)
@@ -339,7 +373,7 @@ class WordTrainer:
 
     def add(self, seq: np.ndarray) -> None:
         """seq: two ends, then the text's words and its end."""
-        self.held.append(np.stack([seq[:-2], seq[1:-1], seq[2:]], 1).astype(np.int32))
+        self.held.append(np.stack([seq[:-2], seq[1:-1], seq[2:]], 1))
         self.n += len(seq) - 2
         if self.n >= HELD_POSITIONS:
             self.learn()
@@ -392,7 +426,7 @@ class WordTrainer:
 
 
 def _train_words(rows: DataFrame, model: WordModel) -> np.ndarray:
-    """The vectors of all tasks, each word's averaged by how often a task met it."""
+    """The vectors of all tasks, each word's averaged by how often a task met it; rows: sequences of numbers."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -402,8 +436,8 @@ def _train_words(rows: DataFrame, model: WordModel) -> np.ndarray:
             def __call__(self, columns):
                 if self.trainer is None:
                     self.trainer = WordTrainer(sent.value)
-                for text in columns[0]:
-                    self.trainer.add(sent.value.numbered(tokens(text)))
+                for seq in columns[0]:
+                    self.trainer.add(np.frombuffer(seq, np.int32))
                 return ()
 
             def finish(self):
@@ -466,7 +500,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
     head = {bytes(k): (s, n) for k, s, n in zip(table["key"].to_pylist(), table["shape"].to_pylist(), table["c"].to_pylist())}
     best = sorted(((-n, k) for k, (_, n) in head.items() if k != END))[: CLASSES - SHAPES - 1]
     single = {k: j + 1 for j, (_, k) in enumerate(best)}
-    table_of = log_bilinear(_triples(rows, single))
+    end_known = END in head
+    number, count, cls = numbers(head, single)
+    numbered = _numbered(all_rows, number, end_known).checkpoint()
+    learned = numbered.where(~F.col("h")).select("seq")
+    table_of = log_bilinear(_triples(learned, cls))
     mass, vocab = np.zeros(CLASSES), np.zeros(CLASSES)
     for s, (n, v) in sizes.items():
         mass[s], vocab[s] = n, v
@@ -479,25 +517,23 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
     share = np.log10(mass + 0.5 * (vocab + (np.arange(CLASSES) >= CLASSES - SHAPES)))  # a class by shape has room for one unknown word
     share[:1] = np.log10(mass[:1] + 0.5)
     rest = math.log10(total + 0.5 * (kinds + 1))
-    words = word_model(head, single, table_of, share, mass, vocab)
-    end_known = END in head
-    del table, head
+    words, end = word_model(count, cls, table_of, share, mass, vocab), number[END]
+    del table, head, number
     frames.rest(spark)
-    vectors = _train_words(rows, words) if total else words.start()
+    vectors = _train_words(learned, words) if total else words.start()
     tree = Tree(words.of_class, words.weight, vectors[:, 1], words.logp)
     near = vectors[:, 0].copy()
     del vectors
     frames.rest(spark)
-    sent = spark.sparkContext.broadcast((words.number, words.weight, near, tree, end_known))
+    sent = spark.sparkContext.broadcast((words.weight, len(count), None if end_known else end, near, tree))
 
     def make():
-        number, weight, near, tree, end_known = sent.value
-        model = WordModel(number, None, tree.of_class, None, weight, tree.logp)
+        weight, own, unknown, near, tree = sent.value
         far_, adjust = near @ _turn(), np.log10(weight)
         logs = adjust.copy()
-        logs[len(number) :] = np.nan
-        if not end_known:
-            logs[number[END]] = np.nan
+        logs[own:] = np.nan
+        if unknown is not None:
+            logs[unknown] = np.nan
 
         def probabilities(seqs):
             """What each text's words have over their own counts in log10 probability."""
@@ -513,19 +549,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: i
             return np.add.reduceat(value, np.cumsum([0, *(len(s) - 2 for s in seqs[:-1])]))
 
         def step(columns):
-            texts = [tokens(text) for text in columns[1]]
-            seqs = [model.numbered(found) for found in texts]
-            for doc, text, out, found, seq, lm in zip(*columns, texts, seqs, probabilities(seqs).tolist()):
+            seqs = [np.frombuffer(seq, np.int32).astype(np.int64) for seq in columns[3]]
+            for doc, sig, h, seq, far, lm in zip(*columns[:3], seqs, columns[4], probabilities(seqs).tolist()):
                 value = logs.take(seq[2:])
-                far = np.isnan(value)
-                keys = [word_key(found[k]) for k in np.flatnonzero(far)]
-                sig = int.from_bytes(hashlib.blake2b(text or b"", digest_size=8).digest(), "little", signed=True)
-                yield doc, sig, out, len(found), float(value[~far].sum()), lm, keys
+                yield doc, sig, h, len(value), float(value[~np.isnan(value)].sum()), lm, _keys(far)
 
         return step
 
     kind = df.schema[id_col].dataType.simpleString()
-    first = map_slices(all_rows, make, f"id {kind}, sig long, h boolean, n long, s double, lm double, keys array<binary>")
+    first = map_slices(numbered, make, f"id {kind}, sig long, h boolean, n long, s double, lm double, keys array<binary>")
     far = first.select("*", F.size("keys").alias("k"), F.explode_outer("keys").alias("key")).drop("keys")
     far = far.join(counts.select("key", "c"), "key", "left")
     value = F.when(F.col("key").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).otherwise(F.lit(0.0))

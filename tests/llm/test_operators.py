@@ -415,3 +415,26 @@ def test_log_bilinear_learns_order():
         t[k, (k + 1) % 6, (k + 2) % 6] = 100
     logp = language_model.log_bilinear(t)
     assert all(logp[k, (k + 1) % 6].argmax() == (k + 2) % 6 for k in range(6))
+
+
+def test_language_model_reads_each_text_twice(spark):
+    """Once for the counts of words and once for their numbers; classes, vectors and scores read those."""
+    read = spark.sparkContext.accumulator(0)
+
+    def look(row):
+        read.add(1)
+        return row
+
+    docs = [(k, f"one two word{k} " * (k % 5)) for k in range(60)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 3).map(look), "doc_id long, text string")
+    assert len(language_model.score(df).collect()) == 60
+    assert read.value == 120
+
+
+def test_language_model_products_beyond_the_bound():
+    """Vectors so long that products reach the bound of the exponents: each level's sum is still divided out."""
+    r = np.random.default_rng(5)
+    of_class, logp = np.repeat(np.arange(3), [1, 30, 200]), np.log(np.full((9, 3), 1 / 3, np.float32))
+    tree = language_model.Tree(of_class, r.random(231) + 0.5, r.normal(0, 20, (231, 16)).astype(np.float32), logp)
+    p = np.exp(tree.log_p(np.repeat(r.normal(0, 5, (1, 16)), 231, axis=0).astype(np.float32), np.zeros(231, np.int64), np.arange(231)).astype(np.float64))
+    assert abs(p.sum() - 1) < 1e-3 and np.isfinite(p).all()
