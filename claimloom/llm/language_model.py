@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ def word_key(word: bytes) -> bytes:
 
 
 def shape(word: bytes) -> int:
-    return CLASSES - SHAPES + zlib.crc32(word[-3:]) % SHAPES
+    return CLASSES - SHAPES + crc32(word[-3:]) % SHAPES
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -117,8 +117,9 @@ class Numbers(dict):
     """Numbers of words by key; what it lacks is found by its key, if that is another, or by its shape."""
 
     def __missing__(self, word: bytes) -> int:
-        key = word_key(word)
-        return self[key] if key is not word and key in self else len(self) - (CLASSES - SHAPES) + shape(word)
+        if len(word) > KEY_BYTES and (key := word_key(word)) in self:
+            return self[key]
+        return len(self) + crc32(word[-3:]) % SHAPES
 
     def sequence(self, found: list[bytes]) -> np.ndarray:
         """The numbers of words after two ends."""
@@ -346,16 +347,18 @@ def _add_rows(to: np.ndarray, size: np.ndarray, at: np.ndarray, g: np.ndarray) -
     key.sort()  # places of equal rows stay in order
     order = key & 4095
     key >>= 12
-    new = np.append(True, key[1:] != key[:-1])
+    new = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     at = key[new]
     cell = np.empty(n, np.int64)
     cell[order] = np.cumsum(new) - 1
     cells = cell[:, None] * DIMENSIONS + np.arange(DIMENSIONS)
     g = np.bincount(cells.ravel(), weights=g.ravel()).astype(np.float32).reshape(-1, DIMENSIONS)
     now = size.take(at)
-    now += np.einsum("ij,ij->i", g, g) / np.float32(DIMENSIONS)
+    now += (g * g) @ np.full(DIMENSIONS, 1 / DIMENSIONS, np.float32)
     size[at] = now
-    g *= (np.float32(-RATE) / np.sqrt(now + np.float32(1e-6)))[:, None]
+    now += np.float32(1e-6)
+    g *= np.divide(np.float32(-RATE), np.sqrt(now, out=now), out=now)[:, None]
     g += to.take(at, axis=0)
     to[at] = g
 
@@ -369,6 +372,7 @@ class WordTrainer:
         self.sizes = np.zeros((2, len(start)), np.float32)
         self.weight = np.zeros(len(start), np.int64)
         self.cdf, self.base = np.cumsum(model.noise), (model.log_share - np.log(NOISE * model.noise)).astype(np.float32)
+        self.one_hot = np.eye(CLASSES, dtype=np.float32)
         self.rng, self.held, self.n = np.random.default_rng(13), [], 0
 
     def add(self, seq: np.ndarray) -> None:
@@ -397,17 +401,16 @@ class WordTrainer:
         h += context.take(near, axis=0)
         before = m.of_class.take(far) * CLASSES
         before += m.of_class.take(near)
-        before *= CLASSES
-        logp = m.logp.ravel()
+        logp = m.logp.take(before, axis=0)
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(SHARED)), len(self.cdf) - 1)
         words = np.concatenate([word, noise])
         q = target.take(words, axis=0)
         q, qn = q[:n], q[n:]
         s = np.einsum("ij,ij->i", h, q)
-        s += logp.take(before + m.of_class.take(word))
+        s += logp[np.arange(n), m.of_class.take(word)]
         s += self.base.take(word)
         sn = h @ qn.T
-        sn += logp.take(before[:, None] + m.of_class.take(noise))
+        sn += logp @ self.one_hot.take(m.of_class.take(noise), axis=0).T  # the columns of the noise's classes
         sn += self.base.take(noise)
         d = -1 / (1 + np.exp(np.clip(s, -30, 30)))
         np.clip(sn, -30, 30, out=sn)
