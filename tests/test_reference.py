@@ -139,6 +139,14 @@ def test_absolute_dates(spark, given, want):
     assert one(spark, entities.absolute_date(F.col("t"), DAY), t=given) == want == plain_entities.absolute_date(given, DAY)
 
 
+def test_a_run_of_thousands_of_names(spark):
+    """A junk text of capitalised words is one name; a search that goes a call deeper each word ends the stack, and with it the executor."""
+    s = "we met " + "Asha of Kavita and\tRao " * 3000 + "Goa of the Sea and left Delhi"
+    df = spark.createDataFrame([(s,)], "s string").repartition(2)  # in a task, whose stack is that of an executor
+    got = [tuple(x) for x in df.select(entities.entities(F.col("s"), DAY).alias("e")).first()["e"]]
+    assert got == plain_entities.entities_of(s, DAY) and max(len(x[1].split()) for x in got) > 15_000
+
+
 def test_relative_dates_and_times(spark):
     relative = lambda t: one(spark, entities.relative_date(F.col("t"), DAY), t=t)
     assert relative("2 months ago") == "2024-01-10" and relative("yesterday") == "2024-03-09" and relative("recently") is None and relative("9999999999999999999999 years ago") is None
