@@ -207,6 +207,31 @@ def test_aboutness(spark):
     assert ask("short", "lemon water cures cancer") == "unclear" and ask("", "x") == "unclear" and ask("lemon water cures cancer", "नींबू पानी कैंसर ठीक करता") == "unclear"
 
 
+def test_pairs_of_repeated_and_missing_ids(spark, tmp_path):
+    """Rows that share an id, or have none, against SQL: none of their pairs is left out."""
+    import random
+
+    import duckdb
+
+    from claimloom.plans import catalogue, oracles
+
+    rng = random.Random(3)
+    word = lambda: f"word{int(rng.paretovariate(0.7)) % 50}"
+    line = lambda n: " ".join(word() for _ in range(n))
+    claims = [(k // 2 if k < 30 else k, line(rng.randint(4, 9))) for k in range(60)] + [(None, line(6)), (None, line(6)), (3, None), (90, "one two three four five six"), (90, "seven eight nine ten eleven twelve"), (91, "red green blue gold grey pink")]
+    docs = [(k % 50, line(rng.randint(2, 20))) for k in range(90)] + [(None, line(9)), (None, line(9)), (5, None), (200, "seven eight nine ten eleven twelve"), (201, "red green"), (201, "blue gold")]
+    con = duckdb.connect()
+    for name, key, rows in (("benchmark", "item_id", claims), ("documents", "doc_id", docs)):
+        spark.createDataFrame(rows, f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    read = lambda name, cols: (getattr(catalogue, name)(spark, str(tmp_path)).selectExpr(*cols).collect(), con.execute(f"SELECT {', '.join(cols)} FROM ({oracles.SQL[name]})").fetchall())
+    ordered = lambda rows: sorted(str(tuple(r)) for r in rows)
+    got, want = read("aboutness", ["claim_id", "item_id", "answer", "shared", "claim_only", "evidence_only"])
+    assert ordered(got) == ordered(want) and {(90, 200), (91, 201)} <= {r[:2] for r in got}
+    got, want = read("claim_overlap_topk", ["claim_id", "rank", "CAST(shared AS DOUBLE) / terms AS overlap"])  # an item may tie with itself where a claim has two counts of words
+    assert ordered(got) == ordered(want)
+
+
 def test_queries(spark):
     df = spark.createDataFrame([("c1", "RBI banned 500 notes http://x.y", "policy", "hi", ["RBI", "rbi", "500"], ["2024-01-01"])], "claim_id string, text string, claim_type string, language string, terms array<string>, dates array<string>")
     got = EV.build_queries(df).orderBy("rank").collect()
